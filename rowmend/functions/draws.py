@@ -18,10 +18,16 @@ def _as_col(part) -> Column:
     return part if isinstance(part, Column) else F.lit(str(part))
 
 
-def uniform(*key) -> Column:
-    """Uniform in [0, 1) from md5('k1|k2|...'); Columns and plain values may be mixed."""
+SLOTS = 4  # independent draws in one digest
+
+
+def uniform(*key, slot: int = 0) -> Column:
+    """Uniform in [0, 1) from md5('k1|k2|...'); Columns and plain values may be mixed.
+
+    `slot` picks one of four independent draws of the same digest, which Spark then computes once.
+    """
     text = F.concat_ws("|", *[_as_col(k).cast("string") for k in key])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") / F.lit(_SCALE)
+    return F.conv(F.substring(F.md5(text), 1 + 8 * slot, 8), 16, 10).cast("bigint") / F.lit(_SCALE)
 
 
 def uniform_value(*key) -> float:

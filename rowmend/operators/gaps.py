@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordering import BUCKET, MAX_WINDOW_ROWS, carry_in, with_buckets
+from .ordering import BUCKET, carry_in, with_buckets
 from .scaling import attach_stats
 
 METHODS = ("mean", "interpolation", "last_observed")
@@ -19,7 +19,7 @@ def _value_at(v: str, t: str) -> Column:
 
 
 def with_neighbours(df: DataFrame, variables: Sequence[str], order: Sequence[str] = ORDER,
-                    group_cols: Sequence[str] = (), max_rows: int = MAX_WINDOW_ROWS,
+                    group_cols: Sequence[str] = (), max_rows: int | None = None,
                     split: bool | None = None) -> DataFrame:
     """Add `__prev_<v>` and `__next_<v>`: (t, x) of the nearest observed cell at or before / after each row.
 
@@ -67,7 +67,7 @@ def _fill(df, variables, order, group_cols, max_rows, rule, split=None) -> DataF
 
 
 def impute_interpolate(df: DataFrame, variables: Sequence[str], order: Sequence[str] = ORDER,
-                       group_cols: Sequence[str] = (), max_rows: int = MAX_WINDOW_ROWS,
+                       group_cols: Sequence[str] = (), max_rows: int | None = None,
                        split: bool | None = None) -> DataFrame:
     """Interior gaps: linear in time; leading gaps: first observed; trailing gaps: last observed value.
 
@@ -77,7 +77,7 @@ def impute_interpolate(df: DataFrame, variables: Sequence[str], order: Sequence[
 
 
 def impute_locf(df: DataFrame, variables: Sequence[str], order: Sequence[str] = ORDER,
-                group_cols: Sequence[str] = (), max_rows: int = MAX_WINDOW_ROWS,
+                group_cols: Sequence[str] = (), max_rows: int | None = None,
                 split: bool | None = None) -> DataFrame:
     """Last observed value carried forward; a leading gap takes the first observed value."""
     return _fill(df, variables, order, group_cols, max_rows,
@@ -91,7 +91,7 @@ def impute_mean(df: DataFrame, variables: Sequence[str], group_cols: Sequence[st
 
 
 def impute(df: DataFrame, variables: Sequence[str], method: str, order: Sequence[str] = ORDER,
-           group_cols: Sequence[str] = (), max_rows: int = MAX_WINDOW_ROWS, split: bool | None = None) -> DataFrame:
+           group_cols: Sequence[str] = (), max_rows: int | None = None, split: bool | None = None) -> DataFrame:
     """Fill gaps by 'mean', 'interpolation' or 'last_observed'."""
     if method not in METHODS:
         raise ValueError(f"method {method!r} is not one of {METHODS}")
@@ -102,7 +102,7 @@ def impute(df: DataFrame, variables: Sequence[str], method: str, order: Sequence
 
 
 def gap_islands(df: DataFrame, variables: Sequence[str], order: Sequence[str] = ORDER,
-                group_cols: Sequence[str] = (), max_rows: int = MAX_WINDOW_ROWS) -> DataFrame:
+                group_cols: Sequence[str] = (), max_rows: int | None = None) -> DataFrame:
     """Maximal runs of missing cells: (groups..., variable, start_t, end_t, length).
 
     A run is named by the observed cell before it, so long runs aggregate partially and may span buckets.

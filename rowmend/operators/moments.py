@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.draws import uniform
+from ..functions.draws import SLOTS, uniform
 from .matrix import check_driver_size, sum_stats
 from .scaling import stats_by_group
 
@@ -91,7 +91,7 @@ def fold_names(num_repeat: int) -> list[str]:
 def with_folds(df: DataFrame, n_splits: int = 5, num_repeat: int = 1, seed: int = 0, row_id: str = "row_id") -> DataFrame:
     """Repeated shuffled k-fold: one column per repeat with the fold number of each row."""
     return df.withColumns({
-        name: F.floor(uniform(seed, r, F.col(row_id)) * n_splits).cast("int")
+        name: F.floor(uniform(seed, r // SLOTS, F.col(row_id), slot=r % SLOTS) * n_splits).cast("int")
         for r, name in enumerate(fold_names(num_repeat))})
 
 

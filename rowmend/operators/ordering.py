@@ -12,54 +12,94 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BUCKET = "__bucket"
-MAX_WINDOW_ROWS = 2_000_000
-_SAMPLES_PER_BUCKET = 40
+MAX_WINDOW_ROWS = 2_000_000  # a window task should not hold more rows, while the bucket table stays small
+MIN_WINDOW_ROWS = 5_000
+MAX_BUCKETS = 50_000  # bounds the border sample on the driver and the broadcast border table
+_SAMPLES_PER_BUCKET = 16
 
 
-def _search(borders: list[tuple], key_types: list, key: Column) -> Column:
-    """Number of borders smaller than the key, by binary search inside a higher-order function."""
-    array = F.array(*[F.struct(*[F.lit(x).cast(t) for x, t in zip(b, key_types)]) for b in borders])
-    steps = [2 ** i for i in reversed(range(len(borders).bit_length()))]
-    return F.aggregate(
-        F.array(*[F.lit(s) for s in steps]), F.lit(0),
-        lambda pos, step: F.when(F.get(array, pos + step - 1) < key, pos + step).otherwise(pos))
+def window_rows(n: int, parallelism: int) -> int:
+    """Rows per window task: several tasks per core on a small table, a fixed size on a large one."""
+    return max(MIN_WINDOW_ROWS, min(MAX_WINDOW_ROWS, n // (3 * parallelism)))
+
+
+def _borders(keys: DataFrame, order: Sequence[str], n: int, max_rows: int) -> list[tuple]:
+    """Sampled borders of about n / max_rows consecutive buckets."""
+    buckets = min(math.ceil(n / max_rows) + 1, MAX_BUCKETS)
+    fraction = min(1.0, 1.2 * _SAMPLES_PER_BUCKET * buckets / n)
+    sample = sorted(tuple(r) for r in keys.select(*order).sample(fraction, seed=17).collect())
+    step = max(1, len(sample) // buckets)
+    return sorted(set(sample[step::step]))
+
+
+def _join_bucket(df: DataFrame, borders: list[tuple], order: Sequence[str]) -> DataFrame:
+    """Number of borders below each row's key, in O(log borders) per row.
+
+    The time axis is cut into as many equal cells as there are borders; a broadcast table gives, per cell, how many borders
+    lie in earlier cells and which lie in this one, and a binary search in that short array does the rest.
+    """
+    spark = df.sparkSession
+    t = order[0]
+    low, high = float(borders[0][0]), float(borders[-1][0])
+    cells = len(borders)
+    width = (high - low) / cells or 1.0
+
+    def cell_of(x: float) -> int:
+        return int(min(max(math.floor((x - low) / width), 0), cells - 1))
+
+    inside: dict[int, list[tuple]] = {}
+    for border in borders:
+        inside.setdefault(cell_of(float(border[0])), []).append(border)
+    rows, base = [], 0
+    for c in range(cells):
+        rows.append((c, base, inside.get(c, [])))
+        base += len(inside.get(c, []))
+    key_type = T.StructType([T.StructField(c, df.schema[c].dataType) for c in order])
+    table = spark.createDataFrame(rows, T.StructType([
+        T.StructField("__cell", T.LongType()), T.StructField("__base", T.IntegerType()),
+        T.StructField("__borders", T.ArrayType(key_type))]))
+    cell = F.floor((F.col(t).cast("double") - F.lit(low)) / F.lit(width))
+    cell = F.greatest(F.lit(0).cast("bigint"), F.least(F.lit(cells - 1).cast("bigint"), cell))
+    key = F.struct(*[F.col(c) for c in order])
+    longest = max(len(v) for v in inside.values())
+    steps = F.array(*[F.lit(2 ** i) for i in reversed(range(longest.bit_length()))])
+    found = F.aggregate(steps, F.lit(0), lambda pos, step: F.when(
+        F.get("__borders", pos + step - 1) < key, pos + step).otherwise(pos))
+    # one row per cell, at most MAX_BUCKETS: safe to broadcast whatever the table's size
+    joined = df.withColumn("__cell", cell).join(F.broadcast(table), "__cell", "left")
+    return (joined.withColumn(BUCKET, F.coalesce(F.col("__base") + found, F.lit(0)))
+            .drop("__cell", "__base", "__borders"))
 
 
 def with_buckets(df: DataFrame, order: Sequence[str], group_cols: Sequence[str] = (),
-                 max_rows: int = MAX_WINDOW_ROWS) -> tuple[DataFrame, bool]:
-    """Add the bucket number; the flag says whether any group was split."""
+                 max_rows: int | None = None) -> tuple[DataFrame, bool]:
+    """Add the bucket number; the flag says whether any group was split.  `order` starts with a numeric time."""
     keys = df.select(*group_cols, *order)
-    if group_cols:
-        hot = keys.groupBy(*group_cols).count().filter(F.col("count") > max_rows)
-        hot_rows = hot.collect()  # at most rows / max_rows entries
-        n_hot = sum(r["count"] for r in hot_rows)
-    else:
+    parallelism = df.sparkSession.sparkContext.defaultParallelism
+    if not group_cols:
         n = keys.count()
-        n_hot = n if n > max_rows else 0
+        max_rows = max_rows or window_rows(n, parallelism)
+        borders = _borders(keys, order, n, max_rows) if n > max_rows else []
+        if not borders:
+            return df.withColumn(BUCKET, F.lit(0)), False
+        return _join_bucket(df, borders, order), True
+    counts = keys.groupBy(*group_cols).count()
+    if max_rows is None:
+        max_rows = window_rows(counts.agg(F.sum("count")).first()[0] or 0, parallelism)
+    hot = counts.filter(F.col("count") > max_rows).collect()  # at most rows / max_rows entries
+    n_hot = sum(r["count"] for r in hot)
     if not n_hot:
         return df.withColumn(BUCKET, F.lit(0)), False
-
-    is_hot = None
-    if group_cols:
-        hot_df = df.sparkSession.createDataFrame(
-            [tuple(r[c] for c in group_cols) + (True,) for r in hot_rows],
-            schema=df.select(*group_cols).withColumn("__hot", F.lit(True)).schema)
-        df = df.join(hot_df, list(group_cols), "left")
-        keys = keys.join(hot_df, list(group_cols), "left_semi")
-        is_hot = F.col("__hot")
-    buckets = math.ceil(n_hot / max_rows) + 1
-    fraction = min(1.0, _SAMPLES_PER_BUCKET * buckets / n_hot * 1.2)
-    sample = sorted(tuple(r) for r in keys.select(*order).sample(fraction, seed=17).collect())
-    step = max(1, len(sample) // buckets)
-    borders = sorted(set(sample[step::step]))
-    types = [df.schema[c].dataType for c in order]
-    number = _search(borders, types, F.struct(*[F.col(c) for c in order])) if borders else F.lit(0)
-    if is_hot is not None:
-        number = F.when(is_hot, number).otherwise(0)
-    df = df.withColumn(BUCKET, number)
-    return (df.drop("__hot") if group_cols else df), True
+    schema = T.StructType([df.schema[c] for c in group_cols] + [T.StructField("__hot", T.BooleanType())])
+    table = F.broadcast(df.sparkSession.createDataFrame([(*[r[c] for c in group_cols], True) for r in hot], schema))
+    borders = _borders(keys.join(table, list(group_cols), "left_semi"), order, n_hot, max_rows)
+    if not borders:
+        return df.withColumn(BUCKET, F.lit(0)), False
+    marked = _join_bucket(df, borders, order).join(table, list(group_cols), "left")
+    return marked.withColumn(BUCKET, F.when(F.col("__hot"), F.col(BUCKET)).otherwise(0)).drop("__hot"), True
 
 
 def carry_in(df: DataFrame, per_bucket: Mapping[str, Column], group_cols: Sequence[str]) -> DataFrame:
@@ -76,7 +116,7 @@ def carry_in(df: DataFrame, per_bucket: Mapping[str, Column], group_cols: Sequen
 
 
 def with_position(df: DataFrame, order: Sequence[str] = ("t", "row_id"), group_cols: Sequence[str] = (),
-                  name: str = "pos", max_rows: int = MAX_WINDOW_ROWS) -> DataFrame:
+                  name: str = "pos", max_rows: int | None = None) -> DataFrame:
     """Add the 0-based rank of each row in its group without sorting a large group in one task."""
     df, split = with_buckets(df, order, group_cols, max_rows)
     within = Window.partitionBy(*group_cols, BUCKET).orderBy(*order)

@@ -15,9 +15,8 @@ from ..operators.impute import ALGORITHMS, Fit, fit, fitted_values
 from ..operators.impute.engine import Context
 from ..operators.matrix import check_driver_size, row_map, sum_stats
 from ..operators.moments import fold_moments, with_folds
-from ..operators.ordering import MAX_WINDOW_ROWS
 from ..operators.pca import fit_pca
-from ..operators.scaling import stats_by_group
+from ..session import keep
 
 # Fixed default: which temporary imputation each algorithm starts from.
 PREFILL = {
@@ -45,7 +44,7 @@ class FillResult:
 
 
 def start_table(df: DataFrame, variables: Sequence[str], prefill: str, order=ORDER, group_cols: Sequence[str] = (),
-                max_rows: int = MAX_WINDOW_ROWS) -> tuple[DataFrame, list[str]]:
+                max_rows: int | None = None) -> tuple[DataFrame, list[str]]:
     """The working table with prefilled copies of the variables; a mean prefill needs no copies."""
     if prefill == "mean":
         return df, []
@@ -58,19 +57,23 @@ def contexts(df: DataFrame, variables: Sequence[str], copies: list[str], compone
              group_cols: Sequence[str] = (), seed: int = 0) -> tuple[dict, dict]:
     """({group: (mu, sigma)}, {group: Context}): scaling of the prefilled table and the sums every algorithm starts from."""
     v = len(variables)
-    observed = stats_by_group(df, variables, ("n",), group_cols)
-    check_driver_size(len(observed), 2 * v * v)
-    for key, s in observed.items():
-        empty = [name for name, n in zip(variables, s["n"]) if n == 0]
+    filled = copies or list(variables)
+    table = df.groupBy(*group_cols).agg(
+        F.count(F.lit(1)).alias("rows"), *[F.count(c).alias(f"n_{i}") for i, c in enumerate(variables)],
+        *[F.count(c).alias(f"m_{i}") for i, c in enumerate(filled)],
+        *[F.avg(c).alias(f"avg_{i}") for i, c in enumerate(filled)],
+        *[F.stddev_pop(c).alias(f"sd_{i}") for i, c in enumerate(filled)]).collect()
+    check_driver_size(len(table), 2 * v * v)
+    scale, rows = {}, {}
+    for r in table:
+        key = tuple(r[c] for c in group_cols)
+        empty = [name for i, name in enumerate(variables) if not r[f"n_{i}"]]
         if empty:
             raise ValueError(f"variables without any value{f' in group {key}' if key else ''}: {empty}")
-    stats = stats_by_group(df, copies or variables, ("avg", "sd_pop", "n"), group_cols)
-    scale = {}
-    rows = {tuple(r[c] for c in group_cols): r["count"] for r in df.groupBy(*group_cols).count().collect()} \
-        if group_cols else {(): df.count()}
-    for key, s in stats.items():
-        sigma = s["sd_pop"] * np.sqrt(s["n"] / rows[key])
-        scale[key] = (s["avg"], np.where(sigma > 0, sigma, 1.0))
+        rows[key] = r["rows"]
+        # a mean prefill adds cells without spread
+        sigma = np.array([r[f"sd_{i}"] * np.sqrt(r[f"m_{i}"] / r["rows"]) for i in range(v)])
+        scale[key] = (np.array([r[f"avg_{i}"] for i in range(v)]), np.where(sigma > 0, sigma, 1.0))
 
     def kernel(key, x, z=None):
         mu, sigma = scale[key]
@@ -94,7 +97,7 @@ def contexts(df: DataFrame, variables: Sequence[str], copies: list[str], compone
 def fill_missing(df: DataFrame, variables: Sequence[str], algorithm: str, components: int | dict, *,
                  prefill: str | None = None, order: Sequence[str] = ORDER, group_cols: Sequence[str] = (),
                  n_splits: int = 5, num_repeat: int = 10, upper: int | None = None, se_rule: float = 1.0,
-                 max_iter: int = 1000, max_rounds: int = 10, seed: int = 0, max_rows: int = MAX_WINDOW_ROWS,
+                 max_iter: int = 1000, max_rounds: int = 10, seed: int = 0, max_rows: int | None = None,
                  **options) -> FillResult:
     """Fit, fill, choose the number of components again; repeat until that number has been seen before.
 
@@ -108,10 +111,10 @@ def fill_missing(df: DataFrame, variables: Sequence[str], algorithm: str, compon
         raise ValueError(f"algorithm {algorithm!r} is not one of {['MI', *ALGORITHMS]}")
     method = ALGORITHMS[algorithm](**options)
     work, copies = start_table(df, variables, prefill or PREFILL[algorithm], order, group_cols, max_rows)
-    work = work.persist()
+    work = keep(work)
     scale, ctx = contexts(work, variables, copies, components, group_cols, seed)
     if method.by_block:
-        laid_out = method.layout(work, order[1], group_cols, ctx).persist()
+        laid_out = keep(method.layout(work, order[1], group_cols, ctx))
     else:
         laid_out = work
     state = Fit(method, laid_out, variables, group_cols, copies, scale, {k: method.start(c) for k, c in ctx.items()})

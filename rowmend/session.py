@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,3 +43,31 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="rowmend-checkpoint-")
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def result_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder for stored tables beside the checkpoints, on storage every executor can reach."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+        base = tempfile.mkdtemp(prefix="rowmend-checkpoint-")
+    return f"{base.rstrip('/')}/rowmend-{name}-{uuid.uuid4().hex}"
+
+
+_kept: list[DataFrame] = []
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Cache a table that several passes read; `release_kept` drops it again.
+
+    Lost blocks are recomputed from lineage, and a released table is recomputed too, so results never depend on it.
+    """
+    df = df.persist()
+    _kept.append(df)
+    return df
+
+
+def release_kept() -> None:
+    while _kept:
+        _kept.pop().unpersist()
