@@ -7,21 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordering import BUCKET, carry_in, with_buckets
+from .ordering import BUCKET, bucket_ends, carry_in, with_buckets
 from .scaling import attach_stats
 
 METHODS = ("mean", "interpolation", "last_observed")
 ORDER = ("t", "row_id")
 
 
-def _value_at(v: str, t: str) -> Column:
-    return F.when(F.col(v).isNotNull(), F.struct(F.col(t).alias("t"), F.col(v).alias("x")))
-
-
 def with_neighbours(df: DataFrame, variables: Sequence[str], order: Sequence[str] = ORDER,
                     group_cols: Sequence[str] = (), max_rows: int | None = None,
                     split: bool | None = None) -> DataFrame:
-    """Add `__prev_<v>` and `__next_<v>`: (t, x) of the nearest observed cell at or before / after each row.
+    """Add value and time of the nearest observed cell at or before (`__prev_<v>`, `__prev_t_<v>`) and at or after
+    (`__next_<v>`, `__next_t_<v>`) each row.
 
     A table that already carries bucket numbers is used as it is; `split` then says whether any group has several.
 
@@ -36,25 +33,26 @@ def with_neighbours(df: DataFrame, variables: Sequence[str], order: Sequence[str
     up = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     down = (Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
             .rowsBetween(Window.unboundedPreceding, 0))
-    out = df.withColumns({f"__prev_{v}": F.last(_value_at(v, t), ignorenulls=True).over(up) for v in variables})
-    out = out.withColumns({f"__next_{v}": F.last(_value_at(v, t), ignorenulls=True).over(down) for v in variables})
+    out = df
+    for side, window in (("prev", up), ("next", down)):
+        out = out.withColumns(
+            {f"__{side}_{v}": F.last(v, ignorenulls=True).over(window) for v in variables}
+            | {f"__{side}_t_{v}": F.last(F.when(F.col(v).isNotNull(), F.col(t)), ignorenulls=True).over(window)
+               for v in variables})
     if split:
-        rank = F.struct(*[F.col(c) for c in order])
-        ends = {}
-        for v in variables:
-            seen = F.when(F.col(v).isNotNull(), rank)
-            ends[f"last_{v}"] = F.max_by(_value_at(v, t), seen)
-            ends[f"first_{v}"] = F.min_by(_value_at(v, t), seen)
-        out = out.join(carry_in(df, ends, group_cols), keys, "left")
-        out = out.withColumns({f"__prev_{v}": F.coalesce(f"__prev_{v}", f"before_last_{v}") for v in variables})
-        out = out.withColumns({f"__next_{v}": F.coalesce(f"__next_{v}", f"after_first_{v}") for v in variables})
-        out = out.drop(*[f"before_last_{v}" for v in variables], *[f"after_first_{v}" for v in variables])
+        carried = carry_in(bucket_ends(df, variables, order, group_cols), variables, group_cols)
+        out = out.join(F.broadcast(carried), keys, "left")
+        out = out.withColumns({
+            f"__{side}_{part}{v}": F.coalesce(F.col(f"__{side}_{part}{v}"), F.col(f"{border}_{v}.{name}"))
+            for side, border in (("prev", "before"), ("next", "after")) for part, name in (("", "x"), ("t_", "t"))
+            for v in variables})
+        out = out.drop(*[f"before_{v}" for v in variables], *[f"after_{v}" for v in variables])
     return out.drop(BUCKET) if own else out
 
 
 def _interpolated(v: str, t: str) -> Column:
-    before, after = F.col(f"__prev_{v}"), F.col(f"__next_{v}")
-    t0, x0, t1, x1 = before["t"], before["x"], after["t"], after["x"]
+    x0, x1 = F.col(f"__prev_{v}"), F.col(f"__next_{v}")
+    t0, t1 = F.col(f"__prev_t_{v}"), F.col(f"__next_t_{v}")
     line = F.when(t1 == t0, x0).otherwise(
         x0 + (x1 - x0) / F.nullif((t1 - t0).cast("double"), F.lit(0.0)) * (F.col(t) - t0))
     return F.coalesce(F.col(v), line, x0, x1)
@@ -81,7 +79,7 @@ def impute_locf(df: DataFrame, variables: Sequence[str], order: Sequence[str] =
                 split: bool | None = None) -> DataFrame:
     """Last observed value carried forward; a leading gap takes the first observed value."""
     return _fill(df, variables, order, group_cols, max_rows,
-                 lambda v: F.coalesce(F.col(v), F.col(f"__prev_{v}")["x"], F.col(f"__next_{v}")["x"]), split)
+                 lambda v: F.coalesce(F.col(v), F.col(f"__prev_{v}"), F.col(f"__next_{v}")), split)
 
 
 def impute_mean(df: DataFrame, variables: Sequence[str], group_cols: Sequence[str] = ()) -> DataFrame:
@@ -113,9 +111,11 @@ def gap_islands(df: DataFrame, variables: Sequence[str], order: Sequence[str] =
     up = (Window.partitionBy(*group_cols, BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     runs = marked.withColumns({n: F.last(c, ignorenulls=True).over(up) for n, c in seen.items()})
     if split:
-        ends = {f"last_{v}": F.max(F.when(F.col(v).isNotNull(), rank)) for v in variables}
-        runs = runs.join(carry_in(marked, ends, group_cols), [*group_cols, BUCKET], "left")
-        runs = runs.withColumns({f"__seen_{v}": F.coalesce(f"__seen_{v}", f"before_last_{v}") for v in variables})
+        ends = bucket_ends(marked, variables, order, group_cols, first=False)
+        runs = runs.join(F.broadcast(carry_in(ends, variables, group_cols)), [*group_cols, BUCKET], "left")
+        runs = runs.withColumns({f"__seen_{v}": F.coalesce(F.col(f"__seen_{v}"), F.when(
+            F.col(f"before_{v}").isNotNull(), F.struct(F.col(f"before_{v}.t").alias(order[0]),
+                                                       F.col(f"before_{v}.row_id").alias(order[1])))) for v in variables})
     cells = F.explode(F.array(*[
         F.when(F.col(v).isNull(), F.struct(F.lit(v).alias("variable"), F.col(f"__seen_{v}").alias("after")))
         for v in variables]))

@@ -8,15 +8,16 @@ same results, because values that must cross a border travel in a small table wi
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BUCKET = "__bucket"
+WHOLE = -1  # bucket number of rows in groups that were not split
 MAX_WINDOW_ROWS = 2_000_000  # a window task should not hold more rows, while the bucket table stays small
-MIN_WINDOW_ROWS = 5_000
+MIN_WINDOW_ROWS = 200_000  # below this, cutting costs more than one sort
 MAX_BUCKETS = 50_000  # bounds the border sample on the driver and the broadcast border table
 _SAMPLES_PER_BUCKET = 16
 
@@ -26,93 +27,136 @@ def window_rows(n: int, parallelism: int) -> int:
     return max(MIN_WINDOW_ROWS, min(MAX_WINDOW_ROWS, n // (3 * parallelism)))
 
 
-def _borders(keys: DataFrame, order: Sequence[str], n: int, max_rows: int) -> list[tuple]:
-    """Sampled borders of about n / max_rows consecutive buckets."""
-    buckets = min(math.ceil(n / max_rows) + 1, MAX_BUCKETS)
-    fraction = min(1.0, 1.2 * _SAMPLES_PER_BUCKET * buckets / n)
-    sample = sorted(tuple(r) for r in keys.select(*order).sample(fraction, seed=17).collect())
-    step = max(1, len(sample) // buckets)
-    return sorted(set(sample[step::step]))
-
+def spread_small(df: DataFrame, n: int, row_id: str) -> DataFrame:
+    """Rows of a small table over all cores: its few window partitions would leave most of them idle in later passes."""
+    parallelism = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(parallelism, row_id) if n < window_rows(n, parallelism) * parallelism else df
 
-def _join_bucket(df: DataFrame, borders: list[tuple], order: Sequence[str]) -> DataFrame:
-    """Number of borders below each row's key, in O(log borders) per row.
 
-    The time axis is cut into as many equal cells as there are borders; a broadcast table gives, per cell, how many borders
-    lie in earlier cells and which lie in this one, and a binary search in that short array does the rest.
+def _borders(keys: DataFrame, order: Sequence[str], group_cols: Sequence[str], n: int, max_rows: int,
+             ) -> dict[tuple, list[tuple]]:
+    """Sampled borders per large group; about n / max_rows in total."""
+    buckets = min(math.ceil(n / max_rows) + 1, MAX_BUCKETS)
+    per_bucket = n / buckets
+    fraction = min(1.0, 1.2 * _SAMPLES_PER_BUCKET / per_bucket)
+    sample: dict[tuple, list[tuple]] = {}
+    for row in keys.select(*group_cols, *order).sample(fraction, seed=17).collect():
+        sample.setdefault(tuple(row[:len(group_cols)]), []).append(tuple(row[len(group_cols):]))
+    step = max(1, round(fraction * per_bucket))
+    return {k: found for k, rows in sample.items() if (found := sorted(set(sorted(rows)[step::step])))}
+
+
+def _join_bucket(df: DataFrame, borders: dict[tuple, list[tuple]], order: Sequence[str],
+                 group_cols: Sequence[str]) -> DataFrame:
+    """Number of borders below each row's key, in O(log borders) per row; WHOLE for rows of groups without borders.
+
+    The time axis of a group is cut into as many equal cells as it has borders; a broadcast table gives, per cell, how many
+    borders lie in earlier cells and which lie in this one, and a binary search in that short array does the rest.  Both
+    broadcast tables have at most MAX_BUCKETS rows, whatever the size of the data.
     """
     spark = df.sparkSession
     t = order[0]
-    low, high = float(borders[0][0]), float(borders[-1][0])
-    cells = len(borders)
-    width = (high - low) / cells or 1.0
-
-    def cell_of(x: float) -> int:
-        return int(min(max(math.floor((x - low) / width), 0), cells - 1))
-
-    inside: dict[int, list[tuple]] = {}
-    for border in borders:
-        inside.setdefault(cell_of(float(border[0])), []).append(border)
-    rows, base = [], 0
-    for c in range(cells):
-        rows.append((c, base, inside.get(c, [])))
-        base += len(inside.get(c, []))
+    axes, rows, longest = [], [], 1
+    for key, found in borders.items():
+        low, cells = float(found[0][0]), len(found)
+        width = (float(found[-1][0]) - low) / cells or 1.0
+        inside: dict[int, list[tuple]] = {}
+        for border in found:
+            cell = int(min(max(math.floor((float(border[0]) - low) / width), 0), cells - 1))
+            inside.setdefault(cell, []).append(border)
+        longest = max(longest, *(len(v) for v in inside.values()))
+        axes.append((*key, low, width, cells))
+        base = 0
+        for cell in range(cells):
+            rows.append((*key, cell, base, inside.get(cell, [])))
+            base += len(inside.get(cell, []))
+    group_fields = [df.schema[c] for c in group_cols]
     key_type = T.StructType([T.StructField(c, df.schema[c].dataType) for c in order])
     table = spark.createDataFrame(rows, T.StructType([
-        T.StructField("__cell", T.LongType()), T.StructField("__base", T.IntegerType()),
+        *group_fields, T.StructField("__cell", T.LongType()), T.StructField("__base", T.IntegerType()),
         T.StructField("__borders", T.ArrayType(key_type))]))
-    cell = F.floor((F.col(t).cast("double") - F.lit(low)) / F.lit(width))
-    cell = F.greatest(F.lit(0).cast("bigint"), F.least(F.lit(cells - 1).cast("bigint"), cell))
-    key = F.struct(*[F.col(c) for c in order])
-    longest = max(len(v) for v in inside.values())
+    if group_cols:
+        axis = spark.createDataFrame(axes, T.StructType([
+            *group_fields, T.StructField("__low", T.DoubleType()), T.StructField("__width", T.DoubleType()),
+            T.StructField("__cells", T.LongType())]))
+        df = df.join(F.broadcast(axis), list(group_cols), "left")
+    else:
+        low, width, cells = axes[0]
+        df = df.withColumns({"__low": F.lit(low), "__width": F.lit(width), "__cells": F.lit(cells).cast("bigint")})
+    cell = F.floor((F.col(t).cast("double") - F.col("__low")) / F.col("__width"))
+    cell = F.greatest(F.lit(0).cast("bigint"), F.least(F.col("__cells") - 1, cell))
+    df = df.withColumn("__cell", F.when(F.col("__cells").isNotNull(), cell))
     steps = F.array(*[F.lit(2 ** i) for i in reversed(range(longest.bit_length()))])
+    key = F.struct(*[F.col(c) for c in order])
     found = F.aggregate(steps, F.lit(0), lambda pos, step: F.when(
         F.get("__borders", pos + step - 1) < key, pos + step).otherwise(pos))
-    # one row per cell, at most MAX_BUCKETS: safe to broadcast whatever the table's size
-    joined = df.withColumn("__cell", cell).join(F.broadcast(table), "__cell", "left")
-    return (joined.withColumn(BUCKET, F.coalesce(F.col("__base") + found, F.lit(0)))
-            .drop("__cell", "__base", "__borders"))
+    joined = df.join(F.broadcast(table), [*group_cols, "__cell"], "left")
+    return (joined.withColumn(BUCKET, F.coalesce(F.col("__base") + found, F.lit(WHOLE)))
+            .drop("__cell", "__base", "__borders", "__low", "__width", "__cells"))
 
 
 def with_buckets(df: DataFrame, order: Sequence[str], group_cols: Sequence[str] = (),
                  max_rows: int | None = None) -> tuple[DataFrame, bool]:
     """Add the bucket number; the flag says whether any group was split.  `order` starts with a numeric time."""
+    columns = df.columns
     keys = df.select(*group_cols, *order)
     parallelism = df.sparkSession.sparkContext.defaultParallelism
-    if not group_cols:
+    if group_cols:
+        counts = keys.groupBy(*group_cols).count()
+        if max_rows is None:
+            max_rows = window_rows(counts.agg(F.sum("count")).first()[0] or 0, parallelism)
+        hot = counts.filter(F.col("count") > max_rows).collect()  # at most rows / max_rows entries
+        n = sum(r["count"] for r in hot)
+        if hot:
+            table = df.sparkSession.createDataFrame([tuple(r[c] for c in group_cols) for r in hot],
+                                                    T.StructType([df.schema[c] for c in group_cols]))
+            keys = keys.join(F.broadcast(table), list(group_cols), "left_semi")
+    else:
         n = keys.count()
         max_rows = max_rows or window_rows(n, parallelism)
-        borders = _borders(keys, order, n, max_rows) if n > max_rows else []
-        if not borders:
-            return df.withColumn(BUCKET, F.lit(0)), False
-        return _join_bucket(df, borders, order), True
-    counts = keys.groupBy(*group_cols).count()
-    if max_rows is None:
-        max_rows = window_rows(counts.agg(F.sum("count")).first()[0] or 0, parallelism)
-    hot = counts.filter(F.col("count") > max_rows).collect()  # at most rows / max_rows entries
-    n_hot = sum(r["count"] for r in hot)
-    if not n_hot:
-        return df.withColumn(BUCKET, F.lit(0)), False
-    schema = T.StructType([df.schema[c] for c in group_cols] + [T.StructField("__hot", T.BooleanType())])
-    table = F.broadcast(df.sparkSession.createDataFrame([(*[r[c] for c in group_cols], True) for r in hot], schema))
-    borders = _borders(keys.join(table, list(group_cols), "left_semi"), order, n_hot, max_rows)
+        n = n if n > max_rows else 0
+    borders = _borders(keys, order, group_cols, n, max_rows) if n else {}
     if not borders:
-        return df.withColumn(BUCKET, F.lit(0)), False
-    marked = _join_bucket(df, borders, order).join(table, list(group_cols), "left")
-    return marked.withColumn(BUCKET, F.when(F.col("__hot"), F.col(BUCKET)).otherwise(0)).drop("__hot"), True
+        return df.withColumn(BUCKET, F.lit(WHOLE)), False
+    return _join_bucket(df, borders, order, group_cols).select(*columns, BUCKET), True
 
 
-def carry_in(df: DataFrame, per_bucket: Mapping[str, Column], group_cols: Sequence[str]) -> DataFrame:
-    """One row per bucket with the last non-null value of each aggregate over earlier buckets (`before_*`) and the
-    first over later buckets (`after_*`)."""
-    edges = df.groupBy(*group_cols, BUCKET).agg(*[c.alias(n) for n, c in per_bucket.items()])
+def bucket_ends(df: DataFrame, variables: Sequence[str], order: Sequence[str], group_cols: Sequence[str],
+                first: bool = True) -> DataFrame:
+    """One row per bucket with the last (and first) observed cell of every variable, as structs (t, row_id, x).
+
+    Two scans with hash aggregates over plain numbers: first the border times, then the cell with the largest (smallest) row id
+    among those at that time.  A single max_by over (t, row_id) structs would sort the whole table.
+    """
+    t, row_id = order
+    keys = [*group_cols, BUCKET]
+    df = df.filter(F.col(BUCKET) != WHOLE)  # leaves at most MAX_BUCKETS buckets, so their ends may be broadcast
+    sides = {"last": (F.max, F.max_by), "first": (F.min, F.min_by)} if first else {"last": (F.max, F.max_by)}
+    seen = {v: F.col(v).isNotNull() for v in variables}
+    times = df.groupBy(*keys).agg(*[
+        extreme(F.when(seen[v], F.col(t))).alias(f"__{s}_t_{v}") for s, (extreme, _) in sides.items() for v in variables])
+    at_end = {(s, v): seen[v] & (F.col(t) == F.col(f"__{s}_t_{v}")) for s in sides for v in variables}
+    aggregates = []
+    for s, (extreme, extreme_by) in sides.items():
+        for v in variables:
+            rank = F.when(at_end[s, v], F.col(row_id))
+            aggregates += [extreme_by(F.col(v), rank).alias(f"__{s}_x_{v}"), extreme(rank).alias(f"__{s}_r_{v}"),
+                           F.first(f"__{s}_t_{v}", ignorenulls=True).alias(f"__{s}_tt_{v}")]
+    found = df.join(F.broadcast(times), keys).groupBy(*keys).agg(*aggregates)
+    return found.select(*keys, *[
+        F.when(F.col(f"__{s}_r_{v}").isNotNull(), F.struct(
+            F.col(f"__{s}_tt_{v}").alias("t"), F.col(f"__{s}_r_{v}").alias("row_id"), F.col(f"__{s}_x_{v}").alias("x"))
+        ).alias(f"{s}_{v}") for s in sides for v in variables])
+
+
+def carry_in(ends: DataFrame, variables: Sequence[str], group_cols: Sequence[str]) -> DataFrame:
+    """Per bucket, the last observed cell of earlier buckets (`before_<v>`) and the first of later ones (`after_<v>`)."""
     earlier = Window.partitionBy(*group_cols).orderBy(F.col(BUCKET)).rowsBetween(Window.unboundedPreceding, -1)
     later = Window.partitionBy(*group_cols).orderBy(F.col(BUCKET).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    return edges.select(*group_cols, BUCKET,
-                        *[F.last(n, ignorenulls=True).over(earlier).alias(f"before_{n}")
-                          for n in per_bucket if n.startswith("last_")],
-                        *[F.last(n, ignorenulls=True).over(later).alias(f"after_{n}")
-                          for n in per_bucket if n.startswith("first_")])
+    columns = [F.last(f"last_{v}", ignorenulls=True).over(earlier).alias(f"before_{v}") for v in variables]
+    if f"first_{variables[0]}" in ends.columns:
+        columns += [F.last(f"first_{v}", ignorenulls=True).over(later).alias(f"after_{v}") for v in variables]
+    return ends.select(*group_cols, BUCKET, *columns)
 
 
 def with_position(df: DataFrame, order: Sequence[str] = ("t", "row_id"), group_cols: Sequence[str] = (),
@@ -122,9 +166,9 @@ def with_position(df: DataFrame, order: Sequence[str] = ("t", "row_id"), group_c
     within = Window.partitionBy(*group_cols, BUCKET).orderBy(*order)
     df = df.withColumn(name, (F.row_number().over(within) - 1).cast("bigint"))
     if split:
-        counts = df.groupBy(*group_cols, BUCKET).agg(F.count(F.lit(1)).alias("__n"))
+        counts = df.filter(F.col(BUCKET) != WHOLE).groupBy(*group_cols, BUCKET).agg(F.count(F.lit(1)).alias("__n"))
         earlier = Window.partitionBy(*group_cols).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
         offsets = counts.select(*group_cols, BUCKET, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__offset"))
-        df = (df.join(offsets, [*group_cols, BUCKET])
-              .withColumn(name, F.col(name) + F.col("__offset")).drop("__offset"))
+        df = (df.join(F.broadcast(offsets), [*group_cols, BUCKET], "left")
+              .withColumn(name, F.col(name) + F.coalesce(F.col("__offset"), F.lit(0))).drop("__offset"))
     return df.drop(BUCKET)

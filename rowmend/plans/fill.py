@@ -16,6 +16,7 @@ from ..operators.impute.engine import Context
 from ..operators.matrix import check_driver_size, row_map, sum_stats
 from ..operators.moments import fold_moments, with_folds
 from ..operators.pca import fit_pca
+from ..operators.ordering import spread_small
 from ..session import keep
 
 # Fixed default: which temporary imputation each algorithm starts from.
@@ -50,7 +51,7 @@ def start_table(df: DataFrame, variables: Sequence[str], prefill: str, order=ORD
         return df, []
     copies = [f"__z_{v}" for v in variables]
     df = df.withColumns({z: F.col(v) for z, v in zip(copies, variables)})
-    return impute(df, copies, prefill, order, group_cols, max_rows), copies
+    return spread_small(impute(df, copies, prefill, order, group_cols, max_rows), df.count(), order[1]), copies
 
 
 def contexts(df: DataFrame, variables: Sequence[str], copies: list[str], components: int | dict,
