@@ -42,11 +42,11 @@ def with_neighbours(df: DataFrame, variables: Sequence[str], order: Sequence[str
     if split:
         carried = carry_in(bucket_ends(df, variables, order, group_cols), variables, group_cols)
         out = out.join(F.broadcast(carried), keys, "left")
+        borders = (("prev", "before"), ("next", "after"))
         out = out.withColumns({
-            f"__{side}_{part}{v}": F.coalesce(F.col(f"__{side}_{part}{v}"), F.col(f"{border}_{v}.{name}"))
-            for side, border in (("prev", "before"), ("next", "after")) for part, name in (("", "x"), ("t_", "t"))
-            for v in variables})
-        out = out.drop(*[f"before_{v}" for v in variables], *[f"after_{v}" for v in variables])
+            f"__{side}_{part}{v}": F.coalesce(F.col(f"__{side}_{part}{v}"), F.col(f"{border}_{part}{v}"))
+            for side, border in borders for part in ("", "t_") for v in variables})
+        out = out.drop(*[f"{border}_{part}{v}" for _, border in borders for part in ("", "t_") for v in variables])
     return out.drop(BUCKET) if own else out
 
 
@@ -111,11 +111,12 @@ def gap_islands(df: DataFrame, variables: Sequence[str], order: Sequence[str] =
     up = (Window.partitionBy(*group_cols, BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     runs = marked.withColumns({n: F.last(c, ignorenulls=True).over(up) for n, c in seen.items()})
     if split:
-        ends = bucket_ends(marked, variables, order, group_cols, first=False)
-        runs = runs.join(F.broadcast(carry_in(ends, variables, group_cols)), [*group_cols, BUCKET], "left")
+        ends = bucket_ends(marked, variables, order, group_cols, ("last",), "row_id")
+        carried = carry_in(ends, variables, group_cols, ("last",))
+        runs = runs.join(F.broadcast(carried), [*group_cols, BUCKET], "left")
         runs = runs.withColumns({f"__seen_{v}": F.coalesce(F.col(f"__seen_{v}"), F.when(
-            F.col(f"before_{v}").isNotNull(), F.struct(F.col(f"before_{v}.t").alias(order[0]),
-                                                       F.col(f"before_{v}.row_id").alias(order[1])))) for v in variables})
+            F.col(f"before_{v}").isNotNull(),
+            F.struct(F.col(f"before_t_{v}").alias(order[0]), F.col(f"before_{v}").alias(order[1])))) for v in variables})
     cells = F.explode(F.array(*[
         F.when(F.col(v).isNull(), F.struct(F.lit(v).alias("variable"), F.col(f"__seen_{v}").alias("after")))
         for v in variables]))

@@ -109,13 +109,21 @@ class PCADA(Replayed):
         residual = x - estimate
         base = np.where(missing, estimate, x)
         drawn = self.borrowed(residual, missing, donors)
-        grams = []
-        for k in range(self.copies):
-            copy = base.copy()
-            for j, values in enumerate(drawn):
-                copy[missing[:, j], j] += values[k]
-            grams.append((copy.T @ copy).ravel())
-        return np.append(np.concatenate(grams), np.where(missing, 0.0, residual ** 2).sum())
+        v = x.shape[1]
+        # A copy differs from the base on missing cells only: G_k = G + D_k'B + B'D_k + D_k'D_k.
+        grams = np.repeat((base.T @ base)[None], self.copies, axis=0)
+        gaps = [np.flatnonzero(missing[:, j]) for j in range(v)]
+        for j in range(v):
+            cross = drawn[j] @ base[gaps[j]]
+            grams[:, j, :] += cross
+            grams[:, :, j] += cross
+            for i in range(j + 1):
+                _, here, there = np.intersect1d(gaps[j], gaps[i], assume_unique=True, return_indices=True)
+                both = np.einsum("km,km->k", drawn[j][:, here], drawn[i][:, there])
+                grams[:, j, i] += both
+                if i < j:
+                    grams[:, i, j] += both
+        return np.append(grams.ravel(), np.where(missing, 0.0, residual ** 2).sum())
 
     def update(self, params, sums, last):
         mse = sums[-1] / params["cells"]

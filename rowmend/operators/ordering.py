@@ -122,8 +122,8 @@ def with_buckets(df: DataFrame, order: Sequence[str], group_cols: Sequence[str]
 
 
 def bucket_ends(df: DataFrame, variables: Sequence[str], order: Sequence[str], group_cols: Sequence[str],
-                first: bool = True) -> DataFrame:
-    """One row per bucket with the last (and first) observed cell of every variable, as structs (t, row_id, x).
+                sides: Sequence[str] = ("last", "first"), what: str = "value") -> DataFrame:
+    """One row per bucket with `t` and value (or row id) of the last and first observed cell of every variable.
 
     Two scans with hash aggregates over plain numbers: first the border times, then the cell with the largest (smallest) row id
     among those at that time.  A single max_by over (t, row_id) structs would sort the whole table.
@@ -131,32 +131,28 @@ def bucket_ends(df: DataFrame, variables: Sequence[str], order: Sequence[str], g
     t, row_id = order
     keys = [*group_cols, BUCKET]
     df = df.filter(F.col(BUCKET) != WHOLE)  # leaves at most MAX_BUCKETS buckets, so their ends may be broadcast
-    sides = {"last": (F.max, F.max_by), "first": (F.min, F.min_by)} if first else {"last": (F.max, F.max_by)}
-    seen = {v: F.col(v).isNotNull() for v in variables}
+    pick = {"last": (F.max, F.max_by), "first": (F.min, F.min_by)}
     times = df.groupBy(*keys).agg(*[
-        extreme(F.when(seen[v], F.col(t))).alias(f"__{s}_t_{v}") for s, (extreme, _) in sides.items() for v in variables])
-    at_end = {(s, v): seen[v] & (F.col(t) == F.col(f"__{s}_t_{v}")) for s in sides for v in variables}
-    aggregates = []
-    for s, (extreme, extreme_by) in sides.items():
+        pick[s][0](F.when(F.col(v).isNotNull(), F.col(t))).alias(f"{s}_t_{v}") for s in sides for v in variables])
+    cells = []
+    for s in sides:
         for v in variables:
-            rank = F.when(at_end[s, v], F.col(row_id))
-            aggregates += [extreme_by(F.col(v), rank).alias(f"__{s}_x_{v}"), extreme(rank).alias(f"__{s}_r_{v}"),
-                           F.first(f"__{s}_t_{v}", ignorenulls=True).alias(f"__{s}_tt_{v}")]
-    found = df.join(F.broadcast(times), keys).groupBy(*keys).agg(*aggregates)
-    return found.select(*keys, *[
-        F.when(F.col(f"__{s}_r_{v}").isNotNull(), F.struct(
-            F.col(f"__{s}_tt_{v}").alias("t"), F.col(f"__{s}_r_{v}").alias("row_id"), F.col(f"__{s}_x_{v}").alias("x"))
-        ).alias(f"{s}_{v}") for s in sides for v in variables])
-
-
-def carry_in(ends: DataFrame, variables: Sequence[str], group_cols: Sequence[str]) -> DataFrame:
-    """Per bucket, the last observed cell of earlier buckets (`before_<v>`) and the first of later ones (`after_<v>`)."""
-    earlier = Window.partitionBy(*group_cols).orderBy(F.col(BUCKET)).rowsBetween(Window.unboundedPreceding, -1)
-    later = Window.partitionBy(*group_cols).orderBy(F.col(BUCKET).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    columns = [F.last(f"last_{v}", ignorenulls=True).over(earlier).alias(f"before_{v}") for v in variables]
-    if f"first_{variables[0]}" in ends.columns:
-        columns += [F.last(f"first_{v}", ignorenulls=True).over(later).alias(f"after_{v}") for v in variables]
-    return ends.select(*group_cols, BUCKET, *columns)
+            rank = F.when(F.col(v).isNotNull() & (F.col(t) == F.col(f"{s}_t_{v}")), F.col(row_id))
+            cells.append((pick[s][1](F.col(v), rank) if what == "value" else pick[s][0](rank)).alias(f"{s}_{v}"))
+    return df.join(F.broadcast(times), keys).groupBy(*keys).agg(*cells).join(F.broadcast(times), keys)
+
+
+def carry_in(ends: DataFrame, variables: Sequence[str], group_cols: Sequence[str],
+             sides: Sequence[str] = ("last", "first")) -> DataFrame:
+    """Per bucket, the last observed cell of earlier buckets (`before_<v>`, `before_t_<v>`) and the first of later ones
+    (`after_<v>`, `after_t_<v>`)."""
+    windows = {
+        "last": Window.partitionBy(*group_cols).orderBy(F.col(BUCKET)).rowsBetween(Window.unboundedPreceding, -1),
+        "first": Window.partitionBy(*group_cols).orderBy(F.col(BUCKET).desc()).rowsBetween(Window.unboundedPreceding, -1)}
+    names = {"last": "before", "first": "after"}
+    return ends.select(*group_cols, BUCKET, *[
+        F.last(f"{s}_{part}{v}", ignorenulls=True).over(windows[s]).alias(f"{names[s]}_{part}{v}")
+        for s in sides for part in ("", "t_") for v in variables])
 
 
 def with_position(df: DataFrame, order: Sequence[str] = ("t", "row_id"), group_cols: Sequence[str] = (),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -72,11 +73,15 @@ def preprocess(df: DataFrame, variables: Sequence[str], mode: str = "standardize
     if mode == "none":
         return df
     sd = "sd" if ddof else "sd_pop"
-    joined, stat = attach_stats(df, variables, ("avg", sd), group_cols)
+    joined, stat = attach_stats(df, variables, ("n", "avg", "sd", "sd_pop"), group_cols)
     if mode == "mean_center":
         scaled = {v: F.col(v) - stat(v, "avg") for v in variables}
     else:
-        scaled = {v: scale_column(F.col(v), stat(v, "avg"), stat(v, sd)) for v in variables}
+        # a deviation below the rounding noise of the whole table counts as none
+        squares = [stat(v, "n") * (stat(v, "avg") * stat(v, "avg") + stat(v, "sd_pop") * stat(v, "sd_pop")) for v in variables]
+        floor = F.lit(3 * np.finfo(float).eps) * F.sqrt(reduce(lambda a, b: a + b, squares))
+        scaled = {v: scale_column(F.col(v), stat(v, "avg"), F.when(stat(v, sd) >= floor, stat(v, sd)).otherwise(0.0))
+                  for v in variables}
     return joined.withColumns(scaled).select(*df.columns)
 
 

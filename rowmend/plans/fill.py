@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.components import argmin_rmsecv, choose_components
+from ..operators.components import argmin_rmsecv, choose_components, press_matrix
 from ..operators.gaps import ORDER, impute, impute_mean
 from ..operators.impute import ALGORITHMS, Fit, fit, fitted_values
 from ..operators.impute.engine import Context
@@ -95,15 +95,45 @@ def contexts(df: DataFrame, variables: Sequence[str], copies: list[str], compone
     return scale, out
 
 
+@dataclass
+class Start:
+    """A prefilled, cached table with its scaling and sums; algorithms with the same prefill share one."""
+
+    table: DataFrame
+    copies: list[str]
+    scale: dict
+    contexts: dict[tuple, Context]
+
+
+def prepare(df: DataFrame, variables: Sequence[str], prefill: str, components: int | dict, order: Sequence[str] = ORDER,
+            group_cols: Sequence[str] = (), seed: int = 0, max_rows: int | None = None) -> Start:
+    table, copies = start_table(df, variables, prefill, order, group_cols, max_rows)
+    table = keep(table)
+    return Start(table, copies, *contexts(table, variables, copies, components, group_cols, seed))
+
+
+RULES = ("one_se", "argmin")
+
+
+def _proposal(total, folds, n_splits, upper, se_rule, rule) -> int:
+    if rule == "one_se":
+        return choose_components(total, folds, n_splits, upper, se_rule)
+    return int(press_matrix(total, folds, n_splits, upper).sum(axis=1).argmin()) + 1
+
+
 def fill_missing(df: DataFrame, variables: Sequence[str], algorithm: str, components: int | dict, *,
                  prefill: str | None = None, order: Sequence[str] = ORDER, group_cols: Sequence[str] = (),
                  n_splits: int = 5, num_repeat: int = 10, upper: int | None = None, se_rule: float = 1.0,
-                 max_iter: int = 1000, max_rounds: int = 10, seed: int = 0, max_rows: int | None = None,
-                 **options) -> FillResult:
+                 rule: str = "one_se", warm_start: bool = True, max_iter: int = 1000, max_rounds: int = 10, seed: int = 0,
+                 max_rows: int | None = None, start: Start | None = None, **options) -> FillResult:
     """Fit, fill, choose the number of components again; repeat until that number has been seen before.
 
     Returns the filled table in original units; observed cells never change.  max_rounds=0 fits once and keeps the number.
+    rule='argmin' takes the smallest cross-validation error instead of the one-standard-error rule; warm_start=False
+    starts every round from the prefilled table.
     """
+    if rule not in RULES:
+        raise ValueError(f"rule {rule!r} is not one of {RULES}")
     variables, group_cols = list(variables), list(group_cols)
     if algorithm == "MI":
         kept = components if isinstance(components, dict) else {(): components}
@@ -111,9 +141,9 @@ def fill_missing(df: DataFrame, variables: Sequence[str], algorithm: str, compon
     if algorithm not in ALGORITHMS:
         raise ValueError(f"algorithm {algorithm!r} is not one of {['MI', *ALGORITHMS]}")
     method = ALGORITHMS[algorithm](**options)
-    work, copies = start_table(df, variables, prefill or PREFILL[algorithm], order, group_cols, max_rows)
-    work = keep(work)
-    scale, ctx = contexts(work, variables, copies, components, group_cols, seed)
+    start = start or prepare(df, variables, prefill or PREFILL[algorithm], components, order, group_cols, seed, max_rows)
+    work, copies, scale = start.table, start.copies, start.scale
+    ctx = {k: replace(c) for k, c in start.contexts.items()}
     if method.by_block:
         laid_out = keep(method.layout(work, order[1], group_cols, ctx))
     else:
@@ -133,15 +163,17 @@ def fill_missing(df: DataFrame, variables: Sequence[str], algorithm: str, compon
         again = {}
         for key in open_groups:
             total, folds = found[key]
-            proposal = choose_components(total, folds, n_splits, upper, se_rule)
+            proposal = _proposal(total, folds, n_splits, upper, se_rule, rule)
             proposals[key].append(proposal)
             if chosen[key] in proposals[key]:
                 continue
             chosen[key] = proposal
             if method.uses_components:
                 c = ctx[key]
-                c.a, c.n, c.s, c.g = proposal, c.n, total.s, total.g
-                again[key] = method.start(c, state.params[key])
+                c.a = proposal
+                if warm_start:
+                    c.s, c.g = total.s, total.g
+                again[key] = method.start(c, state.params[key] if warm_start else None)
         state.params.update(again)
         open_groups = set(again)
         if not again:
@@ -181,15 +213,23 @@ def fill_als(df: DataFrame, variables: Sequence[str], components: int, candidate
 
 def run_all(df: DataFrame, variables: Sequence[str], components: int, algorithms: Sequence[str] | None = None,
             **options) -> dict[str, FillResult]:
-    """Every algorithm in turn; one that fails, or leaves cells empty, is reported and does not stop the others."""
-    results = {}
+    """Every algorithm in turn; one that fails, or leaves cells empty, is reported and does not stop the others.
+
+    Algorithms with the same prefill share one prefilled, cached table.
+    """
+    results: dict[str, FillResult] = {}
+    starts: dict[str, Start] = {}
+    shared = {k: options[k] for k in ("order", "group_cols", "seed", "max_rows") if k in options}
     for name in algorithms or ["MI", *ALGORITHMS]:
         try:
+            method = options.get("prefill") or PREFILL[name]
+            if name not in ("MI", "ALS") and method not in starts:
+                starts[method] = prepare(df, variables, method, components, **shared)
             if name == "ALS":
                 keep = ("order", "seed", "max_iter")
                 result = fill_als(df, variables, components, **{k: v for k, v in options.items() if k in keep})
             else:
-                result = fill_missing(df, variables, name, components, **options)
+                result = fill_missing(df, variables, name, components, start=starts.get(method), **options)
             empty = result.df.agg(F.sum(sum(F.col(v).isNull().cast("long") for v in variables))).first()[0]
             if empty:
                 result.status, result.error = "incomplete", f"{empty} cells left missing"
