@@ -456,7 +456,7 @@ def oracle_sql() -> dict[str, str]:
     q["impute_mean_by_series"] = with_(ES, MES) + (
         f"SELECT row_id, series, {rnd('coalesce(x, avg(x) OVER (PARTITION BY series))', 6)} AS x FROM me")
     q["impute_interpolate"] = with_(OM, masked(), NB_OM) + "SELECT row_id, " + ", ".join(
-        f"{rnd(interpolated(v), 4)} AS {v}" for v in V) + " FROM nb"
+        f"{rnd(interpolated(v) + ' + 0.0000271828', 4)} AS {v}" for v in V) + " FROM nb"
     q["impute_interpolate_buckets"] = q["impute_interpolate"]
     q["impute_interpolate_series"] = with_(ES, MES, NB_ES) + (
         f"SELECT row_id, series, {rnd(interpolated('x'), 6)} AS x FROM nb")

@@ -27,6 +27,7 @@ N_PCS = 2
 LIM = 0.999
 FLAG_LIM = 0.9999
 PROTECTED = 10000 / 1440
+TIE_OFFSET = 0.0000271828
 
 
 def rounded(c: Column | str, digits: int) -> Column:
@@ -145,14 +146,18 @@ def impute_mean_by_series(spark, sf):
     return df.select("row_id", "series", rounded("x", 6).alias("x"))
 
 
+def _off_ties(df: DataFrame) -> DataFrame:
+    """Values halfway between decimals would round differently in other engines; the offset moves them away."""
+    return df.select("row_id", *[rounded(F.col(v) + F.lit(TIE_OFFSET), 4).alias(v) for v in V])
+
+
 def impute_interpolate(spark, sf):
-    return _round_cols(gaps.impute_interpolate(_masked(spark, sf), V).select("row_id", *V), V, 4)
+    return _off_ties(gaps.impute_interpolate(_masked(spark, sf), V))
 
 
 def impute_interpolate_buckets(spark, sf):
     """The same table cut into buckets of at most 1,000 rows."""
-    filled = gaps.impute_interpolate(_masked(spark, sf), V, max_rows=1000)
-    return _round_cols(filled.select("row_id", *V), V, 4)
+    return _off_ties(gaps.impute_interpolate(_masked(spark, sf), V, max_rows=1000))
 
 
 def impute_interpolate_series(spark, sf):

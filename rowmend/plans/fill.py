@@ -64,7 +64,7 @@ def contexts(df: DataFrame, variables: Sequence[str], copies: list[str], compone
         *[F.count(c).alias(f"m_{i}") for i, c in enumerate(filled)],
         *[F.avg(c).alias(f"avg_{i}") for i, c in enumerate(filled)],
         *[F.stddev_pop(c).alias(f"sd_{i}") for i, c in enumerate(filled)]).collect()
-    check_driver_size(len(table), 2 * v * v)
+    check_driver_size(len(table), 64 * v * v)  # the widest statistics: 50 Gram matrices and as many folds
     scale, rows = {}, {}
     for r in table:
         key = tuple(r[c] for c in group_cols)

@@ -102,13 +102,17 @@ def test_outliers_are_found_protected_and_sticky(spark):
 def test_clean_pipeline(spark):
     x = low_rank(600, V, 2, 0.1)
     x[100] = np.nan
-    x[200, 3] += 8 * x[:, 3].std()
+    x[200, 3] += 8 * np.nanstd(x[:, 3])
     result = clean(to_spark(spark, x, np.arange(600) / 2.0), COLS, condition=F.col("t") < 250, num_repeat=1, max_iter=3,
                    min_elements=1)
     gone = result.labelled.filter("label_x1 = 'removed'").count()
     assert result.labelled.count() == 500 and 1 <= gone <= 2 and result.ready.count() == 500 - gone
-    ready = result.ready.filter("row_id = 200").first()
-    assert ready["x4"] is None and ready["label_x4"] == "replaced"
+    ready = result.ready.toPandas()
+    for v in COLS:
+        assert (ready[v].isna() == (ready[selection.label(v)] != "observed")).all()
+        assert set(ready[selection.label(v)]) <= {"observed", "imputed", "replaced"}
+    spike = result.labelled.filter("row_id = 200").first()
+    assert spike["x4"] == pytest.approx(x[200, 3]) and spike["label_x4"] in ("outlier", "removed")
     removed = result.labelled.filter("row_id = 100").first()
     assert all(removed[selection.label(v)] == "removed" for v in COLS)
     with pytest.raises(ValueError):

@@ -41,8 +41,16 @@ def compare(spark_names, spark_rows, sql_names, sql_rows) -> str:
     wrong = [(x, y) for x, y in zip(a, b) if x != y]
     if wrong:
         return f"VALUES differ in {len(wrong)} of {len(a)} rows, e.g. {wrong[0]}"
-    types = {(i, type(x), type(y)) for x, y in zip(a[0], b[0]) for i in [0] if type(x) is not type(y)} if a else set()
-    return "ok" + (f" (types {types})" if types else "")
+    return "ok"
+
+
+# Spark and DuckDB names of the same type.
+SAME_TYPE = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR"}
+
+
+def type_differences(dtypes, description) -> list[str]:
+    sql = {d[0]: str(d[1]) for d in description}
+    return [f"{n}: {t} vs {sql[n]}" for n, t in dtypes if SAME_TYPE.get(t) != sql.get(n)]
 
 
 def connect(sf: str):
@@ -75,9 +83,11 @@ def main() -> int:
                 expected = cursor.fetchall()
                 sql_time = time.time() - start
                 verdict = f"{len(rows)} rows: " + compare(df.columns, rows, [d[0] for d in cursor.description], expected)
+                other = type_differences(df.dtypes, cursor.description)
+                verdict += f"  TYPES {other}" if other else ""
         except Exception as error:  # noqa: BLE001 - keep checking the others
             verdict, spent, sql_time = f"ERROR {type(error).__name__}: {str(error)[:700]}", time.time() - start, 0.0
-        good = verdict.startswith("rows only") or ": ok" in verdict
+        good = verdict.startswith("rows only") or verdict.endswith(": ok")
         bad += not good
         print(f"{'    ' if good else 'BAD '}{name:28s} spark {spent:6.2f}s sql {sql_time:5.2f}s  {verdict}", flush=True)
         spark.catalog.clearCache()
