@@ -243,15 +243,19 @@ bis(what, dof, mean, step, lo, hi) AS (
 lims AS (SELECT what, mean / dof * (lo + hi) / 2 AS lim FROM bis WHERE step = 60)"""
 
 
-def press(n_splits: int, seed: int, sd: str, k: int = 2) -> list[str]:
-    """pr(f, a, press) for one repeat of k-fold with 1..k components."""
+def press(n_splits: int, seed: int, sd: str, k: int = 2, repeats: int = 1) -> list[str]:
+    """pr(f, a, press) of repeated k-fold with 1..k components; f numbers the splits of all repeats."""
+    folds = " UNION ALL ".join(
+        f"SELECT row_id, {r} AS rep, floor({u(lit(seed), lit(r // 4), 'row_id', slot=r % 4)} * {n_splits})::INT + {r * n_splits} AS f FROM om"
+        for r in range(repeats))
     return [
-        f"fold AS MATERIALIZED (SELECT row_id, floor({u(lit(seed), lit(0), 'row_id')} * {n_splits})::INT AS f FROM om)",
+        f"fold AS MATERIALIZED ({folds})",
+        "split AS MATERIALIZED (SELECT DISTINCT rep, f FROM fold)",
         long("om", "raw"),
         f"tr AS MATERIALIZED (SELECT g.f, i, avg(x) AS mu, {sd}(x) AS sd FROM raw JOIN fold USING (row_id) "
-        f"JOIN (SELECT unnest(range({n_splits}))::INT AS f) g ON g.f <> fold.f GROUP BY g.f, i)",
-        "ztr AS MATERIALIZED (SELECT row_id, tr.f, i, (x - mu) / sd AS z FROM raw JOIN fold USING (row_id) "
-        "JOIN tr USING (i) WHERE fold.f <> tr.f)",
+        "JOIN split g ON g.rep = fold.rep AND g.f <> fold.f GROUP BY g.f, i)",
+        "ztr AS MATERIALIZED (SELECT row_id, g.f, i, (x - mu) / sd AS z FROM raw JOIN fold USING (row_id) "
+        "JOIN split g ON g.rep = fold.rep AND g.f <> fold.f JOIN tr ON tr.f = g.f AND tr.i = raw.i)".replace("row_id, g.f, i,", "row_id, g.f, raw.i,"),
         "fcor AS MATERIALIZED (SELECT a.f, a.i, b.i AS j, sum(a.z * b.z) / (count(*) - 1) AS v FROM ztr a JOIN ztr b "
         "USING (row_id, f) GROUP BY a.f, a.i, b.i)",
         *eig("fcor", k, "fp", "f"),
@@ -271,7 +275,7 @@ PRESS5 = press(5, 1, "stddev_samp")
 
 P0 = repr(1 / math.sqrt(len(V)))
 FIT_START = [
-    OM, masked(), long("m", "raw"),
+    OM, "m_here", long("m", "raw"),
     "n1 AS MATERIALIZED (SELECT count(*) AS n FROM om)",
     "st AS MATERIALIZED (SELECT i, mu, sqrt(sum((x - mu) * (x - mu)) / (SELECT n FROM n1)) AS sd FROM raw JOIN "
     "(SELECT i, avg(x) AS mu FROM raw GROUP BY i) USING (i) GROUP BY i, mu)",
@@ -279,6 +283,11 @@ FIT_START = [
 ]
 
 
+def fit_start(mask: str | None = None) -> list[str]:
+    """Scaled observed cells xs(row_id, i, x) of the order matrix under a mask."""
+    return [c if c != "m_here" else (mask or masked()) for c in FIT_START]
+
+
 def refill(hat: str) -> str:
     """Wide result from hat(row_id, i, h) in scaled units."""
     cells = each(f"max(CASE WHEN i = {{i}} THEN {rnd('coalesce(r.x, h.h * sd + mu) + 0.00003', 3)} END) AS {{v}}")
@@ -286,7 +295,7 @@ def refill(hat: str) -> str:
 
 
 def alternating(iterations: int) -> str:
-    c = [*FIT_START, f"q0 AS (SELECT i, {P0}::DOUBLE AS p, 0.0::DOUBLE AS mu FROM st)"]
+    c = [*fit_start(), f"q0 AS (SELECT i, {P0}::DOUBLE AS p, 0.0::DOUBLE AS mu FROM st)"]
     for k in range(1, iterations + 1):
         c += [f"t{k} AS MATERIALIZED (SELECT row_id, coalesce(sum(p * (x - q{k-1}.mu)) / sum(CASE WHEN x IS NOT NULL THEN p * p END), 0) AS t "
               f"FROM xs JOIN q{k-1} USING (i) GROUP BY row_id)",
@@ -298,7 +307,7 @@ def alternating(iterations: int) -> str:
 
 
 def ppca(iterations: int) -> str:
-    c = [*FIT_START, f"q0 AS (SELECT i, {P0}::DOUBLE AS p, 0.0::DOUBLE AS mu FROM st)", "s0 AS (SELECT 1.0::DOUBLE AS s2)"]
+    c = [*fit_start(), f"q0 AS (SELECT i, {P0}::DOUBLE AS p, 0.0::DOUBLE AS mu FROM st)", "s0 AS (SELECT 1.0::DOUBLE AS s2)"]
     for k in range(1, iterations + 1):
         c += [f"t{k} AS MATERIALIZED (SELECT row_id, coalesce(sum(p * (x - q{k-1}.mu)), 0) / w AS t, s2 / w AS s FROM (SELECT *, "
               f"s2 + coalesce(sum(CASE WHEN x IS NOT NULL THEN p * p END) OVER (PARTITION BY row_id), 0) AS w FROM xs JOIN q{k-1} USING (i) "
@@ -313,7 +322,7 @@ def ppca(iterations: int) -> str:
 
 
 def ppcam(iterations: int) -> str:
-    c = [*FIT_START, f"q0 AS (SELECT i, {P0}::DOUBLE AS p, 0.0::DOUBLE AS mu FROM st)", "s0 AS (SELECT 1.0::DOUBLE AS s2)"]
+    c = [*fit_start(), f"q0 AS (SELECT i, {P0}::DOUBLE AS p, 0.0::DOUBLE AS mu FROM st)", "s0 AS (SELECT 1.0::DOUBLE AS s2)"]
     for k in range(1, iterations + 1):
         c += [f"t{k} AS MATERIALIZED (SELECT row_id, coalesce(sum(p * (x - q{k-1}.mu)), 0) / w AS t, s2 / w AS s FROM (SELECT *, "
               f"s2 + coalesce(sum(CASE WHEN x IS NOT NULL THEN p * p END) OVER (PARTITION BY row_id), 0) AS w FROM xs JOIN q{k-1} USING (i) "
@@ -328,9 +337,9 @@ def ppcam(iterations: int) -> str:
     return with_(*c) + refill(f"SELECT row_id, i, t * p + q{n}.mu AS h FROM t{n} CROSS JOIN q{n}")
 
 
-def bpca(iterations: int) -> str:
+def bpca_ctes(iterations: int, mask: str | None = None) -> list[str]:
     v, ga, gm, gt = len(V), 1e-10, 0.001, 1e-10
-    c = [*FIT_START, "mo AS (SELECT i, avg(x) AS mu FROM xs GROUP BY i)",
+    c = [*fit_start(mask), "mo AS (SELECT i, avg(x) AS mu FROM xs GROUP BY i)",
          "ok AS (SELECT row_id FROM xs WHERE x IS NOT NULL GROUP BY row_id)", "nn AS (SELECT count(*) AS n FROM ok)",
          f"w0 AS (SELECT i, {P0}::DOUBLE AS w FROM st)",
          f"h0 AS (SELECT 1.0::DOUBLE AS tau, 1.0::DOUBLE AS sig, ({v} + {2 * ga}) / (1.0 + {2 * ga}) AS alpha)"]
@@ -348,8 +357,21 @@ def bpca(iterations: int) -> str:
               f"h{k} AS MATERIALIZED (SELECT tau, sig, ({v} + {2 * ga}) / (tau * ww + sig + {2 * ga}) AS alpha FROM (SELECT ({v} + {2 * gt} / n) / "
               f"(trs - tw + (mm * {gm} + {2 * gt}) / n) AS tau, {v} / n / dw AS sig, ww FROM dw{k} CROSS JOIN ts{k} CROSS JOIN "
               f"(SELECT sum(t * w) AS tw, sum(w * w) AS ww FROM w{k}) CROSS JOIN (SELECT sum(mu * mu) AS mm FROM mo)))"]
-    n = iterations
-    return with_(*c) + refill(f"SELECT row_id, i, d + mu AS h FROM e{n} JOIN mo USING (i)")
+    return c
+
+
+def bpca(iterations: int) -> str:
+    return with_(*bpca_ctes(iterations)) + refill(f"SELECT row_id, i, d + mu AS h FROM e{iterations} JOIN mo USING (i)")
+
+
+def holdout(iterations: int, share: float) -> str:
+    """Error of the variational fit on hidden cells."""
+    cells = each(f"CASE WHEN {u(lit(0), lit('holdout'), 'row_id', lit('{v}'))} >= {share} THEN {{v}} END AS {{v}}")
+    ctes = bpca_ctes(iterations, f"m AS MATERIALIZED (SELECT row_id, t, {cells} FROM om)")
+    return with_(*ctes, long("om", "truth")) + (
+        f"SELECT {rnd('sqrt(avg(e * e)) / stddev_samp(y)', 5)} AS nrmse, {rnd('sqrt(avg(e * e))', 3)} AS rmse FROM (SELECT "
+        f"(d + mo.mu) * st.sd + st.mu - truth.x AS e, truth.x AS y FROM e{iterations} JOIN mo USING (i) JOIN st USING (i) "
+        "JOIN truth USING (row_id, i) WHERE m = 1)")
 
 
 def gram(src: str, name: str, value: str = "x", divide: str = "1") -> str:
@@ -358,7 +380,7 @@ def gram(src: str, name: str, value: str = "x", divide: str = "1") -> str:
 
 
 def svd_impute(iterations: int) -> str:
-    c = [*FIT_START, "f0 AS MATERIALIZED (SELECT row_id, i, coalesce(x, 0) AS x FROM xs)"]
+    c = [*fit_start(), "f0 AS MATERIALIZED (SELECT row_id, i, coalesce(x, 0) AS x FROM xs)"]
     for k in range(1, iterations + 1):
         c += [gram(f"f{k-1}", f"g{k}", divide="SELECT n - 1 FROM n1"), *eig(f"g{k}", 1, f"e{k}"),
               f"h{k} AS (SELECT row_id, sum(x * p) AS t FROM f{k-1} JOIN e{k} USING (i) GROUP BY row_id)",
@@ -378,7 +400,7 @@ OBS0 = "f0 AS MATERIALIZED (SELECT row_id, i, coalesce(x, 0) AS x FROM xs)"
 
 def svt() -> str:
     """Two iterations with tau = 2 sqrt(N)."""
-    c = [*FIT_START, OBS0,
+    c = [*fit_start(), OBS0,
          "k AS MATERIALIZED (SELECT 2 * sqrt(n) AS tau, 1.2 * n * 6 / nobs AS delta, sqrt(ss) AS nrm, n FROM n1 CROSS JOIN "
          "(SELECT count(x) AS nobs, sum(x * x) AS ss FROM xs))",
          "k0 AS MATERIALIZED (SELECT *, ceil(tau / delta / nrm) * delta AS first FROM k)",
@@ -393,7 +415,7 @@ def svt() -> str:
 
 def alm() -> str:
     """Two iterations: the first only raises the penalty, so the second thresholds D (1 + 1 / rho)."""
-    c = [*FIT_START, OBS0,
+    c = [*fit_start(), OBS0,
          "k AS MATERIALIZED (SELECT 1.2172 + 1.8588 * nobs / (n * 6) AS rho, sqrt(ss) AS nrm FROM n1 CROSS JOIN "
          "(SELECT count(x) AS nobs, sum(x * x) AS ss FROM xs))",
          gram("f0", "ga"), *shrunk("ga", "ea", "SELECT nrm / rho FROM k", 5, "SELECT 1 + 1 / rho FROM k")]
@@ -546,6 +568,18 @@ def oracle_sql() -> dict[str, str]:
     q["rmsecv"] = with_(OM, *press(7, 11, "stddev_pop")) + (
         f"SELECT a::INT AS component, {rnd('sqrt(sum(press) / (SELECT count(*) FROM om))', 6)} AS rmsecv FROM pr GROUP BY a")
 
+    q["argmin_rmsecv"] = with_(OM, *press(7, 11, "stddev_pop", 5)) + (
+        "SELECT arg_min(a, s)::INT AS component FROM (SELECT a, sum(press) AS s FROM pr GROUP BY a)")
+    # the deflation by the last component leaves nothing and is skipped, so its PRESS repeats the one before
+    q["select_components"] = with_(OM, *press(5, 0, "stddev_samp", 5, 10), (
+        "pall AS (SELECT * FROM pr UNION ALL SELECT f, 6, press FROM pr WHERE a = 5)"), (
+        f"over_ AS (SELECT f, a, press, press > avg(press) OVER (PARTITION BY a) + {norm_ppf(0.999)!r} * stddev_pop(press) "
+        "OVER (PARTITION BY a) AS o FROM pall)"), (
+        "used AS (SELECT a, press FROM (SELECT *, bool_and(o) OVER (PARTITION BY f) AS gone FROM over_) WHERE NOT gone)"), (
+        "pa AS (SELECT a, avg(press) AS m, stddev_samp(press) / sqrt(count(*)) AS se FROM used GROUP BY a)")) + (
+        "SELECT min(a)::INT AS component FROM pa WHERE m < (SELECT min_by(m + se, m) FROM pa) OR m = (SELECT min(m) FROM pa)")
+    q["holdout_reestimate"] = holdout(4, 0.02)
+
     spiked_model = [OM, spiked(), *pca("sp")]
     q["flag_cells"] = with_(*spiked_model, *contributions("2D-Chiang"), *limits("2D-Chiang", "norm", FLAG_LIM)) + (
         f"SELECT row_id, {num} AS variable FROM con JOIN clim USING (i) JOIN sp USING (row_id) "

@@ -594,7 +594,9 @@ def cells_long(spark, sf):
 
 
 def holdout_reestimate_query(spark, sf):
-    return _round_cols(holdout_reestimate(_om(spark, sf), V, "BPCA", 1, 0.02, max_iter=4, max_rounds=0), ["nrmse", "rmse"], 4)
+    scores = holdout_reestimate(_om_kept(spark, sf), V, "BPCA", 1, 0.02, max_iter=4, max_rounds=0, start_loadings=_start(),
+                                start_precision=1.0)
+    return scores.select(rounded("nrmse", 5).alias("nrmse"), rounded("rmse", 3).alias("rmse"))
 
 
 def compare_algorithms_query(spark, sf):
