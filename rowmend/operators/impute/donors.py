@@ -187,7 +187,7 @@ class PCADA(Replayed):
             return self._replay(sent.params[key], block, x, z, old)[0][back]
 
         stored = self._map_blocks(fit, names, now)
-        fit.df = cut_lineage(stored.repartition(*fit.group_cols, BLOCK))
+        fit.df = cut_lineage(stored, keep_partitioning=True)
         fit.state_cols = [names]
         for params in fit.params.values():
             params["history"] = []

@@ -146,6 +146,7 @@ def fill_missing(df: DataFrame, variables: Sequence[str], algorithm: str, compon
     ctx = {k: replace(c) for k, c in start.contexts.items()}
     if method.by_block:
         laid_out = keep(method.layout(work, order[1], group_cols, ctx))
+        laid_out.count()  # once stored, the layout is known to the plans of the iterations
     else:
         laid_out = work
     state = Fit(method, laid_out, variables, group_cols, copies, scale, {k: method.start(c) for k, c in ctx.items()})

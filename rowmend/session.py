@@ -27,11 +27,11 @@ def get_spark(cores: str = "*", app: str = "rowmend", **conf) -> SparkSession:
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, keep_partitioning: bool = False) -> DataFrame:
     """Reliable checkpoint in the shared folder the session names.
 
-    The checkpoint keeps the partitioning and ordering of the plan, so a table that was hash-partitioned
-    before the cut is not shuffled again after it.
+    An adaptive plan does not tell the checkpoint how its rows are partitioned.  With `keep_partitioning` this one plan is
+    made without adaptive execution, so a table that was hash-partitioned before the cut is not shuffled again after it.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
@@ -42,7 +42,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
             folder = tempfile.mkdtemp(prefix="rowmend-checkpoint-")
         sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    if not keep_partitioning:
+        return df.checkpoint(eager=True)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
 def result_folder(spark: SparkSession, name: str) -> str:

@@ -109,3 +109,13 @@ def test_split_plan_shuffles_rows_once(spark):
     df = to_spark(spark, holes(np.random.default_rng(0).normal(size=(400, 2))))
     plan = gaps.impute_interpolate(df, names(2), max_rows=50)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan and "SortAggregate" not in plan
+
+
+def test_checkpoint_keeps_the_partitioning(spark):
+    from rowmend.session import cut_lineage
+    df = to_spark(spark, holes(np.random.default_rng(0).normal(size=(400, 2))))
+    marked, _ = with_buckets(df, ("t", "row_id"), max_rows=50)
+    stored = cut_lineage(marked.repartition(8, BUCKET), keep_partitioning=True)
+    plan = gaps.impute(stored, names(2), "interpolation", split=False)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
