@@ -83,3 +83,14 @@ def segment_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Sum of values[bounds[i]:bounds[i + 1]] for each i; empty segments give 0."""
     total = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
     return total[bounds[1:]] - total[bounds[:-1]]
+
+
+def checked_broadcast(small: DataFrame, most_rows: int = 500_000) -> DataFrame:
+    """A stored, narrow table, marked for broadcast only if it has at most `most_rows` rows; else Spark shuffles it."""
+    return F.broadcast(small) if small.limit(most_rows + 1).count() <= most_rows else small
+
+
+def normal_words(column: str) -> Column:
+    """The words of a text, A-Z in lower case, joined by single spaces; null as empty."""
+    text = F.coalesce(F.col(column), F.lit(""))
+    return F.translate(F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

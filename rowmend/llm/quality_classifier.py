@@ -170,9 +170,12 @@ def compile_score(model: Ensemble) -> Column:
 
 
 def sample_rows(stats: DataFrame, labels: DataFrame, id_col: str, label_col: str, max_rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """At most `max_rows` labelled rows, those with the smallest keyed hash of the id; repeated labels are rows of their own."""
+    """At most `max_rows` labelled rows, those with the smallest keyed hash of the id (below a cut, where there are many labels); repeated labels are rows of their own."""
     named = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(label_col).cast("double").alias("__y"))
     joined = stats.join(named, F.col(id_col) == F.col("__id")).select("__y", F.xxhash64(F.lit(11), F.col("__id")).alias("__h"), *STATISTICS)
+    known = named.count()  # labels only: a bound that lets about twice the wanted rows through before the sort
+    if known > 2 * max_rows:
+        joined = joined.where(F.col("__h") < int(2**64 * 2 * max_rows / known) - 2**63)
     rows = joined.orderBy("__h", "__y", *STATISTICS).limit(max_rows).toPandas()
     return rows[list(STATISTICS)].to_numpy(float), rows["__y"].to_numpy(float)
 

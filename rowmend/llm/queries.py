@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lang_id, licenses, quality_classifier, quality_rules
+from ..session import cut_lineage
+from . import lang_id, licenses, mixing, quality_classifier, quality_rules, simhash
 from .common import crc_mod, table
 
 
@@ -19,6 +20,22 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), known.alias("lang_pred"), "score", "similarity", "rejected")
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate class of every text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    prints = cut_lineage(docs.select("doc_id", simhash.fingerprint("text").alias("fp")))
+    grouped = simhash.group_fingerprints(prints, "doc_id", "fp")
+    return grouped.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes from every document, sources weighed 5, 2, 1 in turn."""
+    docs = table(spark, sf_dir, "documents")
+    sized = cut_lineage(docs.select("doc_id", "source", mixing.word_count("text").alias("words")))
+    mixed = mixing.mix(sized, F.col("words"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence labels and places of every text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -42,7 +59,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op6_license_scan, op8_quality_rules, op9_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op2_language_id, op3_simhash, op4_mixing, op6_license_scan, op8_quality_rules, op9_quality_classifier)}
 ORACLES: dict[str, str] = {}
 
 
