@@ -59,7 +59,8 @@ def fit_counts(sizes: np.ndarray, counts: np.ndarray, target: float) -> tuple[in
     """Whole repeats of all documents, and how many documents of each size to take once more.
 
     The rest of the budget is first spread over the sizes in proportion to their counts, so the mix keeps the lengths of
-    its source; what rounding leaves over goes to one document more of sizes with the largest remainders, and the last part
+    its source; what rounding leaves over goes to one document more of sizes with the largest remainders (ties in a fixed shuffled order,
+    so short ones stay for the end), and the last part
     of it, up to twice the longest document, is fitted exactly by `reachable`.
     """
     total = int((sizes * counts).sum())
@@ -71,7 +72,8 @@ def fit_counts(sizes: np.ndarray, counts: np.ndarray, target: float) -> tuple[in
     picked = np.minimum(np.floor(exact * (1 - 1e-12)).astype(np.int64), counts)
     left = rest - int((sizes * picked).sum())
     room = 2 * int(sizes.max())
-    for i in np.argsort(picked - exact, kind="stable"):
+    ties = np.random.default_rng(len(sizes)).random(len(sizes))
+    for i in np.lexsort((ties, picked - exact)):
         if left <= room:
             break
         if sizes[i] and sizes[i] <= left and picked[i] < counts[i]:
