@@ -6,10 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from . import lang_id, licenses, mixing, quality_classifier, quality_rules, simhash
+from . import decontaminate, lang_id, licenses, mixing, quality_classifier, quality_rules, simhash, substring_dedup
 from .common import crc_mod, table
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without its repeated passages."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.remove_repeats(docs)
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every text, learned from the rows outside the held-out quarter."""
     docs = table(spark, sf_dir, "documents")
@@ -36,6 +42,12 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the benchmark items that it overlaps."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark")).drop("text")
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence labels and places of every text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -59,7 +71,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op3_simhash, op4_mixing, op6_license_scan, op8_quality_rules, op9_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_language_id, op3_simhash, op4_mixing, op5_decontaminate, op6_license_scan, op8_quality_rules, op9_quality_classifier)}
 ORACLES: dict[str, str] = {}
 
 
