@@ -37,7 +37,7 @@ class Index:
         self.vocabulary: dict[bytes, int] = {}
         self.items: list[tuple[int | None, np.ndarray, bool]] = []  # id, words, whole (matched without gaps)
         for item_id, text in items:
-            tokens = text.translate(words).split()
+            tokens = text.decode().lower().encode().translate(words).split()
             ids = np.array([self.vocabulary.setdefault(t, len(self.vocabulary) + 1) for t in tokens], np.int64)
             if len(ids) >= SPAN:
                 for a in range(0, max(1, len(ids) - (PIECE_WORDS - PIECE_STEP)), PIECE_STEP):
@@ -113,7 +113,7 @@ def finder(index: Index, least_words: int, identity: float):
     def find(texts: list[bytes]) -> dict:
         out: dict = {"contaminated": [], "item_ids": [], "overlap_words": [], "identity": []}
         for data in texts:
-            ids = np.array([get(t, 0) for t in data.translate(words).split()], np.int64)
+            ids = np.array([get(t, 0) for t in data.decode().lower().encode().translate(words).split()], np.int64)
             found = index.overlaps(ids, least_words, identity)
             covered = set().union(*(range(a, b) for _, a, b, _ in found))
             out["contaminated"].append(bool(found))
@@ -130,7 +130,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     """`docs` with `contaminated`, the ids of the items found (`item_ids`, sorted), the number of words in overlaps and the
     best identity.
 
-    Words are runs of ASCII letters (lowered), digits and other scripts.  A text is contaminated if it shares a seed with an
+    Words are runs of letters in lower case, ASCII digits and other characters beyond ASCII.  A text is contaminated if it shares a seed with an
     item and, along that diagonal, a stretch of at least `least_words` words of which `identity` agree; items of 5 to 9
     words must occur whole, shorter ones are ignored.  The benchmark is cut into blocks of about `block_words` words; every
     block is sent with one function, and all functions run in the same pass over the documents, so a benchmark of any size

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -14,19 +15,42 @@ from ..session import cut_lineage
 from .common import row_udf, text_bytes
 
 RUN = 3  # sentences
-LEAST_WORDS = 15
+LEAST_WORDS = 12
+LONG = 12  # words; a longer sentence is cut further
 
 # A sentence ends at a mark before white space or at a line end.  Clause marks count too: a passage put into the middle of a
 # text shares its first and last sentence with its surroundings, but not its clauses.
 _END = re.compile(rb"[.!?,;:]+[ \t\r\n\x0b\x0c]+|\n+")
 
 
+_WORD = re.compile(rb"[^ \t\r\n\x0b\x0c]+[ \t\r\n\x0b\x0c]*")
+
+
 def sentences(data: bytes) -> list[bytes]:
-    """The text cut after every sentence end; joined together they are the text."""
+    """The text cut after every sentence end; joined together they are the text.
+
+    A sentence of over `LONG` words is cut again after each word whose crc32 is a multiple of 8: the same words are cut at
+    the same places wherever they stand, so a passage within one long sentence is found too.
+    """
+    if not data:
+        return []
     ends = [m.end() for m in _END.finditer(data)]
     if not ends or ends[-1] < len(data):
         ends.append(len(data))
-    return [data[a:b] for a, b in zip([0, *ends], ends)] if data else []
+    out = []
+    for a, b in zip([0, *ends], ends):
+        part = data[a:b]
+        if len(part) > 2 * LONG and len(words := part.split()) > LONG and any([crc32(w.lower()) & 7 == 0 for w in words]):
+            start = 0
+            for m, w in zip(_WORD.finditer(part, len(part) - len(part.lstrip())), words):
+                if crc32(w.lower()) & 7 == 0:
+                    out.append(part[start : m.end()])
+                    start = m.end()
+            if start < len(part):
+                out.append(part[start:])
+        else:
+            out.append(part)
+    return out
 
 
 def runs(parts: list[bytes], run: int = RUN, least_words: int = LEAST_WORDS) -> tuple[list[int], list[int], list[bytes]]:
