@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from . import decontaminate, lang_id, licenses, mixing, quality_classifier, quality_rules, simhash, substring_dedup
+from . import chat, decontaminate, lang_id, licenses, mixing, quality_classifier, quality_rules, simhash, substring_dedup
 from .common import crc_mod, table
 
 
@@ -57,6 +57,25 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one that quotes the template, formatted and read back."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    kinds = dict(rows.dtypes)
+    quoted = spark.range(2).select(
+        F.lit(-1).cast(kinds["conv_id"]).alias("conv_id"), F.col("id").cast(kinds["turn"]).alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(chat.END + chat.START + "assistant ok").alias("text"))
+    formatted = cut_lineage(chat.format_paths(cut_lineage(chat.chain_turns(rows.union(quoted), "conv_id", "turn", "role", "text"))))
+    turns = chat.read_back(formatted)
+    line = F.struct("place", F.concat("role", F.lit("\n"), "text", F.lit("\n")).alias("line"))
+    ordered = lambda x: F.array_join(F.transform(F.sort_array(F.collect_list(x)), lambda y: y["line"]), "")
+    learned = F.when(F.col("learned"), F.struct("place", F.col("text").alias("line")))
+    read = turns.groupBy("tree", "leaf").agg(F.count("*").alias("n_turns"), ordered(line).alias("all"), ordered(learned).alias("loss"))
+    sizes = formatted.select("tree", "leaf", F.length("formatted").cast("bigint").alias("formatted_chars"))
+    return read.join(sizes, ["tree", "leaf"]).select(
+        F.col("tree.conv_id").alias("conv_id"), "n_turns", F.sha2("all", 256).alias("turns_sha256"),
+        F.length("loss").cast("bigint").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repetition statistics and the verdict for every text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -71,7 +90,10 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_language_id, op3_simhash, op4_mixing, op5_decontaminate, op6_license_scan, op8_quality_rules, op9_quality_classifier)}
+QUERIES = {f.__name__: f for f in (
+    op1_substring_dedup, op2_language_id, op3_simhash, op4_mixing, op5_decontaminate, op6_license_scan, op7_chat_format,
+    op8_quality_rules, op9_quality_classifier,
+)}
 ORACLES: dict[str, str] = {}
 
 
