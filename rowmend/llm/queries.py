@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from . import chat, decontaminate, lang_id, licenses, mixing, quality_classifier, quality_rules, simhash, substring_dedup
+from . import chat, decontaminate, lang_id, licenses, mixing, quality_classifier, quality_rules, simhash, substring_dedup, suffix_tree_lm
 from .common import crc_mod, table
 
 
@@ -90,9 +90,15 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+def op10_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and suffix-tree log probabilities of every text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_tree_lm.score_texts(docs, crc_mod("doc_id", 7) == 2)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup, op2_language_id, op3_simhash, op4_mixing, op5_decontaminate, op6_license_scan, op7_chat_format,
-    op8_quality_rules, op9_quality_classifier,
+    op8_quality_rules, op9_quality_classifier, op10_suffix_tree_lm,
 )}
 ORACLES: dict[str, str] = {}
 
