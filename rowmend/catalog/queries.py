@@ -9,7 +9,6 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.linalg import soft_threshold
 from ..operators import components as comp
 from ..operators import evaluate as ev
 from ..operators import gaps, inject, moments, pca, scaling, selection
@@ -217,7 +216,8 @@ def normalize_roundtrip(spark, sf):
 
 def soft_threshold_cells(spark, sf):
     scaled = scaling.autoscale(_om(spark, sf), V).select("row_id", *V)
-    return _round_cols(pca.row_map(scaled, {"x": V}, lambda _, x: soft_threshold(x, 0.5), V), V, 6)
+    shrunk = {v: F.signum(v) * F.greatest(F.abs(v) - 0.5, F.lit(0.0)) for v in V}
+    return _round_cols(scaled.withColumns(shrunk), V, 6)
 
 
 def project_observed(spark, sf):
@@ -429,7 +429,7 @@ def detect_outliers_query(spark, sf):
 
 def clean_step_a(spark, sf):
     df = keep(fx.masked(_spiked(spark, sf), V))
-    result = clean(df, V, condition=F.col("t") > 0, max_iter=3, **CV)
+    result = clean(df, V, max_iter=3, **CV)
     return ev.label_counts(result.labelled, V)
 
 

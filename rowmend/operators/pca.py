@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions.linalg import leading_eigen
 from ..functions.quantiles import chi2_ppf, norm_ppf, t_ppf
+from .keyed import join_groups
 from .matrix import row_map, sum_stats
 from .moments import Moments, moments
 from .scaling import MODES
@@ -227,7 +228,7 @@ def row_control_chart(df: DataFrame, models: dict[tuple, PcaModel], group_cols:
                           + [T.StructField("__lt", T.DoubleType()), T.StructField("__ls", T.DoubleType())])
     limits = df.sparkSession.createDataFrame(rows, schema)
     over = (F.col("T_sq") > F.col("__lt")) | (F.col("SRE") > F.col("__ls"))
-    return scored.join(limits, list(group_cols)).filter(over).drop("__lt", "__ls")
+    return join_groups(scored, limits, group_cols).filter(over).drop("__lt", "__ls")
 
 
 def model_table(spark, model: PcaModel) -> DataFrame:

@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .keyed import join_groups
+
 _STATS = {
     "n": F.count,
     "avg": F.avg,
@@ -43,7 +45,7 @@ def attach_stats(df: DataFrame, variables: Sequence[str], stats: Sequence[str],
     table = column_stats(df, variables, stats, group_cols)
     if group_cols:
         renamed = table.select(*group_cols, *[F.col(f"{s}_{v}").alias(f"__{s}_{v}") for s in stats for v in variables])
-        return df.join(renamed, list(group_cols), "left"), lambda v, s: F.col(f"__{s}_{v}")
+        return join_groups(df, renamed, group_cols), lambda v, s: F.col(f"__{s}_{v}")
     row = table.first()
     return df, lambda v, s: F.lit(row[f"{s}_{v}"]).cast("double")
 

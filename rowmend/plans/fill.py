@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.components import argmin_rmsecv, choose_components, press_matrix
 from ..operators.gaps import ORDER, impute, impute_mean
 from ..operators.impute import ALGORITHMS, Fit, fit, fitted_values
 from ..operators.impute.engine import Context
+from ..operators.keyed import join_groups
 from ..operators.matrix import check_driver_size, row_map, sum_stats
 from ..operators.moments import fold_moments, with_folds
 from ..operators.pca import fit_pca
@@ -185,31 +188,55 @@ def fill_missing(df: DataFrame, variables: Sequence[str], algorithm: str, compon
 
 
 def largest_contribution(filled: DataFrame, original: DataFrame, variables: Sequence[str], a: int,
-                         row_id: str = "row_id") -> float:
-    """Largest positive T2 contribution among the cells that were missing."""
-    model = fit_pca(filled, variables, a, contrib="2D-Chiang", lim_method="2D-Alcala", row_limits=False)[()]
-    marks = original.select(row_id, *[F.col(v).isNull().cast("double").alias(f"__m_{v}") for v in variables])
-    joined = filled.join(marks, row_id)
+                         row_id: str = "row_id", group_cols: Sequence[str] = ()) -> dict[tuple, float]:
+    """Per group the largest positive T2 contribution among the cells that were missing."""
+    models = fit_pca(filled, variables, a, contrib="2D-Chiang", lim_method="2D-Alcala", row_limits=False, group_cols=group_cols)
+    keys = [*group_cols, row_id]
+    marks = original.select(*keys, *[F.col(v).isNull().cast("double").alias(f"__m_{v}") for v in variables])
+    joined = join_groups(filled, marks, keys, "inner")
 
-    def worst(_, x, m):
-        return (model.contributions(model.scale(x), positive_only=True)[0] * m).max(axis=1)[:, None]
+    def worst(key, x, m):
+        return (models[key].contributions(models[key].scale(x), positive_only=True)[0] * m).max(axis=1)[:, None]
 
-    scored = row_map(joined, {"x": variables, "m": [f"__m_{v}" for v in variables]}, worst, ["__worst"])
-    return scored.agg(F.max("__worst")).first()[0]
+    scored = row_map(joined, {"x": variables, "m": [f"__m_{v}" for v in variables]}, worst, ["__worst"], group_cols)
+    found = scored.groupBy(*group_cols).agg(F.max("__worst").alias("worst")).collect()
+    return {tuple(r[c] for c in group_cols): r["worst"] for r in found}
 
 
 def fill_als(df: DataFrame, variables: Sequence[str], components: int, candidates: int = 5,
-             order: Sequence[str] = ORDER, **options) -> FillResult:
-    """Factorisations from several random starts; keep the one whose imputed cells look least unusual."""
-    best = None
+             order: Sequence[str] = ORDER, group_cols: Sequence[str] = (), seed: int = 0, prefill: str | None = None,
+             max_rows: int | None = None, start: Start | None = None, **options) -> FillResult:
+    """Factorisations from several random starts; every group keeps the one whose imputed cells look least unusual.
+
+    All candidates share one prefilled table.
+    """
+    group_cols = list(group_cols)
+    start = start or prepare(df, variables, prefill or PREFILL["ALS"], components, order, group_cols, seed, max_rows)
+    best: dict[tuple, tuple[float, int]] = {}
+    results = []
     for candidate in range(candidates):
-        result = fill_missing(df, variables, "ALS", components, max_rounds=0, order=order, candidate=candidate, **options)
-        worst = largest_contribution(result.df, df, variables, components, order[1])
-        if best is None or worst < best[0]:
-            best = (worst, result)
-    result = best[1]
-    result.components = {(): argmin_rmsecv(result.df, variables, row_id=order[1])}
-    return result
+        result = fill_missing(df, variables, "ALS", components, max_rounds=0, order=order, group_cols=group_cols, seed=seed,
+                              max_rows=max_rows, start=start, candidate=candidate, **options)
+        results.append(result)
+        for key, worst in largest_contribution(result.df, df, variables, components, order[1], group_cols).items():
+            if key not in best or worst < best[key][0]:
+                best[key] = (worst, candidate)
+    chosen = {candidate for _, candidate in best.values()}
+    first = results[min(chosen)]
+    if len(chosen) > 1:
+        schema = T.StructType([T.StructField(c, df.schema[c].dataType) for c in group_cols] + [T.StructField("__best", T.IntegerType())])
+        table = df.sparkSession.createDataFrame([(*k, c) for k, (_, c) in best.items()], schema)
+        parts = [join_groups(results[c].df, table, group_cols, "inner").where(F.col("__best") == c).drop("__best") for c in sorted(chosen)]
+        first.df = reduce(lambda a, b: a.unionByName(b), parts)
+    first.components = {k: argmin_rmsecv(_group_rows(first.df, group_cols, k), variables, row_id=order[1]) for k in best}
+    return first
+
+
+def _group_rows(df: DataFrame, group_cols: Sequence[str], key: tuple) -> DataFrame:
+    """The rows of one group."""
+    for c, k in zip(group_cols, key):
+        df = df.where(F.col(c).eqNullSafe(F.lit(k)))
+    return df
 
 
 def run_all(df: DataFrame, variables: Sequence[str], components: int, algorithms: Sequence[str] | None = None,
@@ -224,11 +251,12 @@ def run_all(df: DataFrame, variables: Sequence[str], components: int, algorithms
     for name in algorithms or ["MI", *ALGORITHMS]:
         try:
             method = options.get("prefill") or PREFILL[name]
-            if name not in ("MI", "ALS") and method not in starts:
+            if name != "MI" and method not in starts:
                 starts[method] = prepare(df, variables, method, components, **shared)
             if name == "ALS":
-                keep = ("order", "seed", "max_iter")
-                result = fill_als(df, variables, components, **{k: v for k, v in options.items() if k in keep})
+                rounds = ("max_rounds", "n_splits", "num_repeat", "upper", "se_rule", "rule", "warm_start")
+                passed = {k: v for k, v in options.items() if k not in rounds}
+                result = fill_als(df, variables, components, start=starts[method], **passed)
             else:
                 result = fill_missing(df, variables, name, components, start=starts.get(method), **options)
             empty = result.df.agg(F.sum(sum(F.col(v).isNull().cast("long") for v in variables))).first()[0]

@@ -28,17 +28,22 @@ def decode_sentinel(df: DataFrame, variables: Sequence[str], threshold: float =
     return df.withColumns({v: F.when(F.col(v) <= threshold, F.col(v)) for v in variables})
 
 
+def decode_code(df: DataFrame, variables: Sequence[str], code: float) -> DataFrame:
+    """One code stands for missing: values equal to it become NULL."""
+    return df.withColumns({v: F.when(F.col(v) != code, F.col(v)) for v in variables})
+
+
 def nan_to_null(df: DataFrame, variables: Sequence[str]) -> DataFrame:
     return df.withColumns({v: F.nanvl(F.col(v).cast("double"), F.lit(None).cast("double")) for v in variables})
 
 
 def read_matrix(spark: SparkSession, path: str, time_col: str | None = None, variables: Sequence[str] | None = None,
                 keys: Sequence[str] = (), fmt: str = "parquet", time_unit: str = "days",
-                sentinel: float | None = None, **options) -> DataFrame:
+                sentinel: float | None = None, above: float | None = None, **options) -> DataFrame:
     """Observation table as (keys..., t DOUBLE in days, variables DOUBLE with NULL for missing).
 
     Without names, the first non-key column is the time and all other columns are variables.
-    `time_unit` is 'days', 'minutes' or 'timestamp'.
+    `time_unit` is 'days', 'minutes' or 'timestamp'.  Values equal to `sentinel`, and values above `above`, are missing.
     """
     if time_unit not in ("days", "minutes", "timestamp"):
         raise ValueError(f"unknown time_unit {time_unit!r}")
@@ -55,7 +60,9 @@ def read_matrix(spark: SparkSession, path: str, time_col: str | None = None, var
         t = timestamp_to_days(t)
     df = raw.select(*keys, t.cast("double").alias("t"), *variables)
     df = nan_to_null(df, variables)
-    return df if sentinel is None else decode_sentinel(df, variables, sentinel)
+    if sentinel is not None:
+        df = decode_code(df, variables, sentinel)
+    return df if above is None else decode_sentinel(df, variables, above)
 
 
 RESULT_SCHEMA = T.StructType([

@@ -129,7 +129,7 @@ def test_reading(spark, tmp_path):
     path = str(tmp_path / "m")
     spark.createDataFrame([(0.0, 1.0, 999.0), (1440.0, float("nan"), 2.0), (2880.0, 3.0, None)],
                           "Time double, a double, b double").coalesce(1).write.csv(path, header=True)
-    df = tables.read_matrix(spark, path, fmt="csv", time_unit="minutes", sentinel=900.0)
+    df = tables.read_matrix(spark, path, fmt="csv", time_unit="minutes", above=900.0)
     rows = sorted(tuple(r) for r in df.select("t", F.coalesce("a", F.lit(-1.0)), F.coalesce("b", F.lit(-1.0))).collect())
     assert rows == [(0.0, 1.0, -1.0), (1.0, -1.0, 2.0), (2.0, 3.0, -1.0)]
     with pytest.raises(ValueError):
