@@ -1,14 +1,13 @@
 """PCA by data augmentation: missing cells are the reconstruction plus residuals borrowed from observed cells.
 
-Donors are drawn with replacement from all observed cells of the variable inside the row's block.  Blocks are random
-subsets of fixed expected size (a hash of the row id), so a block's residuals are a draw from all residuals, a table
-smaller than one block uses every cell, and no donor ever has to be fetched through a shuffle.  The table is laid out by
-block once; each iteration is then a shuffle-free pass that sums the K Gram matrices.
+Donors are drawn with replacement from all observed cells of the variable (of the group).  The observed cells of a variable
+are numbered once, a draw is a number from a keyed digest, and the residual behind it is fetched by an equi-join on
+variable and donor row, so one rule holds for tables of every size and no task sees more than its rows.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -20,29 +19,43 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ...functions.draws import uniform
 from ...functions.linalg import leading_eigen, orthonormal_average
 from ...session import cut_lineage
-from ..matrix import _floats, sum_block_stats
-from .engine import Replayed
-
-BLOCK = "__block"
-BLOCK_ROWS = 20_000
-MIN_DONORS = 200
-MAX_BLOCK_ROWS = 5_000_000
-
-
-def block_count(n: int, n_obs: np.ndarray, block_rows: int = BLOCK_ROWS) -> int:
-    """Blocks of about `block_rows` rows, larger if a variable is so rarely observed that a block would lack donors."""
-    blocks = max(1, min(n // block_rows, int(n_obs.min()) // MIN_DONORS))
-    if n / blocks > MAX_BLOCK_ROWS:
-        raise ValueError(f"a variable has only {int(n_obs.min())} observed cells in {n} rows: too few donors; "
-                         "leave the variable out or choose another algorithm")
-    return blocks
-
-
-class PCADA(Replayed):
+from ..keyed import join_groups
+from ..matrix import _collect_sums, _floats, _partial_batch, _partial_schema, group_rows, row_map
+from ..ordering import with_position
+from .engine import Algorithm, Fit, _light
+
+
+def donor_links(df: DataFrame, variables: Sequence[str], order: Sequence[str], group_cols: Sequence[str], copies: int,
+                seed: int, max_rows: int | None = None) -> DataFrame:
+    """(groups..., row, var, copy, donor): for every missing cell and copy the row whose residual it borrows.
+
+    The observed cells of a variable have positions 0, 1, ... in the order of the table; a digest of (seed, groups, row, variable,
+    pair of copies) holds two 64-bit draws of a position.
+    """
+    t, row_id = order
+    keys = list(group_cols)
+    cells = df.select(*keys, F.col(t).alias("__t"), F.col(row_id).alias("__row"), F.posexplode(F.array(*[F.col(v) for v in variables])).alias("var", "__x"))
+    observed = with_position(cells.where("__x is not null").drop("__x"), ("__t", "__row"), [*keys, "var"], "pos", max_rows)
+    observed = observed.select(*keys, "var", "pos", F.col("__row").alias("donor"))
+    counts = observed.groupBy(*keys, "var").agg(F.count("*").alias("__n"))
+    missing = join_groups(cells.where("__x is null").drop("__x", "__t"), counts, [*keys, "var"], "inner")
+    pairs = missing.withColumn("pair", F.explode(F.sequence(F.lit(0), F.lit((copies - 1) // 2))))
+    name = F.element_at(F.array(*[F.lit(v) for v in variables]), F.col("var") + 1)
+    key = (seed, *[F.col(c) for c in keys], F.col("__row"), name, F.col("pair"))
+
+    def position(first: int):
+        share = uniform(*key, slot=first) + uniform(*key, slot=first + 1) / F.lit(4294967296.0)
+        return F.floor(share * F.col("__n")).cast("bigint")
+
+    drawn = pairs.select(*keys, F.col("__row").alias("row"), "var", "pair", F.posexplode(F.array(position(0), position(2))).alias("half", "pos"))
+    drawn = drawn.withColumn("copy", F.col("pair") * 2 + F.col("half")).where(F.col("copy") < copies).drop("pair", "half")
+    return join_groups(drawn, observed, [*keys, "var", "pos"], "inner").drop("pos")
+
+
+class PCADA(Algorithm):
     name = "PCADA"
     needs_filled = True
-    n_state = 1
-    by_block = True
+    borrows = True
     tolerance = 1e-6
 
     @property
@@ -50,158 +63,135 @@ class PCADA(Replayed):
         return self.options.get("copies", 50)
 
     def start(self, ctx, previous=None):
-        params = {"cells": ctx.n_obs.sum(), "a": ctx.a, "mse": None, "history": [], "seed": ctx.seed,
-                  "step": leading_eigen(ctx.correlation(), ctx.a)[1]}
-        if previous is not None:
-            params["history"] = [*previous["history"], previous["step"]]
-        return params
-
-    def layout(self, df: DataFrame, row_id: str, group_cols, contexts: dict) -> DataFrame:
-        """Hash-partition the table by block, once per fit."""
-        rows = self.options.get("block_rows", BLOCK_ROWS)
-        counts = {k: block_count(c.n, c.n_obs, rows) for k, c in contexts.items()}
-        self.row_id = row_id
-        if group_cols:
-            schema = T.StructType([df.schema[c] for c in group_cols] + [T.StructField("__blocks", T.IntegerType())])
-            table = df.sparkSession.createDataFrame([(*k, b) for k, b in counts.items()], schema)
-            df, number = df.join(table, list(group_cols)), F.col("__blocks")
-        else:
-            number = F.lit(counts[()])
-        seed = next(iter(contexts.values())).seed
-        block = F.floor(uniform(seed, "block", F.col(row_id)) * number).cast("int")
-        return df.withColumn(BLOCK, block).drop("__blocks").repartition(*group_cols, BLOCK)
-
-    def donors(self, params, block, missing):
-        """Per variable, donor positions among its observed cells: (copies, missing cells), the same in every iteration."""
-        rng = np.random.default_rng([params["seed"], *[int(b) for b in block]])
-        counts = missing.sum(axis=0)
-        return [rng.integers(0, max(len(missing) - m, 1), size=(self.copies, m)) for m in counts]
-
-    @staticmethod
-    def borrowed(residual, missing, donors):
-        """Donor residuals per variable, (copies, missing cells)."""
-        out = []
-        for j, positions in enumerate(donors):
-            pool = residual[~missing[:, j], j]
-            if not len(pool) and positions.size:
-                raise ValueError("a block has no observed cell of a variable; use larger block_rows")
-            out.append(pool[positions] if positions.size else np.zeros(positions.shape))
-        return out
-
-    def advance(self, params, step, x, state, missing=None, donors=None):
-        estimate = state[0] @ step @ step.T
-        new = np.where(missing, estimate, x)
-        for j, drawn in enumerate(self.borrowed(x - estimate, missing, donors)):
-            new[missing[:, j], j] += drawn.mean(axis=0)
-        return [new]
-
-    def _replay(self, params, block, x, z, state):
-        missing = np.isnan(x)
-        donors = self.donors(params, block, missing)
-        s = state[0] if state else z
-        for step in params["history"]:
-            s = self.advance(params, step, x, [s], missing, donors)[0]
-        return s, missing, donors
-
-    def block_stats(self, params, block, x, z, state):
-        s, missing, donors = self._replay(params, block, x, z, state)
-        estimate = s @ params["step"] @ params["step"].T
-        residual = x - estimate
-        base = np.where(missing, estimate, x)
-        drawn = self.borrowed(residual, missing, donors)
-        v = x.shape[1]
-        # A copy differs from the base on missing cells only: G_k = G + D_k'B + B'D_k + D_k'D_k.
-        grams = np.repeat((base.T @ base)[None], self.copies, axis=0)
-        gaps = [np.flatnonzero(missing[:, j]) for j in range(v)]
-        for j in range(v):
-            cross = drawn[j] @ base[gaps[j]]
-            grams[:, j, :] += cross
-            grams[:, :, j] += cross
-            for i in range(j + 1):
-                _, here, there = np.intersect1d(gaps[j], gaps[i], assume_unique=True, return_indices=True)
-                both = np.einsum("km,km->k", drawn[j][:, here], drawn[i][:, there])
-                grams[:, j, i] += both
-                if i < j:
-                    grams[:, i, j] += both
-        return np.append(grams.ravel(), np.where(missing, 0.0, residual ** 2).sum())
+        """Without a previous fit the state is the prefilled table, else what the previous fit ended with."""
+        return {"cells": ctx.n_obs.sum(), "a": ctx.a, "mse": None, "fresh": previous is None,
+                "step": leading_eigen(ctx.correlation(), ctx.a)[1]}
 
     def update(self, params, sums, last):
         mse = sums[-1] / params["cells"]
         stop = params["mse"] is not None and abs((mse - params["mse"]) / params["mse"]) < self.tolerance
         params["mse"] = mse
+        params["fresh"] = False
         if not (stop or last):
             v = params["step"].shape[0]
-            self.commit(params, orthonormal_average(
-                [leading_eigen(g.reshape(v, v), params["a"])[1] for g in np.split(sums[:-1], self.copies)]))
+            params["step"] = orthonormal_average(
+                [leading_eigen(g.reshape(v, v), params["a"])[1] for g in np.split(sums[:-1], self.copies)])
         return {"mse_obs": mse}, stop
 
-    # -- passes over blocks -------------------------------------------------------------------------------------------
+    def layout(self, df: DataFrame, variables, order: Sequence[str], group_cols, seed: int, max_rows: int | None = None) -> DataFrame:
+        """Draw the donors, once per fit."""
+        return cut_lineage(donor_links(df, variables, order, group_cols, self.copies, seed, max_rows))
 
-    def _ordered(self, sent, key, ids, x, z, state):
-        """Rows of a block in row-id order, scaled, and the way back to the arrival order."""
-        order = np.argsort(ids[:, 0], kind="stable")
-        x, z, old = sent.scaled(key, x[order], None if z is None else z[order], **{k: s[order] for k, s in state.items()})
-        back = np.empty_like(order)
-        back[order] = np.arange(len(order))
-        return x, z, old, back
+    # -- one iteration ------------------------------------------------------------------------------------------------
 
-    def block_sums(self, fit, active):
-        from .engine import _light
-        sent = _light(fit)
+    @staticmethod
+    def _state(fit: Fit, params: dict, key, x, z, old):
+        """Scaled observed cells and current values of a block of rows."""
+        mu, sigma = fit.scale[key]
+        x = (x - mu) / sigma
+        if params["fresh"] or old is None:
+            return x, np.nan_to_num(x, nan=0.0) if z is None else (z - mu) / sigma
+        return x, old
+
+    def _blocks(self, fit: Fit) -> dict[str, list[str]]:
+        blocks = {"x": list(fit.variables)}
+        if fit.filled_cols:
+            blocks["z"] = list(fit.filled_cols)
+        if fit.state_cols:
+            blocks["old"] = fit.state_cols[0]
+        return blocks
+
+    def iterate(self, fit: Fit, active: set) -> dict[tuple, np.ndarray]:
+        """Sums of the augmented Gram matrices for the active groups; the stored state moves one step on.
+
+        Two shuffles: residuals to the cells that borrow them, and the borrowed values to their rows.
+        """
+        sent, keys, row_id = _light(fit), list(fit.group_cols), fit.row_id
         sent.params = {k: fit.params[k] for k in active}
+        variables, blocks, copies = fit.variables, self._blocks(fit), self.copies
+        state = self._state
 
-        def kernel(key, block, ids, x, z=None, **state):
+        def residuals(key, x, z=None, old=None):
             if key not in sent.params:
-                return np.zeros(0)
-            x, z, old, _ = self._ordered(sent, key, ids, x, z, state)
-            return self.block_stats(sent.params[key], block, x, z, old)
-
-        return sum_block_stats(fit.df, [BLOCK], {"ids": [self.row_id], **fit.blocks()}, kernel, fit.group_cols)
-
-    def _map_blocks(self, fit, out, fn):
-        """Replace or add DOUBLE columns `out` = fn(key, block, ids, matrices...) block by block."""
-        blocks = {"ids": [self.row_id], **fit.blocks()}
-        schema = T.StructType([f for f in fit.df.schema if f.name not in out]
-                              + [T.StructField(c, T.DoubleType()) for c in out])
+                return np.full(x.shape, np.nan)
+            params = sent.params[key]
+            x, s = state(sent, params, key, x, z, old)
+            return x - s @ params["step"] @ params["step"].T
+
+        names = [f"__r_{v}" for v in variables]
+        far = row_map(fit.df, blocks, residuals, names, keys)
+        far = far.select(*keys, F.col(row_id).alias("donor"), F.posexplode(F.array(*names)).alias("var", "r")).where("r is not null")
+        lent = join_groups(fit.links, far, [*keys, "var", "donor"], "inner")
+        packed = F.transform(F.sort_array(F.collect_list(F.struct("var", "copy", "r"))), lambda c: c["r"])
+        means = [F.avg(F.when(F.col("var") == j, F.col("r"))).alias(f"__b_{v}") for j, v in enumerate(variables)]
+        per_row = lent.groupBy(*keys, F.col("row").alias(row_id)).agg(packed.alias("__lent"), *means)
+        joined = join_groups(fit.df, per_row, [*keys, row_id]).persist()
+        sums = self._sums(joined, fit, sent, blocks, copies)
+
+        def moved(key, x, z=None, old=None, b=None):
+            if key not in sent.params:
+                return old if old is not None else np.full(x.shape, np.nan)
+            params = sent.params[key]
+            x, s = state(sent, params, key, x, z, old)
+            return np.where(np.isnan(x), s @ params["step"] @ params["step"].T + np.nan_to_num(b), x)
+
+        new = [f"__state0_{v}" for v in variables]
+        kept = [c for c in fit.df.columns if c not in new]
+        stepped = row_map(joined, {**blocks, "b": [f"__b_{v}" for v in variables]}, moved, [f"__next_{v}" for v in variables], keys)
+        stepped = stepped.select(*kept, *[F.col(f"__next_{v}").alias(n) for v, n in zip(variables, new)])
+        fit.df, fit.state_cols = cut_lineage(stepped), [new]
+        joined.unpersist()
+        return sums
+
+    def _sums(self, joined: DataFrame, fit: Fit, sent: Fit, blocks: dict, copies: int) -> dict[tuple, np.ndarray]:
+        """Per group the Gram matrices of all copies and the squared residuals of observed cells."""
+        keys = list(fit.group_cols)
+        names = list(dict.fromkeys(c for cols in blocks.values() for c in cols))
+        schema = _partial_schema(joined, keys)
         arrow = to_arrow_schema(schema)
-        kept = [f.name for f in schema if f.name not in out]
-        group_cols = list(fit.group_cols)
+        state = self._state
 
-        def one(table: pa.Table) -> pa.Table:
-            key = tuple(table.column(c)[0].as_py() for c in group_cols)
-            matrices = {k: np.column_stack([_floats(table.column(c)) for c in cols]) for k, cols in blocks.items()}
-            values = fn(key, (table.column(BLOCK)[0].as_py(),), **matrices)
-            columns = [table.column(c) for c in kept]
-            columns += [pa.array(values[:, i], from_pandas=True) for i in range(len(out))]
-            return pa.Table.from_arrays(columns, schema=arrow)
-
-        return fit.df.groupBy(*group_cols, BLOCK).applyInArrow(one, schema)
-
-    def store_state(self, fit):
-        from .engine import _light
-        sent = _light(fit)
-        names = [f"__state0_{v}" for v in fit.variables]
-
-        def now(key, block, ids, x, z=None, **state):
-            x, z, old, back = self._ordered(sent, key, ids, x, z, state)
-            return self._replay(sent.params[key], block, x, z, old)[0][back]
-
-        stored = self._map_blocks(fit, names, now)
-        fit.df = cut_lineage(stored, keep_partitioning=True)
-        fit.state_cols = [names]
-        for params in fit.params.values():
-            params["history"] = []
-
-    def block_fill(self, fit):
-        from .engine import _light
+        def one(key, lent, x, z=None, old=None):
+            params = sent.params[key]
+            x, s = state(sent, params, key, x, z, old)
+            estimate = s @ params["step"] @ params["step"].T
+            missing = np.isnan(x)
+            base = np.where(missing, estimate, x)
+            rows = np.flatnonzero(missing.any(axis=1))
+            grams = np.repeat((base.T @ base)[None], copies, axis=0)
+            if len(rows):
+                # a copy differs from the base on missing cells only: G_k = G + D_k'B + B'D_k + D_k'D_k
+                added = np.zeros((len(rows), x.shape[1], copies))
+                added[missing[rows]] = np.concatenate([lent[i] for i in rows]).reshape(-1, copies)
+                cross = np.einsum("nvk,nw->kvw", added, base[rows])
+                grams += cross + cross.transpose(0, 2, 1) + np.einsum("nvk,nwk->kvw", added, added, optimize=True)
+            return np.append(grams.ravel(), np.where(missing, 0.0, (x - estimate) ** 2).sum())
+
+        def partials(batches):
+            found: dict[tuple, np.ndarray] = {}
+            for batch in batches:
+                n = len(keys)
+                lent = batch.column(n).to_pylist()
+                column = {c: _floats(batch.column(n + 1 + i)) for i, c in enumerate(names)}
+                matrices = {k: np.column_stack([column[c] for c in cols]) for k, cols in blocks.items()}
+                for key, rows in group_rows([batch.column(i) for i in range(n)], batch.num_rows):
+                    at = np.arange(batch.num_rows)[rows]
+                    for part in np.array_split(at, max(1, len(at) // 2000)) if key in sent.params else ():
+                        vector = one(key, [lent[i] for i in part], **{k: m[part] for k, m in matrices.items()})
+                        found[key] = found[key] + vector if key in found else vector
+            for key, vector in found.items():
+                yield _partial_batch(key, vector, arrow)
+
+        return _collect_sums(joined.select(*keys, "__lent", *names).mapInArrow(partials, schema), keys)
+
+    def filled(self, fit: Fit) -> DataFrame:
+        """The last state in original units where a cell is missing."""
         sent = _light(fit)
+        if not fit.state_cols:
+            return fit.df
 
-        def filled(key, block, ids, x, z=None, **state):
+        def back(key, x, s):
             mu, sigma = sent.scale[key]
-            scaled, z, old, back = self._ordered(sent, key, ids, x, z, state)
-            params = sent.params[key]
-            s, missing, donors = self._replay(params, block, scaled, z, old)
-            estimate = self.advance(params, params["step"], scaled, [s], missing, donors)[0][back]
-            return np.where(np.isnan(x), estimate * sigma + mu, x)
+            return np.where(np.isnan(x), s * sigma + mu, x)
 
-        return self._map_blocks(fit, list(fit.variables), filled)
+        return row_map(fit.df, {"x": list(fit.variables), "s": fit.state_cols[0]}, back, list(fit.variables), fit.group_cols)

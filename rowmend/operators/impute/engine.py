@@ -58,7 +58,7 @@ class Algorithm:
     needs_filled = False  # the kernel reads the filled table as well as the observed cells
     uses_components = True
     n_state = 0  # number of V-wide state matrices per row
-    by_block = False  # the kernel needs whole blocks of rows
+    borrows = False  # rows borrow from other rows: the algorithm runs its own passes
 
     def __init__(self, **options):
         self.options = options
@@ -112,6 +112,8 @@ class Fit:
     state_cols: list[list[str]] = field(default_factory=list)
     trace: list[dict] = field(default_factory=list)
     seconds: float = 0.0
+    row_id: str = "row_id"
+    links: DataFrame | None = None  # of an algorithm that borrows: who borrows from whom
 
     def blocks(self) -> dict[str, list[str]]:
         blocks = {"x": list(self.variables)}
@@ -162,10 +164,7 @@ def fit(state: Fit, max_iter: int = 1000, round_no: int = 1, groups: set | None
         if not active:
             break
         if algorithm.n_state and max(len(state.params[k]["history"]) for k in active) >= REPLAY_LIMIT:
-            if algorithm.by_block:
-                algorithm.store_state(state)
-            else:
-                store_state(state)
+            store_state(state)
         sums = _iteration_sums(state, active)
         check_driver_size(len(sums), max((len(v) for v in sums.values()), default=0))
         for key in sorted(active, key=repr):
@@ -182,8 +181,8 @@ def fit(state: Fit, max_iter: int = 1000, round_no: int = 1, groups: set | None
 
 def _iteration_sums(state: Fit, active: set) -> dict[tuple, np.ndarray]:
     algorithm = state.algorithm
-    if algorithm.by_block:
-        return algorithm.block_sums(state, active)
+    if algorithm.borrows:
+        return algorithm.iterate(state, active)
     sent = _light(state)
     sent.params = {k: state.params[k] for k in active}
 
@@ -200,8 +199,8 @@ def fitted_values(state: Fit, prefix: str = "") -> DataFrame:
     """The table with every missing cell replaced by its estimate, in original units; observed cells are untouched."""
     algorithm = state.algorithm
     keep = [c for c in state.df.columns if not c.startswith("__")]
-    if algorithm.by_block:
-        return algorithm.block_fill(state).select(*keep)
+    if algorithm.borrows:
+        return algorithm.filled(state).select(*keep)
     sent = _light(state)
 
     def filled(key, x, z=None, **old):

@@ -97,30 +97,6 @@ def sum_stats(df: DataFrame, blocks: Mapping[str, Sequence[str]], kernel: Callab
     return _collect_sums(partial, group_cols)
 
 
-def sum_block_stats(df: DataFrame, block_cols: Sequence[str], blocks: Mapping[str, Sequence[str]],
-                    kernel: Callable[..., np.ndarray], group_cols: Sequence[str] = ()) -> dict[tuple, np.ndarray]:
-    """Like `sum_stats`, but the kernel sees whole blocks of rows: kernel(key, block, **matrices).
-
-    `block_cols` must split every group into pieces of bounded size.
-    """
-    names = list(dict.fromkeys(c for cols in blocks.values() for c in cols))
-    schema = _partial_schema(df, group_cols)
-    arrow = to_arrow_schema(schema)
-    blocks = {k: list(v) for k, v in blocks.items()}
-    n_group, n_keys = len(group_cols), len(group_cols) + len(block_cols)
-
-    def one_block(table: pa.Table) -> pa.Table:
-        full = tuple(table.column(i)[0].as_py() for i in range(n_keys))
-        column = {c: _floats(table.column(n_keys + i)) for i, c in enumerate(names)}
-        matrices = {k: np.column_stack([column[c] for c in cols]) for k, cols in blocks.items()}
-        vector = kernel(full[:n_group], full[n_group:], **matrices)
-        return pa.Table.from_batches([_partial_batch(full[:n_group], vector, arrow)])
-
-    keys = [*group_cols, *block_cols]
-    partial = df.select(*keys, *names).groupBy(*keys).applyInArrow(one_block, schema)
-    return _collect_sums(partial, group_cols)
-
-
 def row_map(df: DataFrame, blocks: Mapping[str, Sequence[str]], fn: Callable[..., np.ndarray],
             out: Sequence[str], group_cols: Sequence[str] = ()) -> DataFrame:
     """Append DOUBLE columns `out` = fn(key, **matrices), a matrix with one column per name; NaN becomes NULL."""

@@ -147,16 +147,13 @@ def fill_missing(df: DataFrame, variables: Sequence[str], algorithm: str, compon
     start = start or prepare(df, variables, prefill or PREFILL[algorithm], components, order, group_cols, seed, max_rows)
     work, copies, scale = start.table, start.copies, start.scale
     ctx = {k: replace(c) for k, c in start.contexts.items()}
-    if method.by_block:
-        laid_out = keep(method.layout(work, order[1], group_cols, ctx))
-        laid_out.count()  # once stored, the layout is known to the plans of the iterations
-    else:
-        laid_out = work
-    state = Fit(method, laid_out, variables, group_cols, copies, scale, {k: method.start(c) for k, c in ctx.items()})
+    state = Fit(method, work, variables, group_cols, copies, scale, {k: method.start(c) for k, c in ctx.items()}, row_id=order[1])
+    if method.borrows:
+        state.links = method.layout(work, variables, order, group_cols, seed, max_rows)
     chosen = {k: c.a for k, c in ctx.items()}
     proposals: dict[tuple, list[int]] = {k: [] for k in ctx}
     open_groups = set(ctx)
-    result = FillResult(algorithm, None, cached=laid_out)
+    result = FillResult(algorithm, None, cached=work)
     for round_no in range(1, max(max_rounds, 1) + 1):
         fit(state, max_iter, round_no, open_groups)
         result.rounds = round_no

@@ -102,16 +102,32 @@ def test_em_equals_loops_over_rows(data, name):
     np.testing.assert_allclose(back(got.df, COLS), expected, rtol=1e-8)
 
 
+def donors_of(missing, group, seed, copies):
+    """The keyed draws of the operator: row numbers of the donors per variable, (copies, missing cells)."""
+    import hashlib
+    out = []
+    for j in range(missing.shape[1]):
+        pool = np.flatnonzero(~missing[:, j])
+        rows = np.flatnonzero(missing[:, j])
+        drawn = np.empty((copies, len(rows)), int)
+        for c, row in enumerate(rows):
+            for k in range(copies):
+                digest = hashlib.md5("|".join(map(str, (seed, *group, row, f"x{j + 1}", k // 2))).encode()).hexdigest()
+                low, high = (int(digest[16 * (k % 2) + 8 * i :][:8], 16) / 2**32 for i in (0, 1))
+                drawn[k, c] = pool[int((low + high / 2**32) * len(pool))]
+        out.append(drawn)
+    return out
+
+
 def test_donor_augmentation_equals_dense_loop(data):
-    """One block holds the whole table: the same draws through plain numpy."""
+    """The same draws, from all observed cells, through plain numpy."""
     _, gapped, df = data
     mu = np.nanmean(gapped, 0)
     sd = np.sqrt(np.nansum((gapped - mu) ** 2, 0) / len(gapped))
     x = (gapped - mu) / sd
     m = np.isnan(x)
     copies, iterations, a = 7, 3, 2
-    rng = np.random.default_rng([0, 0])
-    donors = [rng.integers(0, (~m[:, j]).sum(), size=(copies, m[:, j].sum())) for j in range(V)]
+    donors = donors_of(m, (), 0, copies)
     s = np.where(m, 0.0, x)
 
     def top(g):
@@ -123,8 +139,7 @@ def test_donor_augmentation_equals_dense_loop(data):
         est = s @ p @ p.T
         stack = np.repeat(np.where(m, est, x)[None], copies, axis=0)
         for j in range(V):
-            pool = (x - est)[~m[:, j], j]
-            stack[:, m[:, j], j] += pool[donors[j]]
+            stack[:, m[:, j], j] += (x - est)[:, j][donors[j]]
         s = stack.mean(0)
         if it < iterations - 1:
             found = [top(c.T @ c) for c in stack]
@@ -135,7 +150,7 @@ def test_donor_augmentation_equals_dense_loop(data):
     np.testing.assert_allclose(back(got.df, COLS), s * sd + mu, rtol=1e-7)
 
 
-@pytest.mark.parametrize("name", ["SVDImpute", "SVT", "ALM", "PCADA"])
+@pytest.mark.parametrize("name", ["SVDImpute", "SVT", "ALM"])
 def test_storing_the_state_changes_nothing(data, name, monkeypatch):
     _, _, df = data
     options = {"tau": 60.0} if name == "SVT" else {}
@@ -157,7 +172,9 @@ def test_groups_equal_separate_fits_and_partitioning_is_irrelevant(spark, name):
                                 **options).df, cols)
     for k in (0, 1):
         part = to_spark(spark, x, extra={"g": g}, partitions=1 + 6 * k).filter(f"g = {k}")
-        np.testing.assert_allclose(grouped[g == k], back(fill_missing(part, cols, name, 1, **options).df, cols), rtol=1e-7)
+        # donors are drawn by group, so there the group stays a column of the separate fit
+        own = {"components": {(k,): 1}, "group_cols": ["g"]} if name == "PCADA" else {"components": 1}
+        np.testing.assert_allclose(grouped[g == k], back(fill_missing(part, cols, name, **own, **options).df, cols), rtol=1e-7)
 
 
 def test_component_loop_stops_on_a_repeat(data):
@@ -167,16 +184,6 @@ def test_component_loop_stops_on_a_repeat(data):
     assert not np.isnan(back(got.df, COLS)).any()
 
 
-def test_blocks_and_rare_variables():
-    from rowmend.operators.impute.donors import block_count
-    assert block_count(100_000, np.array([90_000, 80_000])) == 5
-    assert block_count(100_000, np.array([90_000, 500])) == 2
-    assert block_count(50, np.array([40])) == 1
-    with pytest.raises(ValueError, match="too few donors"):
-        block_count(10 ** 9, np.array([50]))
-    assert PCADA(copies=3).copies == 3
-
-
 def test_run_all_reports_failures(spark, data):
     x = data[1].copy()
     x[:, 2] = np.nan
@@ -197,18 +204,19 @@ def test_bpca_leaves_empty_rows_and_trace_is_kept(spark, data):
     assert [r["iteration"] for r in trace] == [1, 2, 3, 4, 5]
 
 
-def test_donor_iterations_do_not_shuffle_rows(spark, data):
-    """Once laid out by block, an iteration only shuffles the partial sums."""
-    from pyspark.sql import types as T
+def test_donors_come_from_all_observed_cells_at_every_size(spark):
+    """The same rule for a split table as for a whole one, and draws that reach every part of it."""
+    from rowmend.operators.impute.donors import donor_links
+    x = holes(low_rank(3000, 3, 1), 0.1)
+    df, cols = to_spark(spark, x), names(3)
+    whole = {tuple(r) for r in donor_links(df, cols, ("t", "row_id"), [], 4, 1).collect()}
+    split = {tuple(r) for r in donor_links(df, cols, ("t", "row_id"), [], 4, 1, max_rows=200).collect()}
+    assert whole == split and len(whole) == 4 * np.isnan(x).sum()
+    donors = np.array([r[3] for r in whole])
+    assert np.histogram(donors, 10, (0, 3000))[0].min() > 0.07 * len(donors)
+
 
-    from rowmend.plans.fill import prepare
-    start = prepare(data[2], COLS, "mean", 2)
-    method = PCADA(block_rows=100)
-    laid_out = method.layout(start.table, "row_id", [], start.contexts).persist()
-    assert laid_out.select("__block").distinct().count() == 2  # 12 % gaps leave about 440 donors per variable
-    schema = T.StructType([T.StructField("n", T.LongType())])
-    plan = laid_out.groupBy("__block").applyInArrow(lambda t: t, schema)._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan.split("InMemoryTableScan")[0]
-    filled = fill_missing(data[2], COLS, "PCADA", 2, prefill="mean", max_iter=5, max_rounds=0, block_rows=100)
+def test_donor_augmentation_beats_the_mean(data):
+    filled = fill_missing(data[2], COLS, "PCADA", 2, prefill="mean", max_iter=5, max_rounds=0)
     mean = back(fill_missing(data[2], COLS, "MI", 2).df, COLS)
     assert error(back(filled.df, COLS), data[0], data[1]) < 0.6 * error(mean, data[0], data[1])
