@@ -221,7 +221,7 @@ def soft_threshold_cells(spark, sf):
 
 
 def project_observed(spark, sf):
-    return _masked(spark, sf).select("row_id", *[F.coalesce(F.col(v), F.lit(0.0)).alias(v) for v in V])
+    return selection.project_observed(_masked(spark, sf), V).select("row_id", *V)
 
 
 # -- moments and PCA --------------------------------------------------------------------------------------------------

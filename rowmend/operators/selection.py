@@ -87,6 +87,11 @@ def merge_imputed(df: DataFrame, variables: Sequence[str], estimate: Mapping[str
     return df.withColumns({v: F.coalesce(F.col(v), F.col(estimate[v])) for v in variables})
 
 
+def project_observed(df: DataFrame, variables: Sequence[str]) -> DataFrame:
+    """Observed cells stay, missing cells become 0: the projection that matrix completion iterates on."""
+    return df.withColumns({v: F.coalesce(F.col(v), F.lit(0.0)) for v in variables})
+
+
 def to_cells(df: DataFrame, variables: Sequence[str], keys: Sequence[str], with_labels: bool = True) -> DataFrame:
     """Long form (keys..., variable, value[, label]) without a shuffle."""
     entries = []

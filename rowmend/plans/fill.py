@@ -116,6 +116,7 @@ def prepare(df: DataFrame, variables: Sequence[str], prefill: str, components: i
 
 
 RULES = ("one_se", "argmin")
+ROUNDS = ("max_rounds", "n_splits", "num_repeat", "upper", "se_rule", "rule", "warm_start")  # options of the component loop
 
 
 def _proposal(total, folds, n_splits, upper, se_rule, rule) -> int:
@@ -139,7 +140,11 @@ def fill_missing(df: DataFrame, variables: Sequence[str], algorithm: str, compon
         raise ValueError(f"rule {rule!r} is not one of {RULES}")
     variables, group_cols = list(variables), list(group_cols)
     if algorithm == "MI":
-        kept = components if isinstance(components, dict) else {(): components}
+        if isinstance(components, dict):
+            kept = components
+        else:
+            groups = df.select(*group_cols).distinct().collect() if group_cols else [()]
+            kept = {tuple(r): components for r in groups}
         return FillResult("MI", impute_mean(df, variables, group_cols), kept)
     if algorithm not in ALGORITHMS:
         raise ValueError(f"algorithm {algorithm!r} is not one of {['MI', *ALGORITHMS]}")
@@ -184,7 +189,7 @@ def fill_missing(df: DataFrame, variables: Sequence[str], algorithm: str, compon
     return result
 
 
-def largest_contribution(filled: DataFrame, original: DataFrame, variables: Sequence[str], a: int,
+def largest_contribution(filled: DataFrame, original: DataFrame, variables: Sequence[str], a: int | dict,
                          row_id: str = "row_id", group_cols: Sequence[str] = ()) -> dict[tuple, float]:
     """Per group the largest positive T2 contribution among the cells that were missing."""
     models = fit_pca(filled, variables, a, contrib="2D-Chiang", lim_method="2D-Alcala", row_limits=False, group_cols=group_cols)
@@ -200,7 +205,7 @@ def largest_contribution(filled: DataFrame, original: DataFrame, variables: Sequ
     return {tuple(r[c] for c in group_cols): r["worst"] for r in found}
 
 
-def fill_als(df: DataFrame, variables: Sequence[str], components: int, candidates: int = 5,
+def fill_als(df: DataFrame, variables: Sequence[str], components: int | dict, candidates: int = 5,
              order: Sequence[str] = ORDER, group_cols: Sequence[str] = (), seed: int = 0, prefill: str | None = None,
              max_rows: int | None = None, start: Start | None = None, **options) -> FillResult:
     """Factorisations from several random starts; every group keeps the one whose imputed cells look least unusual.
@@ -236,7 +241,7 @@ def _group_rows(df: DataFrame, group_cols: Sequence[str], key: tuple) -> DataFra
     return df
 
 
-def run_all(df: DataFrame, variables: Sequence[str], components: int, algorithms: Sequence[str] | None = None,
+def run_all(df: DataFrame, variables: Sequence[str], components: int | dict, algorithms: Sequence[str] | None = None,
             **options) -> dict[str, FillResult]:
     """Every algorithm in turn; one that fails, or leaves cells empty, is reported and does not stop the others.
 
@@ -251,8 +256,7 @@ def run_all(df: DataFrame, variables: Sequence[str], components: int, algorithms
             if name != "MI" and method not in starts:
                 starts[method] = prepare(df, variables, method, components, **shared)
             if name == "ALS":
-                rounds = ("max_rounds", "n_splits", "num_repeat", "upper", "se_rule", "rule", "warm_start")
-                passed = {k: v for k, v in options.items() if k not in rounds}
+                passed = {k: v for k, v in options.items() if k not in ROUNDS}
                 result = fill_als(df, variables, components, start=starts[method], **passed)
             else:
                 result = fill_missing(df, variables, name, components, start=starts.get(method), **options)

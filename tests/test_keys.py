@@ -51,6 +51,18 @@ def test_grouped_als_equals_separate_fits(spark, grouped):
     assert status.status == "ok" and set(status.components) == set(together.components)
 
 
+def test_grouped_comparison_and_grid(spark):
+    from rowmend.plans.compare import compare_algorithms
+    from rowmend.plans.grid import experiment_grid
+    x = low_rank(120, 4, 1)
+    truth = to_spark(spark, x).withColumn("g", F.when(F.col("row_id") % 2 == 0, 1))
+    masked = inject.inject_mcar(truth, COLS, 0.1, 0.02, 1, group_cols=["g"])
+    wide, _ = compare_algorithms(masked, COLS, 1, algorithms=["MI", "PPCA"], truth=truth, group_cols=["g"], max_iter=2, max_rounds=0, with_time=False)
+    assert {(r.g, r.algorithm) for r in wide.collect()} == {(g, a) for g in (None, 1) for a in ("MI", "PPCA")}
+    grid = experiment_grid(truth, COLS, sims=2, miss_types=[1], algorithms=["ALS"], components=1, with_time=False, max_iter=2, level=0.1, tol=0.02)
+    assert {(r.sim, r.algorithm) for r in grid.select("sim", "algorithm").distinct().collect()} == {(1, "ALS"), (2, "ALS")}
+
+
 def test_codes_and_thresholds(spark, tmp_path):
     path = str(tmp_path / "m")
     spark.createDataFrame([(0.0, 1.0, 999.0), (1.0, 1500.0, 2.0)], "t double, a double, b double").write.parquet(path)
