@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -16,7 +17,8 @@ import corpus_pipeline
 from rowmend.llm import chat, mixing, queries, simhash, substring_dedup, suffix_tree_lm
 from rowmend.llm.common import table
 from rowmend.llm.components import components
-from tests.llm.helpers import ODD_TEXTS, crc, lower, odd_docs, rows_of, words
+from tests.llm.helpers import ODD_TEXTS, crc, lower, odd_docs, words
+from tools.check_queries import compare, connect
 
 
 def documents(spark, sf):
@@ -123,16 +125,42 @@ def test_near_copies_go_and_clean_texts_stay(spark):
 
 # repeated passages
 
+def plain_sentences(text):
+    out = []
+    for part in re.findall(r"(?s)(?:(?![.!?,;:]+[ \t\r\n\x0b\x0c]|\n).)*(?:[.!?,;:]+[ \t\r\n\x0b\x0c]+|\n+|$)", text):
+        if part.count(" ") > 12:
+            words_ = re.findall(r"[^ \t\r\n\x0b\x0c]+[ \t\r\n\x0b\x0c]*|[ \t\r\n\x0b\x0c]+", part)
+            start = 0
+            for k, w in enumerate(words_):
+                bare = w.strip(" \t\r\n\x0b\x0c").encode()
+                if bare and bare[-1] % 8 == 5 and len(w.encode()) > len(bare):
+                    out.append("".join(words_[start : k + 1]))
+                    start = k + 1
+            part = "".join(words_[start:])
+        if part:
+            out.append(part)
+    return out
+
+
+def plain_runs(parts, run, least):
+    sizes = [len(words(p)) for p in parts]
+    for a in range(len(parts)):
+        for b in range(a + run, len(parts) + 1):
+            if sizes[a] and sum(sizes[a:b]) >= least:
+                yield a, b, " ".join(words(lower("".join(parts[a:b]))))
+                break
+
+
 def plain_remove(docs):
     """docs: [(id, text)] in order; the same runs, kept at their first place only."""
     seen, out = {}, {}
     for i, text in docs:
-        parts = substring_dedup.sentences(text.encode())
+        parts = plain_sentences(text)
         gone = set()
-        for a, b, key in zip(*substring_dedup.runs(parts)):
+        for a, b, key in plain_runs(parts, 3, 12):
             if seen.setdefault(key, (i, a)) != (i, a):
                 gone.update(range(a, b))
-        out[i] = b"".join(p for k, p in enumerate(parts) if k not in gone).decode()
+        out[i] = "".join(p for k, p in enumerate(parts) if k not in gone)
     return out
 
 
@@ -142,13 +170,15 @@ def test_substring_query_equals_plain_version(spark, sf):
         assert r.text == expected[r.doc_id]
 
 
-@settings(max_examples=80, deadline=None)
-@given(st.text(alphabet="ab .,\n!É", max_size=300))
-def test_sentences_join_to_the_text_and_runs_are_long_enough(text):
-    parts = substring_dedup.sentences(text.encode())
-    assert b"".join(parts).decode() == text
-    for a, b, key in zip(*substring_dedup.runs(parts, 3, 5)):
-        assert b - a >= 3 and len(key.split()) >= 5 and key.split() == b" ".join(parts[a:b]).lower().split()
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="ab m.,\n!É\t", max_size=300))
+def test_sentences_and_runs_equal_the_plain_version(text):
+    data = text.encode()
+    ends = substring_dedup.sentence_ends(data)
+    parts = [data[a:b].decode() for a, b in zip([0, *ends], ends)]
+    assert "".join(parts) == text and parts == plain_sentences(text)
+    starts, keys = substring_dedup.run_keys(data, 3, 5)
+    assert list(zip(starts.tolist(), [k.decode() for k in keys])) == [(a, k) for a, _, k in plain_runs(parts, 3, 5)]
 
 
 def test_a_passage_inside_other_texts_is_cut(spark):
@@ -234,6 +264,13 @@ def test_chat_query_round_trip(spark, sf):
         assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == (len(own), sha("".join(f"{a}\n{b}\n" for a, b in own)), len(loss), sha(loss))
 
 
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_equals_sql(spark, sf, name):
+    df = queries.queries()[name](spark, sf)
+    cursor = connect(sf).execute(queries.oracle_sql()[name])
+    assert compare(df.columns, [tuple(r) for r in df.collect()], [d[0] for d in cursor.description], cursor.fetchall()) == "ok"
+
+
 def test_reply_trees_give_every_path_once(spark):
     rng = random.Random(2)
     parent, rows = {}, []
