@@ -21,7 +21,8 @@ from ..session import cut_lineage, result_folder
 from .common import text_bytes
 
 BOUNDARY = 255  # never part of UTF-8: stands before the first symbol and after the last
-CHUNK = 2_000_000  # symbols or tokens that a task holds before it reduces them
+CHUNK = 2_000_000  # symbols that a task holds before it reduces them
+BLOCK_TOKENS = 1_500_000  # tokens that share one list of distinct tokens
 
 
 def words_of(data: bytes) -> list[bytes]:
@@ -150,12 +151,12 @@ def learn_tree(docs: DataFrame, text_col: str = "text", depth: int = 5, least_sh
 
 
 def _blocks(docs: DataFrame, tree: Tree, id_col: str, held: Column, text_col: str) -> DataFrame:
-    """One row per text (its tree score, its distinct tokens as numbers within a block, and their counts) and one per distinct
-    token of a block (`token`, a hash, with its count in training texts).  A block is what a task reads until it has CHUNK
-    tokens; its number is stored with the rows, so later stages need not cut the texts in the same way again."""
+    """One row per text (its tree score, and its tokens as numbers within a block: sorted, each as the distance from the
+    one before, which compresses well) and one per distinct token of a block (`token`, a hash, with its count in training texts).  A block is what a task reads until it has
+    BLOCK_TOKENS tokens; its number is stored with the rows, so later stages need not cut the texts in the same way again."""
     rows = docs.select(F.col(id_col).alias("id"), held.alias("held"), text_bytes(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    schema = (f"block bigint, id {kind}, held boolean, score double, n_tokens bigint, tokens binary, counts binary, at int, token bigint, n bigint")
+    schema = (f"block bigint, id {kind}, held boolean, score double, n_tokens bigint, tokens binary, at int, token bigint, n bigint")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -163,10 +164,10 @@ def _blocks(docs: DataFrame, tree: Tree, id_col: str, held: Column, text_col: st
 
         task, number = TaskContext.get().partitionId() << 24, 0
         vocabulary: dict[bytes, int] = {}
-        train: list[int] = []
+        train: list[np.ndarray] = []
         size = 0
-        types = [pa.int64(), None, pa.bool_(), pa.float64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.int64()]
-        names = ["block", "id", "held", "score", "n_tokens", "tokens", "counts", "at", "token", "n"]
+        types = [pa.int64(), None, pa.bool_(), pa.float64(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64()]
+        names = ["block", "id", "held", "score", "n_tokens", "tokens", "at", "token", "n"]
 
         def batch_of(columns: dict, n: int) -> pa.RecordBatch:
             arrays = []
@@ -177,15 +178,16 @@ def _blocks(docs: DataFrame, tree: Tree, id_col: str, held: Column, text_col: st
 
         def tokens_of_block() -> Iterator[pa.RecordBatch]:
             hashes = np.array([xxhash.xxh64_intdigest(w, 3) for w in vocabulary], np.uint64).view(np.int64)
+            seen = np.bincount(np.concatenate([*train, np.empty(0, np.int32)]).astype(np.int64), minlength=len(hashes))
             for a in range(0, len(hashes), 100_000):
                 part = slice(a, a + 100_000)
                 n = len(hashes[part])
-                yield batch_of({"block": np.full(n, task + number), "at": np.arange(a, a + n, dtype=np.int32), "token": hashes[part], "n": np.array(train[part], np.int64)}, n)
+                yield batch_of({"block": np.full(n, task + number), "at": np.arange(a, a + n, dtype=np.int32), "token": hashes[part], "n": seen[part]}, n)
 
         for batch in batches:
             types[1] = batch.schema.field(0).type
             ids, helds, texts = batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            start, out = 0, {k: [] for k in ("score", "n_tokens", "tokens", "counts")}
+            start, out = 0, {k: [] for k in ("score", "n_tokens", "tokens")}
 
             def texts_so_far(stop: int) -> pa.RecordBatch:
                 part = {"block": np.full(stop - start, task + number), "id": ids.slice(start, stop - start), "held": helds[start:stop]}
@@ -196,17 +198,12 @@ def _blocks(docs: DataFrame, tree: Tree, id_col: str, held: Column, text_col: st
                 out["score"].append(tree.score(symbols(words, tree.depth)))
                 words.append(b"\xff")  # the end, counted as a token
                 numbers = np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words], np.int32)
-                if len(vocabulary) > len(train):
-                    train.extend([0] * (len(vocabulary) - len(train)))
-                tokens, counts = np.unique(numbers, return_counts=True)
                 if not helds[k]:
-                    for t, c in zip(tokens.tolist(), counts.tolist()):
-                        train[t] += c
+                    train.append(numbers)
                 out["n_tokens"].append(len(words))
-                out["tokens"].append(tokens.tobytes())
-                out["counts"].append(counts.astype(np.int32).tobytes())
+                out["tokens"].append(np.diff(np.sort(numbers), prepend=np.int32(0)).tobytes())
                 size += len(words)
-                if size >= CHUNK:
+                if size >= BLOCK_TOKENS:
                     yield texts_so_far(k + 1)
                     yield from tokens_of_block()
                     start, out = k + 1, {c: [] for c in out}
@@ -235,16 +232,16 @@ def score_texts(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col:
     held = F.coalesce(held, F.lit(False))
     tree = learn_tree(docs.where(~held), text_col, **tree_options)
     stored = result_folder(spark, "tokens")
-    _blocks(docs, tree, id_col, held, text_col).write.parquet(stored)
+    _blocks(docs, tree, id_col, held, text_col).write.option("compression", "zstd").parquet(stored)
     everything = spark.read.parquet(stored)
     asked = everything.where(F.col("token").isNotNull()).select("block", "at", "token", "n")
     same = W.partitionBy("token")
     answered = asked.withColumn("c", F.sum("n").over(same)).withColumn("first", F.row_number().over(same.orderBy("block", "at")) == 1)
     answers = result_folder(spark, "answers")
-    answered.select("block", "at", "n", "c", "first").write.parquet(answers)
+    answered.select("block", "at", "n", "c", "first").write.option("compression", "zstd").parquet(answers)
     answered = spark.read.parquet(answers)
     n, v = answered.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("first") & (F.col("c") > 0), 1))).first()
-    texts = everything.where(F.col("token").isNull()).select("block", "id", "held", "score", "n_tokens", "tokens", "counts")
+    texts = everything.where(F.col("token").isNull()).select("block", "id", "held", "score", "n_tokens", "tokens")
     kind = texts.schema["id"].dataType.simpleString()
 
     def look_up(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -252,10 +249,10 @@ def score_texts(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col:
         count[right.column("at").to_numpy()] = right.column("c").to_numpy()
         weight = np.log10(count + 1.0)
         known, total = [], []
-        for tokens, counts in zip(left.column("tokens").to_pylist(), left.column("counts").to_pylist()):
-            t, c = np.frombuffer(tokens, np.int32), np.frombuffer(counts, np.int32)
-            known.append(int(c[count[t] > 0].sum()))
-            total.append(float(weight[t] @ c))
+        for tokens in left.column("tokens").to_pylist():
+            t = np.cumsum(np.frombuffer(tokens, np.int32))
+            known.append(int((count[t] > 0).sum()))
+            total.append(float(weight[t].sum()))
         return pa.table({"id": left.column("id"), "held": left.column("held"), "n_tokens": left.column("n_tokens"), "n_known": pa.array(known, pa.int64()),
                          "total": pa.array(total, pa.float64()), "score": left.column("score")})
 
