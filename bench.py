@@ -1,6 +1,7 @@
 """Headline timings; prints one JSON line.
 
 Environment: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8).
+`rows_per_sec` is rows of the order matrix over the whole time of an operator, `sec_per_iteration` that time over its iterations.
 """
 
 from __future__ import annotations
@@ -45,7 +46,7 @@ def main() -> None:
     release_kept()
 
     om = fx.order_matrix(spark, sf_dir).persist()
-    timed("order_matrix", lambda: om.count())
+    rows = timed("order_matrix", lambda: om.count())
     masked = fx.masked(om, V).persist()
     timed("inject_mcar", lambda: masked.count())
     timed("impute_interpolate", lambda: drain(gaps.impute_interpolate(masked, V)))
@@ -69,8 +70,11 @@ def main() -> None:
     for kind, label in inject.MISS_TYPES.items():
         timed(f"inject_{label}", lambda k=kind: drain(inject.inject(om, V, k, 0.1, 0.001, seed=k)))
 
+    per_iteration = {k: round(t / ITERATIONS, 3) for k, t in times.items() if k.startswith("fill_") and k != "fill_mi"}
     line = {"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,
-            "sf": sf_dir.rsplit("sf", 1)[-1].strip("/")}
+            "sf": sf_dir.rsplit("sf", 1)[-1].strip("/"),
+            "cores": spark.sparkContext.defaultParallelism, "rows": rows,
+            "rows_per_sec": {k: round(rows / t) for k, t in times.items() if t}, "sec_per_iteration": per_iteration}
     print(json.dumps(line))
     spark.stop()
 
