@@ -1,14 +1,21 @@
-"""Near duplicates: SimHash fingerprints, searched with BK-trees over the integer Hamming distance.
+"""Near duplicates: SimHash fingerprints, searched with BK-trees over the integer Hamming distance, and shingle sets by their
+first members.
 
 A tree of all fingerprints would grow with the corpus and could not be broadcast.  Fingerprints are therefore dealt to
 shards: the 64 bits are cut into radius + 2 blocks, and a shard holds the fingerprints that agree in two given blocks.
 Two fingerprints within the radius differ in at most `radius` blocks, so they share a shard of some pair of blocks and no
 link is lost.  A shard's tree has at most `SHARD` nodes; a larger shard is cut into parts, and the tree of each part is
 sent to the tasks that search it with the other parts, which is the broadcast of a shard tree to its queries alone.
+
+Fingerprints that are near name candidates but not all pairs of similar texts.  `near_duplicates` therefore compares all texts
+that share one of their first shingles in a common order, which every pair with the wanted Jaccard similarity does.
 """
 
 from __future__ import annotations
 
+import hashlib
+import itertools
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -16,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..session import cut_lineage
 from .common import checked_broadcast, row_udf, text_bytes
@@ -23,6 +31,10 @@ from .components import components
 
 BITS = 64
 SHARD = 4096  # fingerprints of one tree
+PARITY = 1024  # bits that bound how far two sets of shingles are apart
+FIRST = 4  # first shingles of a text whose lists are compared neighbour by neighbour
+SAMPLE_TEXTS, FREQUENT = 10_000, 100_000  # texts that tell the frequent shingles, and how many of those are told
+KNOWN_WORDS = 500_000  # hashes of words that a task remembers
 
 
 def majority_bits(digests: bytes, width: int, n: int) -> bytes:
@@ -227,16 +239,130 @@ def jaccard(a: str, b: str, width: int = 5) -> Column:
     return row_udf(run, "j double")(text_bytes(a), text_bytes(b)).getField("j")
 
 
+def shingle_hashes(words: list[bytes], width: int, known: dict[bytes, int]) -> np.ndarray:
+    """Distinct 64-bit hashes of the shingles; `known` keeps the hashes of words between calls."""
+    import xxhash
+
+    if len(known) > KNOWN_WORDS:
+        known.clear()
+    for w in set(words).difference(known):
+        known[w] = xxhash.xxh3_64_intdigest(w, 5)
+    at = np.array([known[w] for w in words], np.uint64)
+    size = min(width, len(at))
+    total = np.full(len(at) - size + 1 if size else 0, size, np.uint64)
+    for k in range(size):
+        total = (total ^ at[k : k + len(total)]) * np.uint64(0x9E3779B97F4A7C15)
+        total ^= total >> np.uint64(29)
+    return np.unique(total.view(np.int64))
+
+
+def frequent_shingles(docs: DataFrame, text_col: str, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes, levels) of shingles that are frequent in a bounded sample of texts.  They only say which shingles come
+    last in the order of all shingles; any order finds the same pairs."""
+    share = min(1.0, SAMPLE_TEXTS / max(1, docs.count()))
+    picked = docs.select(text_bytes(text_col).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).distinct()
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
+        for batch in batches:
+            parts = [shingle_hashes(t.lower().split(), width, known) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*parts, np.empty(0, np.int64)]))], ["key"])
+
+    counts = picked.mapInArrow(emit, "key bigint").groupBy("key").count().where("count > 2")
+    found = counts.orderBy(F.desc("count"), "key").limit(FREQUENT).toPandas().sort_values("key")
+    return found["key"].to_numpy(np.int64), np.floor(np.log2(found["count"].to_numpy(float))).astype(np.int64)
+
+
+def shingle_sets(text_col: str, width: int, similarity: float, frequent: tuple[np.ndarray, np.ndarray]) -> Column:
+    """`n` distinct shingles of a text; `whole`, the same for equal sets; `parity`, PARITY bits, of which two sets differ in no
+    more than the members they do not share; `prefix`, the first shingles in an order common to all texts, so many that sets
+    with the similarity have one of them in common."""
+    hot, levels = frequent
+
+    def run(texts: list[bytes]) -> dict:
+        out: dict = {"n": [], "whole": [], "parity": [], "prefix": []}
+        known: dict[bytes, int] = {}
+        for data in texts:
+            keys = shingle_hashes(data.lower().split(), width, known)
+            n = len(keys)
+            odd = np.bincount((keys & (PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
+            level = np.zeros(n, np.int64)
+            if len(hot):
+                at = np.minimum(np.searchsorted(hot, keys), len(hot) - 1)
+                level = np.where(hot[at] == keys, levels[at], 0)
+            first = keys[np.argsort(level, kind="stable")][: n - math.ceil(similarity * n - 1e-9) + 1] if n else keys
+            out["n"].append(n)
+            out["whole"].append(hashlib.md5(keys.tobytes()).digest())
+            out["parity"].append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+            out["prefix"].append(first)
+        return out
+
+    return row_udf(run, "n int, whole binary, parity array<bigint>, prefix array<bigint>")(text_bytes(text_col))
+
+
+def prefix_pairs(shared: DataFrame, classes: DataFrame, similarity: float, part_rows: int = SHARD) -> DataFrame:
+    """(u, v), u < v: texts of different classes with a shingle in common that can be the first common one of two sets with
+    the similarity, judged by their sizes and the places of the shingle.  `shared` has (key, no, n, pos), `classes` (no, root).
+
+    Every two texts of a list of equal shingles meet; a list of over `part_rows` rows is cut into g parts and searched in
+    g (g + 1) / 2 tasks.  Lists within one class are left out.
+    """
+    keyed = shared.join(classes, "no", "left").select("key", "no", "n", "pos", F.coalesce("root", "no").alias("root"))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("rows"), F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key", "rows")
+    parts = F.ceil(F.col("rows") / part_rows).cast("int")
+    own = F.pmod(F.xxhash64("no"), parts).cast("int")
+    dealt = keyed.join(sizes, "key").select("key", "no", "n", "pos", "root", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "no", "n", "pos", "root")
+    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    weight = similarity / (1 + similarity)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(i, j, rows):
+            own, no, n, pos, root = np.array(rows, np.int64).T
+            queries, others = np.flatnonzero(own == i), np.flatnonzero(own == j)
+            for k, a in enumerate(queries.tolist()):
+                b = others[k + 1 :] if i == j else others
+                common = np.ceil(weight * (n[a] + n[b]) - 1e-9)
+                b = b[(root[b] != root[a]) & (pos[a] <= n[a] - common) & (pos[b] <= n[b] - common)]
+                if len(b):
+                    yield np.minimum(no[a], no[b]), np.maximum(no[a], no[b])
+
+        group, rows, found, size = None, [], [], 0
+
+        def batch():
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in (0, 1)], ["u", "v"])
+
+        for b in itertools.chain(batches, [None]):
+            for key, i, j, *row in zip(*(c.to_pylist() for c in b.columns)) if b is not None else [(None, 0, 0)]:
+                if (key, i, j) != group:
+                    if len(rows) > 1:
+                        for f in pairs(*group[1:], rows):
+                            found.append(f)
+                            size += len(f[0])
+                            if size > 100_000:
+                                yield batch()
+                                found, size = [], 0
+                    group, rows = (key, i, j), []
+                rows.append(row)
+        if found:
+            yield batch()
+
+    return dealt.mapInArrow(search, "u bigint, v bigint").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, width: int = 5,
-                    radius: int = 3, pairs: int = 5, most_bits: float = 0.14) -> DataFrame:
+                    radius: int = 3, pairs: int = 5) -> DataFrame:
     """(id, component_id) for every row: texts whose `width`-word shingles have a Jaccard similarity of `similarity` or more,
     linked transitively; a component is named by its smallest id.
 
-    Candidates: fingerprints over words (2 * `pairs` families) within `radius` in one family and within `most_bits` of all
-    bits; each candidate is then checked exactly.  Equal texts are one node.  Texts without words are alike.  A null text
-    counts as empty, a null id as larger than every id; each distinct pair of id and text gives one row.
+    Every pair with the similarity is linked or lies within one component.  First, texts with fingerprints over words
+    (2 * `pairs` families) within `radius` in one family, texts with equal sets of shingles and neighbours in lists of rare
+    shingles are compared, which joins most copies at a cost linear in the size of a group.  Then all pairs that are not yet
+    joined and share one of the first shingles of both texts, in an order from rare to frequent, are compared: sets with the
+    similarity always share one.  Each candidate is checked exactly.  Equal texts are one node.  Texts without words are alike.
+    A null text counts as empty, a null id as larger than every id; each distinct pair of id and text gives one row.
     """
-    ids, classes = _classes(docs, id_col, text_col, similarity, width, radius, pairs, most_bits)
+    ids, classes = _classes(docs, id_col, text_col, similarity, width, radius, pairs)
     return ids.join(classes, "node").select("id", "component_id")
 
 
@@ -245,41 +371,65 @@ def _text_key(text_col: str) -> Column:
     return F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
 
 
-def _classes(docs, id_col, text_col, similarity, width, radius, pairs, most_bits) -> tuple[DataFrame, DataFrame]:
+def _classes(docs, id_col, text_col, similarity, width, radius, pairs) -> tuple[DataFrame, DataFrame]:
     """(id, node, n) for each distinct id and text, and (node, component_id, keeper) for each distinct text."""
     rows = docs.select(F.col(id_col).alias("id"), _text_key(text_col).alias("node"), F.col(text_col).alias("text"))
-    prints = cut_lineage(rows.select("id", "node", word_fingerprints("text", pairs).alias("fps")))
+    sets = shingle_sets("text", width, similarity, frequent_shingles(docs, text_col, width))
+    prints = cut_lineage(rows.select("id", "node", word_fingerprints("text", pairs).alias("fps"), sets.alias("set")).select("id", "node", "fps", "set.*"))
     ids = cut_lineage(prints.groupBy("id", "node").agg(F.count("*").alias("n")))
-    nodes = cut_lineage(prints.groupBy("node").agg(F.min("id").alias("first"), F.any_value("fps").alias("fps")))
-    families = nodes.select("node", F.posexplode("fps").alias("family", "fp"))
-    named = cut_lineage(families.groupBy("family", "fp").agg(F.min("node").alias("name")))
+    held = F.any_value(F.struct("fps", "n", "whole", "parity")).alias("held")
+    nodes = prints.groupBy("node").agg(F.min("id").alias("first"), held).select("node", "first", "held.*", F.monotonically_increasing_id().alias("no"))
+    nodes = cut_lineage(nodes)
+    families = nodes.select("no", F.posexplode("fps").alias("family", "fp"))
+    named = cut_lineage(families.groupBy("family", "fp").agg(F.min("no").alias("name")))
     links = link_fingerprints(named.select("family", "fp"), radius)
     a = named.select("family", F.col("fp").alias("a"), F.col("name").alias("u"))
     b = named.select("family", F.col("fp").alias("b"), F.col("name").alias("v"))
     between = links.join(a, ["family", "a"]).join(b, ["family", "b"]).select("u", "v")
-    within = families.join(named, ["family", "fp"]).where("node <> name").select(F.col("name").alias("u"), F.col("node").alias("v"))
-    candidates = between.union(within).where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    u = nodes.select(F.col("node").alias("u"), F.col("fps").alias("fu"))
-    v = nodes.select(F.col("node").alias("v"), F.col("fps").alias("fv"))
-    apart = F.aggregate(F.zip_with("fu", "fv", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    near = cut_lineage(candidates.join(u, "u").join(v, "v").where(apart <= int(most_bits * 2 * pairs * BITS)).select("u", "v"))
-    ends = cut_lineage(near.select(F.col("u").alias("node")).union(near.select(F.col("v").alias("node"))).distinct())
-    wanted = cut_lineage(ends.join(nodes, "node").select("node", F.col("first").alias("id")))
-    same = rows.id.eqNullSafe(wanted.id) & (rows.node == wanted.node)
-    texts = rows.join(checked_broadcast(wanted), same, "left_semi").select("node", "text").dropDuplicates(["node"])
-    x = texts.select(F.col("node").alias("u"), F.col("text").alias("tu"))
-    y = texts.select(F.col("node").alias("v"), F.col("text").alias("tv"))
-    alike = near.join(x, "u").join(y, "v").select("u", "v", jaccard("tu", "tv", width).alias("j")).where(F.col("j") >= similarity)
+    within = families.join(named, ["family", "fp"]).where("no <> name").select(F.col("name").alias("u"), F.col("no").alias("v"))
+    # One text stands for all with its set of shingles.
+    wholes = cut_lineage(nodes.groupBy("whole").agg(F.min("no").alias("name"), F.min_by("node", "no").alias("node"), F.min_by("first", "no").alias("id")))
+    equal = nodes.join(wholes.select("whole", "name"), "whole").where("no <> name").select(F.col("name").alias("u"), F.col("no").alias("v"))
+    standing = wholes.select("node", "id", F.col("name").alias("no"))
+    on = (prints.node == standing.node) & prints.id.eqNullSafe(standing.id)
+    posted = prints.join(checked_broadcast(standing), on).select("no", "n", F.posexplode("prefix").alias("pos", "key"))
+    shared = cut_lineage(posted.withColumn("rows", F.count("*").over(W.partitionBy("key"))).where("rows > 1").select("key", "no", "n", "pos"))
+    beside = F.lead("no").over(W.partitionBy("key").orderBy("n", "no"))
+    chained = shared.where(F.col("pos") < FIRST).select(F.col("no").alias("u"), beside.alias("v"))
+    near, alike = _compared(between.union(within).union(equal).union(chained), nodes, rows, similarity, width)
     found = components(alike, "u", "v")
-    known = nodes.join(found, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    rest = prefix_pairs(shared, found.select(F.col("node").alias("no"), "root"), similarity)
+    _, more = _compared(rest.join(near, ["u", "v"], "left_anti"), nodes, rows, similarity, width)
+    if not more.isEmpty():
+        found = components(alike.union(more), "u", "v")
+    known = nodes.join(found.select(F.col("node").alias("no"), "root"), "no", "left").select("node", "first", F.coalesce("root", "no").alias("root"))
     best = known.groupBy("root").agg(F.min("first").alias("component_id"), F.min(F.struct(F.col("first").isNull(), "first", "node")).getField("node").alias("keeper"))
     return ids, cut_lineage(known.join(best, "root").select("node", "component_id", "keeper"))
 
 
+def _compared(candidates: DataFrame, nodes: DataFrame, rows: DataFrame, similarity: float, width: int) -> tuple[DataFrame, DataFrame]:
+    """(u, v) of the candidates whose sizes and parities allow the similarity, and those of them whose texts have it."""
+    candidates = candidates.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    u = nodes.select(F.col("no").alias("u"), F.col("n").alias("nu"), F.col("parity").alias("pu"))
+    v = nodes.select(F.col("no").alias("v"), F.col("n").alias("nv"), F.col("parity").alias("pv"))
+    apart = F.aggregate(F.zip_with("pu", "pv", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    both = F.col("nu") + F.col("nv")
+    allowed = both - 2 * F.ceil(both * (similarity / (1 + similarity)) - 1e-9)
+    near = cut_lineage(candidates.join(u, "u").join(v, "v").where((F.abs(F.col("nu") - F.col("nv")) <= allowed) & (apart <= allowed)).select("u", "v"))
+    ends = cut_lineage(near.select(F.col("u").alias("no")).union(near.select(F.col("v").alias("no"))).distinct())
+    wanted = cut_lineage(ends.join(nodes, "no").select("no", F.col("node").alias("wanted"), F.col("first").alias("wanted_id")))
+    same = (rows.node == wanted.wanted) & rows.id.eqNullSafe(wanted.wanted_id)
+    texts = rows.join(checked_broadcast(wanted), same).select("no", "text").dropDuplicates(["no"])
+    x = texts.select(F.col("no").alias("u"), F.col("text").alias("tu"))
+    y = texts.select(F.col("no").alias("v"), F.col("text").alias("tv"))
+    alike = near.join(x, "u").join(y, "v").select("u", "v", jaccard("tu", "tv", width).alias("j")).where(F.col("j") >= similarity)
+    return near, cut_lineage(alike.select("u", "v"))
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, width: int = 5,
-                         radius: int = 3, pairs: int = 5, most_bits: float = 0.14) -> DataFrame:
+                         radius: int = 3, pairs: int = 5) -> DataFrame:
     """One row of each class of `near_duplicates`, with all its columns: the one with the smallest id (a null id last)."""
-    ids, classes = _classes(docs, id_col, text_col, similarity, width, radius, pairs, most_bits)
+    ids, classes = _classes(docs, id_col, text_col, similarity, width, radius, pairs)
     keepers = classes.where("node = keeper").select(F.col("node").alias("__node"))
     kept_id = ids.join(keepers, ids.node == keepers["__node"]).groupBy("node").agg(
         F.min(F.struct(F.col("id").isNull().alias("last"), "id", "n")).alias("m"))

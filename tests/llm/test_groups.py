@@ -123,6 +123,32 @@ def test_near_copies_go_and_clean_texts_stay(spark):
     assert {found[i] for i in (1, 2, 3, 4, None)} == {1} and found[50] == found[51] == 50 and found[12] == 12
 
 
+def plain_classes(texts):
+    """Smallest id reachable over all pairs with a Jaccard similarity of 0.8 or more."""
+    sets = {i: set(simhash.shingles((t or "").lower().encode().split(), 5)) for i, t in texts.items()}
+    least = {i: i for i in texts}
+    pairs = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    for _ in texts:
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+    return least
+
+
+def test_truncated_and_extended_copies_are_found(spark):
+    rng = random.Random(21)
+    word = lambda: f"word{rng.randrange(3000)}"
+    texts = {}
+    for k in range(60):
+        base = [word() for _ in range(rng.randrange(30, 600))]
+        n = len(base)
+        cut = base[: math.ceil(n * rng.choice([0.82, 0.86, 0.9]))]
+        at, more = rng.randrange(n), [word() for _ in range(int(n * rng.choice([0.05, 0.15, 0.24])))]
+        texts |= {10 * k + i: " ".join(w) for i, w in enumerate([base, cut, base[:at] + more + base[at:], base + more, base[: n // 2]])}
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    found = {r.id: r.component_id for r in simhash.near_duplicates(df).collect()}
+    assert found == plain_classes(texts) and sum(i != c for i, c in found.items()) > 120
+
+
 # repeated passages
 
 def plain_sentences(text):
