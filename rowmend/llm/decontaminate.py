@@ -10,9 +10,11 @@ from .common import row_udf, text_bytes, with_result
 from .licenses import _word_bytes
 from .mixing import word_count
 
-# 1 is a position that must agree, 0 one that is ignored.
-MASKS = ("111111", "11101011", "110100111", "1101100011")
+# 1 is a position that must agree, 0 one that is ignored.  Together they meet every stretch of 10 words or more of which 80 %
+# agree: such a stretch holds one of 10 words with 2 substitutions at most, six equal words in a row or one of 15 words with 3.
+MASKS = ("111111", "11011011", "11100111", "110101011", "1100011011")
 SPAN = max(map(len, MASKS))
+TOLERANCE = 1e-9
 SHORTEST_ITEM = 5  # words; shorter items would name ordinary phrases
 BLOCK_WORDS = 500_000  # words of benchmark text that one function carries
 PIECE_WORDS, PIECE_STEP = 1024, 960
@@ -20,13 +22,27 @@ PIECE_WORDS, PIECE_STEP = 1024, 960
 SCHEMA = "contaminated boolean, item_ids array<bigint>, overlap_words int, identity double"
 
 
-def best_overlap(same: np.ndarray) -> tuple[int, int, int]:
-    """(start, end, matches) of the stretch with the highest score, 1 for an equal word and -2 for a substituted one."""
-    total = np.concatenate([[0], np.cumsum(np.where(same, 1, -2))])
-    low = np.minimum.accumulate(total)
-    end = int(np.argmax(total - low))
-    start = int(np.argmin(total[: end + 1]))
-    return start, end, int(same[start:end].sum())
+def passing_stretches(same: np.ndarray, least_words: int, identity: float) -> tuple[list[tuple[int, int]], float]:
+    """(start, end) of what the stretches of at least `least_words` words of which `identity` agree cover, each taken from its
+    first to its last equal word, and the best identity of such a stretch; nothing and 0 if there is none."""
+    n = len(same)
+    hits = np.concatenate([[0], np.cumsum(same)])
+    lengths = range(least_words, min(2 * least_words - 1, n) + 1)  # a longer stretch is two, one of them no worse
+    best = max((float((hits[k:] - hits[:-k]).max()) / k for k in lengths), default=0.0)
+    if best < identity - TOLERANCE:
+        return [], 0.0
+    total = hits - (identity - TOLERANCE) * np.arange(n + 1)
+    later = np.maximum.accumulate(total[::-1])  # the best total at or after each place, from the last place on
+    ends = n - np.searchsorted(later, total, "left")  # the farthest end that passes, for every start
+    equal = np.flatnonzero(same)
+    spans: list[tuple[int, int]] = []
+    for start in np.flatnonzero(ends - np.arange(n + 1) >= least_words).tolist():
+        first, last = equal[hits[start]], equal[hits[ends[start]] - 1] + 1
+        if spans and first <= spans[-1][1]:
+            spans[-1] = (spans[-1][0], max(spans[-1][1], int(last)))
+        else:
+            spans.append((int(first), int(last)))
+    return spans, best
 
 
 class Index:
@@ -95,15 +111,15 @@ class Index:
                 found.update(zip(of[a:b].tolist(), (w - at[a:b]).tolist()))
         return found
 
-    def overlaps(self, ids: np.ndarray, least_words: int, identity: float) -> list[tuple[int, int, int, float]]:
-        """(item, start, end, identity) of verified overlaps: long enough, or the whole of a short item, and alike enough."""
+    def overlaps(self, ids: np.ndarray, least_words: int, identity: float) -> list[tuple[int, list[tuple[int, int]], float]]:
+        """(item, spans, best identity) of verified overlaps: long enough, or the whole of a short item, and alike enough."""
         out = []
         for k, diagonal in self.seeds(ids):
             item = self.items[k][1]
             a, b = max(diagonal, 0), min(diagonal + len(item), len(ids))
-            start, end, matches = best_overlap(ids[a:b] == item[a - diagonal : b - diagonal])
-            if end - start >= min(least_words, len(item)) and matches >= identity * (end - start):
-                out.append((k, a + start, a + end, matches / (end - start)))
+            spans, best = passing_stretches(ids[a:b] == item[a - diagonal : b - diagonal], min(least_words, len(item)), identity)
+            if spans:
+                out.append((k, [(a + start, a + end) for start, end in spans], best))
         return out
 
 
@@ -115,7 +131,7 @@ def finder(index: Index, least_words: int, identity: float):
         for data in texts:
             ids = np.array([get(t, 0) for t in data.decode().lower().encode().translate(words).split()], np.int64)
             found = index.overlaps(ids, least_words, identity)
-            covered = set().union(*(range(a, b) for _, a, b, _ in found))
+            covered = set().union(*(range(a, b) for _, spans, _ in found for a, b in spans))
             out["contaminated"].append(bool(found))
             out["item_ids"].append(sorted({index.items[k][0] for k, *_ in found if index.items[k][0] is not None}))
             out["overlap_words"].append(len(covered))
@@ -130,9 +146,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     """`docs` with `contaminated`, the ids of the items found (`item_ids`, sorted), the number of words in overlaps and the
     best identity.
 
-    Words are runs of letters in lower case, ASCII digits and other characters beyond ASCII.  A text is contaminated if it shares a seed with an
-    item and, along that diagonal, a stretch of at least `least_words` words of which `identity` agree; items of 5 to 9
-    words must occur whole, shorter ones are ignored.  The benchmark is cut into blocks of about `block_words` words; every
+    Words are runs of letters in lower case, ASCII digits and other characters beyond ASCII.  A text is contaminated if it shares
+    with an item a stretch of at least `least_words` words, word for word in place, of which `identity` agree (the seeds find all
+    of them from 10 words and 0.8 on); `overlap_words` counts such stretches from their first to their last equal word.  Items of
+    5 to 9 words must occur whole, shorter ones are ignored.  The benchmark is cut into blocks of about `block_words` words; every
     block is sent with one function, and all functions run in the same pass over the documents, so a benchmark of any size
     is held against every text.  Null texts are clean, null benchmark texts are ignored, an item without an id marks texts but
     is not listed; repeated items count once, an empty benchmark marks nothing; columns named like an output are replaced.

@@ -192,6 +192,40 @@ def test_contamination_survives_substitutions(spark):
     assert decontaminate.find_contamination(df, bench.limit(0)).where("contaminated").count() == 0
 
 
+def plain_overlap(doc, item):
+    """Contaminated, words covered, best identity over all windows of 10 words or more of which 80 % agree."""
+    covered, best = set(), 0.0
+    for diagonal in range(-len(item), len(doc)):
+        same = [(k, doc[k] == item[k - diagonal]) for k in range(max(0, diagonal), min(len(doc), diagonal + len(item)))]
+        for a in range(len(same)):
+            hits = 0
+            for b in range(a, len(same)):
+                hits += same[b][1]
+                if b - a >= 9 and 5 * hits >= 4 * (b - a + 1):
+                    equal = [k for k, e in same[a : b + 1] if e]
+                    covered |= set(range(equal[0], equal[-1] + 1))
+                    best = max(best, hits / (b - a + 1))
+    return bool(covered), len(covered), best or None
+
+
+def test_contamination_equals_all_windows(spark):
+    rng = random.Random(5)
+    item = [f"w{k}" for k in range(120)]
+    kept = [i % 44 < 30 for i in range(120)]
+    docs = [[w if k else "other" for w, k in zip(item, kept)], item[:30], [], item[:8] + ["x"] * 9 + item[17:25]]
+    docs += [[w if k else "other" for w, k in zip(item, kind)] for kind in ([i not in (0, 1, 7, 11, 14) and i < 15 for i in range(120)], [i < 5 or i == 6 or i == 8 or 9 < i < 15 for i in range(120)])]
+    for share in (0.15, 0.2, 0.25, 0.3, 0.4):
+        for _ in range(12):
+            a, n = rng.randrange(90), rng.choice([12, 20, 30, 60])
+            docs.append(["pre"] * rng.randrange(4) + [w if rng.random() >= share else "other" for w in item[a : a + n]] + ["post"] * rng.randrange(4))
+    df = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string")
+    item_ = decontaminate_words(" ".join(item))
+    for r in decontaminate.find_contamination(df, bench).collect():
+        flagged, covered, best = plain_overlap(decontaminate_words(" ".join(docs[r.doc_id])), item_)
+        assert (r.contaminated, r.overlap_words) == (flagged, covered) and r.identity == (best if best is None else pytest.approx(best)), r.doc_id
+
+
 def test_odd_tables_do_not_break_row_operators(spark, sf):
     model = lang_id.fit(table(spark, sf, "documents"), F.lit(True))
     bench = table(spark, sf, "benchmark")
