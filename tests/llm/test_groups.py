@@ -149,6 +149,28 @@ def test_truncated_and_extended_copies_are_found(spark):
     assert found == plain_classes(texts) and sum(i != c for i, c in found.items()) > 120
 
 
+def test_copies_among_shuffled_texts_of_one_word_set_are_found(spark):
+    rng = random.Random(22)
+    vocabulary = [f"word{k}" for k in range(200)]
+    texts = {}
+    for k in range(40):
+        base = rng.sample(vocabulary, 200)
+        texts |= {100 + k: " ".join(base), 200 + k: " ".join(base[:100] + base[103:] + base[100:103])}
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    assert df.select(simhash.word_fingerprints("text").alias("fps")).distinct().count() == 1
+    found = {r.id: r.component_id for r in simhash.near_duplicates(df).collect()}
+    assert found == plain_classes(texts) and len(set(found.values())) == 40
+
+
+def test_lists_cut_into_parts_meet_all_pairs(spark):
+    lists = [(7, no, 100, no % 3) for no in range(60)] + [(8, no, 100, 0) for no in range(5)] + [(9, 1, 10, 0), (9, 70, 100, 0)]
+    shared = spark.createDataFrame(lists, "key bigint, no bigint, n int, pos int")
+    classes = spark.createDataFrame([(no, 0) for no in range(10)], "no bigint, root bigint")
+    expected = {(a, b) for a in range(60) for b in range(a + 1, 60) if b >= 10}
+    for part_rows in (4096, 7):
+        assert {tuple(r) for r in simhash.prefix_pairs(shared, classes, 0.8, part_rows).collect()} == expected
+
+
 # repeated passages
 
 def plain_sentences(text):
