@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from . import chat, decontaminate, lang_id, licenses, mixing, quality_classifier, quality_rules, simhash, substring_dedup, suffix_tree_lm
+from . import (
+    chat, conversation_repair, decontaminate, exact_dedup, lang_id, licenses, mixing, periodic_runs, quality_classifier, quality_rules, simhash,
+    substring_dedup, suffix_tree_lm,
+)
 from .common import crc_mod, table
 
 
@@ -95,10 +98,29 @@ def op10_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree_lm.score_texts(docs, crc_mod("doc_id", 7) == 2)
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The document that stays for every document's text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return exact_dedup.mark_copies(docs)
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of all damaged conversations and their cheapest repair."""
+    return conversation_repair.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeating words in every text, in a tenth of them planted by checksum."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = periodic_runs.mark_runs(docs.select("doc_id", periodic_runs.with_planted_runs().alias("text")))
+    return found.drop("text", "n_words")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup, op2_language_id, op3_simhash, op4_mixing, op5_decontaminate, op6_license_scan, op7_chat_format,
-    op8_quality_rules, op9_quality_classifier, op10_suffix_tree_lm,
+    op8_quality_rules, op9_quality_classifier, op10_suffix_tree_lm, op11_exact_dedup, op12_conversation_repair, op13_periodic_runs,
 )}
+
 # Turns in order, then everything that the query reads back from the formatted text, recomputed from the rows: a turn adds 24
 # characters, one more for each escaped mark, two more for each percent sign or line end of its role.
 CHAT_SQL = """
@@ -117,7 +139,14 @@ SELECT conv_id, count(*) AS n_turns,
 FROM turns GROUP BY conv_id
 """
 
-ORACLES = {"op7_chat_format": CHAT_SQL}
+EXACT_SQL = r"""
+WITH own AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS normal FROM documents)
+SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       row_number() OVER (PARTITION BY normal ORDER BY doc_id NULLS LAST) = 1 AS kept, sha256(normal) AS text_sha256
+FROM own WINDOW same AS (PARTITION BY normal)
+"""
+
+ORACLES = {"op7_chat_format": CHAT_SQL, "op11_exact_dedup": EXACT_SQL}
 
 
 def queries() -> dict:
