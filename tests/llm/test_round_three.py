@@ -183,7 +183,7 @@ def test_a_long_conversation_is_cut_into_pieces(spark, monkeypatch, parts):
     own = damage([r for r in rows if r[0] == 7])
     seen, coded, faults = set(), "", []
     for _, _, role, text in own:
-        fault = "d" if (role, text) in seen else "k" if text[-1:] in (".", "!", "?") else "t"
+        fault = "d" if not text or (role, text) in seen else "k" if text[-1:] in (".", "!", "?") else "t"
         seen.add((role, text))
         faults.append(fault)
         coded += role[0] + fault
