@@ -175,6 +175,7 @@ def with_planted_runs(doc_id: str = "doc_id", text: str = "text") -> Column:
     g, n = F.floor(checksum / 10), F.size(words).cast("bigint")
     a = g % n
     p = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))
-    at = F.sequence(F.lit(0).cast("bigint"), n - 1)
-    repeated = F.transform(at, lambda i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")))
+    times = F.ceil((n - a) / p)
+    front, period = F.slice(words, F.lit(1), a.cast("int")), F.slice(words, (a + 1).cast("int"), p.cast("int"))
+    repeated = F.slice(F.concat(front, F.flatten(F.array_repeat(period, times.cast("int")))), F.lit(1), n.cast("int"))
     return F.when((checksum % 10 == 0) & (n > 0), F.array_join(repeated, " ")).otherwise(F.col(text))
