@@ -1,13 +1,18 @@
 """PCA by data augmentation: missing cells are the reconstruction plus residuals borrowed from observed cells.
 
-Donors are drawn with replacement from all observed cells of the variable (of the group).  The observed cells of a variable
-are numbered once, a draw is a number from a keyed digest, and the residual behind it is fetched by an equi-join on
-variable and donor row, so one rule holds for tables of every size and no task sees more than its rows.
+Donors are drawn with replacement from all observed cells of the variable (of the group): the observed cells of a variable
+are numbered in the order of the table and a keyed digest gives numbers.  Who borrows from whom never changes during a fit.  So
+the table is packed once into blocks of rows that follow each other, and the lists of cells that a block lends to each other block, in an
+order both know, are stored with it.  An iteration then moves bare values: every block sends one array to each block that
+borrows from it, the only shuffle, and what is kept between iterations is the values of the missing cells.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -16,40 +21,110 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ...functions.draws import uniform
 from ...functions.linalg import leading_eigen, orthonormal_average
 from ...session import cut_lineage
 from ..keyed import join_groups
-from ..matrix import _collect_sums, _floats, _partial_batch, _partial_schema, group_rows, row_map
+from ..matrix import _floats, check_driver_size, group_rows
 from ..ordering import with_position
 from .engine import Algorithm, Fit, _light
 
+BLOCK_ROWS = 20_000  # rows of a block at most; a task holds a block and what it borrows
+LEAST_ROWS = 500  # a small table is cut into blocks for all cores, but not into smaller ones
 
-def donor_links(df: DataFrame, variables: Sequence[str], order: Sequence[str], group_cols: Sequence[str], copies: int,
-                seed: int, max_rows: int | None = None) -> DataFrame:
-    """(groups..., row, var, copy, donor): for every missing cell and copy the row whose residual it borrows.
 
-    The observed cells of a variable have positions 0, 1, ... in the order of the table; a digest of (seed, groups, row, variable,
-    pair of copies) holds two 64-bit draws of a position.
-    """
-    t, row_id = order
-    keys = list(group_cols)
-    cells = df.select(*keys, F.col(t).alias("__t"), F.col(row_id).alias("__row"), F.posexplode(F.array(*[F.col(v) for v in variables])).alias("var", "__x"))
-    observed = with_position(cells.where("__x is not null").drop("__x"), ("__t", "__row"), [*keys, "var"], "pos", max_rows)
-    observed = observed.select(*keys, "var", "pos", F.col("__row").alias("donor"))
-    counts = observed.groupBy(*keys, "var").agg(F.count("*").alias("__n"))
-    missing = join_groups(cells.where("__x is null").drop("__x", "__t"), counts, [*keys, "var"], "inner")
-    pairs = missing.withColumn("pair", F.explode(F.sequence(F.lit(0), F.lit((copies - 1) // 2))))
-    name = F.element_at(F.array(*[F.lit(v) for v in variables]), F.col("var") + 1)
-    key = (seed, *[F.col(c) for c in keys], F.col("__row"), name, F.col("pair"))
+def draws(prefix: str, name: str, copies: int, n: int) -> np.ndarray:
+    """Numbers below n of the donors of one cell; a digest of (seed, groups, row, variable, pair of copies) holds two."""
+    text = "".join(hashlib.md5(f"{prefix}|{name}|{k}".encode()).hexdigest() for k in range((copies + 1) // 2))
+    words = np.frombuffer(bytes.fromhex(text), ">u4").reshape(-1, 2) / 4294967296.0
+    return np.floor((words[:, 0] + words[:, 1] / 4294967296.0) * n).astype(np.int64)[:copies]
+
+
+@dataclass
+class Blocks:
+    """The packed table (one row a block) and the current values of its missing cells."""
+
+    static: DataFrame  # block, group, keys, rows, x, z, src, slot, to
+    state: DataFrame | None  # block, s
+    groups: list[tuple]
+    key_cols: list[str]
+
+
+def _order_of(matrix: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Values of the observed cells, one variable after the other."""
+    return matrix.T[mask.T]
+
 
-    def position(first: int):
-        share = uniform(*key, slot=first) + uniform(*key, slot=first + 1) / F.lit(4294967296.0)
-        return F.floor(share * F.col("__n")).cast("bigint")
+def pack(fit: Fit, order: Sequence[str], copies: int, seed: int, max_rows: int | None = None) -> Blocks:
+    """Cut the table into blocks and draw the donors, once per fit.
 
-    drawn = pairs.select(*keys, F.col("__row").alias("row"), "var", "pair", F.posexplode(F.array(position(0), position(2))).alias("half", "pos"))
-    drawn = drawn.withColumn("copy", F.col("pair") * 2 + F.col("half")).where(F.col("copy") < copies).drop("pair", "half")
-    return join_groups(drawn, observed, [*keys, "var", "pos"], "inner").drop("pos")
+    The driver holds the number of observed cells of every block and variable, rows / BLOCK_ROWS times V numbers; every task gets
+    them to find the block of a donor.
+    """
+    t, row_id = order
+    keys, variables, filled = list(fit.group_cols), list(fit.variables), list(fit.filled_cols)
+    names = [f"__key{i}" for i in range(len(keys))]
+    spark = fit.df.sparkSession
+    table = fit.df.select(*[F.col(c).alias(n) for c, n in zip(keys, names)], F.col(t).alias("__t"), F.col(row_id).alias("__row"),
+                          *[F.col(v).alias(f"__x{i}") for i, v in enumerate(variables)], *[F.col(v).alias(f"__z{i}") for i, v in enumerate(filled)])
+    sizes = {k: r for k, r in fit.rows.items()}
+    size = max(LEAST_ROWS, min(BLOCK_ROWS, math.ceil(sum(sizes.values()) / (2 * spark.sparkContext.defaultParallelism))))
+    check_driver_size(sum(math.ceil(r / size) for r in sizes.values()), len(variables))
+    placed = with_position(table, ("__t", "__row"), names, "__pos", max_rows)
+    placed = cut_lineage(placed.withColumns({
+        "__b": F.floor(F.col("__pos") / size), "__name": F.concat_ws("|", F.lit(str(seed)), *[F.col(n).cast("string") for n in [*names, "__row"]])}))
+    xs, zs = [f"__x{i}" for i in range(len(variables))], [f"__z{i}" for i in range(len(filled))]
+    counted = placed.groupBy(*names, "__b").agg(*[F.count(c).alias(c) for c in xs]).collect()
+    counted = sorted((repr(tuple(r)[:len(names)]), r["__b"], tuple(r)[:len(names)], [r[c] for c in xs]) for r in counted)
+    groups = list(dict.fromkeys(key for _, _, key, _ in counted))
+    number = {key: i for i, key in enumerate(groups)}
+    first: dict[tuple, int] = {}
+    counts: dict[tuple, list] = {}
+    for block, (_, _, key, c) in enumerate(counted):
+        first.setdefault(key, block)
+        counts.setdefault(key, []).append(c)
+    per_block = {key: np.array(c, np.int64) for key, c in counts.items()}
+    ends = {key: c.cumsum(axis=0) for key, c in per_block.items()}
+
+    schema = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("group", T.IntegerType())]
+                          + [T.StructField(n, placed.schema[n].dataType) for n in names]
+                          + [T.StructField("rows", T.ArrayType(placed.schema["__row"].dataType)), T.StructField("x", T.BinaryType()),
+                             T.StructField("z", T.BinaryType()), T.StructField("src", T.ArrayType(T.IntegerType())),
+                             T.StructField("idx", T.ArrayType(T.BinaryType())), T.StructField("slot", T.ArrayType(T.BinaryType()))])
+    arrow = to_arrow_schema(schema)
+
+    def one(part: pa.Table) -> pa.Table:
+        part = part.combine_chunks().sort_by("__pos")
+        key = tuple(part.column(n)[0].as_py() for n in names)
+        x = np.column_stack([_floats(part.column(c)) for c in xs])
+        missing = np.isnan(x)
+        z = np.column_stack([_floats(part.column(c)) for c in zs])[missing] if zs else np.full(int(missing.sum()), np.nan)
+        own, end = per_block[key], ends[key]
+        prefix = part.column("__name").to_pylist()
+        row, var = np.nonzero(missing)
+        wanted = [draws(prefix[r], variables[j], copies, int(end[-1, j])) for r, j in zip(row.tolist(), var.tolist())]
+        drawn = np.array(wanted, np.int64).reshape(len(row), copies)
+        src = np.empty_like(drawn)
+        idx = np.empty_like(drawn)
+        before = np.cumsum(own, axis=1) - own  # cells of earlier variables in a block
+        for j in set(var.tolist()):
+            at = var == j
+            src[at] = np.searchsorted(end[:, j], drawn[at], side="right")
+            start = end[:, j] - own[:, j]
+            idx[at] = drawn[at] - start[src[at]] + before[src[at], j]
+        src, idx = src.ravel(), idx.ravel().astype(np.int32)
+        by_source = np.argsort(src, kind="stable").astype(np.int32)
+        cuts = np.flatnonzero(np.diff(src[by_source])) + 1
+        slots = np.split(by_source, cuts) if len(src) else []
+        block = first[key] + int(part.column("__b")[0].as_py())
+        values = [[block], [number[key]], *[[k] for k in key], [part.column("__row").to_pylist()], [x.tobytes()], [z.tobytes()],
+                  [[first[key] + int(src[s[0]]) for s in slots]], [[idx[s].tobytes() for s in slots]], [[s.tobytes() for s in slots]]]
+        return pa.Table.from_arrays([pa.array(v, f.type) for v, f in zip(values, arrow)], schema=arrow)
+
+    packed = cut_lineage(placed.groupBy(*names, "__b").applyInArrow(one, schema))
+    routes = packed.select(F.col("block").alias("dst"), F.explode(F.arrays_zip("src", "idx")).alias("r")).select("dst", "r.src", "r.idx")
+    to = routes.groupBy(F.col("src").alias("block")).agg(F.collect_list(F.struct("dst", "idx")).alias("to"))
+    static = packed.drop("idx").join(to, "block", "left").repartition(min(len(counted), 20_000) or 1, "block")
+    return Blocks(cut_lineage(static, keep_partitioning=True), None, groups, names)
 
 
 class PCADA(Algorithm):
@@ -78,120 +153,130 @@ class PCADA(Algorithm):
                 [leading_eigen(g.reshape(v, v), params["a"])[1] for g in np.split(sums[:-1], self.copies)])
         return {"mse_obs": mse}, stop
 
-    def layout(self, df: DataFrame, variables, order: Sequence[str], group_cols, seed: int, max_rows: int | None = None) -> DataFrame:
-        """Draw the donors, once per fit."""
-        return cut_lineage(donor_links(df, variables, order, group_cols, self.copies, seed, max_rows))
+    def layout(self, fit: Fit, order: Sequence[str], seed: int, max_rows: int | None = None) -> Blocks:
+        return pack(fit, order, self.copies, seed, max_rows)
 
     # -- one iteration ------------------------------------------------------------------------------------------------
 
     @staticmethod
-    def _state(fit: Fit, params: dict, key, x, z, old):
-        """Scaled observed cells and current values of a block of rows."""
-        mu, sigma = fit.scale[key]
-        x = (x - mu) / sigma
-        if params["fresh"] or old is None:
-            return x, np.nan_to_num(x, nan=0.0) if z is None else (z - mu) / sigma
-        return x, old
-
-    def _blocks(self, fit: Fit) -> dict[str, list[str]]:
-        blocks = {"x": list(fit.variables)}
-        if fit.filled_cols:
-            blocks["z"] = list(fit.filled_cols)
-        if fit.state_cols:
-            blocks["old"] = fit.state_cols[0]
-        return blocks
+    def _matrix(sent: Fit, key: tuple, raw: bytes, z: bytes, s: bytes | None):
+        """(scaled observed cells with NaN, current scaled values, mask of missing cells) of a block."""
+        mu, sigma = sent.scale[key]
+        x = (np.frombuffer(raw).reshape(-1, len(mu)) - mu) / sigma
+        missing = np.isnan(x)
+        now = x.copy()
+        if s is not None and not sent.params[key]["fresh"]:
+            now[missing] = np.frombuffer(s)
+        else:
+            first = np.frombuffer(z)
+            var = np.nonzero(missing)[1]
+            now[missing] = np.where(np.isnan(first), 0.0, (first - mu[var]) / sigma[var])
+        return x, now, missing
 
     def iterate(self, fit: Fit, active: set) -> dict[tuple, np.ndarray]:
-        """Sums of the augmented Gram matrices for the active groups; the stored state moves one step on.
-
-        Two shuffles: residuals to the cells that borrow them, and the borrowed values to their rows.
-        """
-        sent, keys, row_id = _light(fit), list(fit.group_cols), fit.row_id
-        sent.params = {k: fit.params[k] for k in active}
-        variables, blocks, copies = fit.variables, self._blocks(fit), self.copies
-        state = self._state
-
-        def residuals(key, x, z=None, old=None):
-            if key not in sent.params:
-                return np.full(x.shape, np.nan)
-            params = sent.params[key]
-            x, s = state(sent, params, key, x, z, old)
-            return x - s @ params["step"] @ params["step"].T
-
-        names = [f"__r_{v}" for v in variables]
-        far = row_map(fit.df, blocks, residuals, names, keys)
-        far = far.select(*keys, F.col(row_id).alias("donor"), F.posexplode(F.array(*names)).alias("var", "r")).where("r is not null")
-        lent = join_groups(fit.links, far, [*keys, "var", "donor"], "inner")
-        packed = F.transform(F.sort_array(F.collect_list(F.struct("var", "copy", "r"))), lambda c: c["r"])
-        means = [F.avg(F.when(F.col("var") == j, F.col("r"))).alias(f"__b_{v}") for j, v in enumerate(variables)]
-        per_row = lent.groupBy(*keys, F.col("row").alias(row_id)).agg(packed.alias("__lent"), *means)
-        joined = join_groups(fit.df, per_row, [*keys, row_id]).persist()
-        sums = self._sums(joined, fit, sent, blocks, copies)
-
-        def moved(key, x, z=None, old=None, b=None):
-            if key not in sent.params:
-                return old if old is not None else np.full(x.shape, np.nan)
-            params = sent.params[key]
-            x, s = state(sent, params, key, x, z, old)
-            return np.where(np.isnan(x), s @ params["step"] @ params["step"].T + np.nan_to_num(b), x)
-
-        new = [f"__state0_{v}" for v in variables]
-        kept = [c for c in fit.df.columns if c not in new]
-        stepped = row_map(joined, {**blocks, "b": [f"__b_{v}" for v in variables]}, moved, [f"__next_{v}" for v in variables], keys)
-        stepped = stepped.select(*kept, *[F.col(f"__next_{v}").alias(n) for v, n in zip(variables, new)])
-        fit.df, fit.state_cols = cut_lineage(stepped), [new]
-        joined.unpersist()
-        return sums
-
-    def _sums(self, joined: DataFrame, fit: Fit, sent: Fit, blocks: dict, copies: int) -> dict[tuple, np.ndarray]:
-        """Per group the Gram matrices of all copies and the squared residuals of observed cells."""
-        keys = list(fit.group_cols)
-        names = list(dict.fromkeys(c for cols in blocks.values() for c in cols))
-        schema = _partial_schema(joined, keys)
-        arrow = to_arrow_schema(schema)
-        state = self._state
-
-        def one(key, lent, x, z=None, old=None):
-            params = sent.params[key]
-            x, s = state(sent, params, key, x, z, old)
-            estimate = s @ params["step"] @ params["step"].T
-            missing = np.isnan(x)
-            base = np.where(missing, estimate, x)
-            rows = np.flatnonzero(missing.any(axis=1))
-            grams = np.repeat((base.T @ base)[None], copies, axis=0)
-            if len(rows):
-                # a copy differs from the base on missing cells only: G_k = G + D_k'B + B'D_k + D_k'D_k
-                added = np.zeros((len(rows), x.shape[1], copies))
-                added[missing[rows]] = np.concatenate([lent[i] for i in rows]).reshape(-1, copies)
-                cross = np.einsum("nvk,nw->kvw", added, base[rows])
-                grams += cross + cross.transpose(0, 2, 1) + np.einsum("nvk,nwk->kvw", added, added, optimize=True)
-            return np.append(grams.ravel(), np.where(missing, 0.0, (x - estimate) ** 2).sum())
-
-        def partials(batches):
-            found: dict[tuple, np.ndarray] = {}
+        """Sums of the augmented Gram matrices for the active groups; the stored values move one step on."""
+        blocks: Blocks = fit.links
+        sent, groups, copies, matrix = _light(fit), blocks.groups, self.copies, self._matrix
+        static = blocks.static
+        now = static.join(blocks.state, "block", "left") if blocks.state is not None else static.withColumn("s", F.lit(None).cast("binary"))
+
+        def send(batches):
             for batch in batches:
-                n = len(keys)
-                lent = batch.column(n).to_pylist()
-                column = {c: _floats(batch.column(n + 1 + i)) for i, c in enumerate(names)}
-                matrices = {k: np.column_stack([column[c] for c in cols]) for k, cols in blocks.items()}
-                for key, rows in group_rows([batch.column(i) for i in range(n)], batch.num_rows):
-                    at = np.arange(batch.num_rows)[rows]
-                    for part in np.array_split(at, max(1, len(at) // 2000)) if key in sent.params else ():
-                        vector = one(key, [lent[i] for i in part], **{k: m[part] for k, m in matrices.items()})
-                        found[key] = found[key] + vector if key in found else vector
-            for key, vector in found.items():
-                yield _partial_batch(key, vector, arrow)
-
-        return _collect_sums(joined.select(*keys, "__lent", *names).mapInArrow(partials, schema), keys)
+                out = []
+                for block, group, x, z, s, to in zip(*(c.to_pylist() for c in batch.columns)):
+                    key = groups[group]
+                    if key not in active or not to:
+                        continue
+                    x, at, missing = matrix(sent, key, x, z, s)
+                    step = sent.params[key]["step"]
+                    lent = _order_of(x - at @ step @ step.T, ~missing)
+                    out += [(r["dst"], block, lent[np.frombuffer(r["idx"], np.int32)].tobytes()) for r in to]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary()))],
+                                                     names=["dst", "src", "values"])
+
+        lent = now.select("block", "group", "x", "z", "s", "to").mapInArrow(send, "dst int, src int, values binary")
+        got = lent.groupBy(F.col("dst").alias("block")).agg(F.collect_list(F.struct("src", "values")).alias("got"))
+
+        def receive(batches):
+            for batch in batches:
+                out = []
+                for block, group, x, z, s, src, slot, got in zip(*(c.to_pylist() for c in batch.columns)):
+                    key = groups[group]
+                    if key not in active:
+                        if s is not None:
+                            out.append((block, group, s, None))
+                        continue
+                    x, at, missing = matrix(sent, key, x, z, s)
+                    step = sent.params[key]["step"]
+                    estimate = at @ step @ step.T
+                    base = np.where(missing, estimate, x)
+                    borrowed = np.empty(int(missing.sum()) * copies)
+                    slots = dict(zip(src, slot))
+                    for r in got or ():
+                        borrowed[np.frombuffer(slots[r["src"]], np.int32)] = np.frombuffer(r["values"])
+                    borrowed = borrowed.reshape(-1, copies)
+                    grams = np.repeat((base.T @ base)[None], copies, axis=0)
+                    rows = np.flatnonzero(missing.any(axis=1))
+                    done = 0
+                    for part in np.array_split(rows, max(1, len(rows) // 2000)) if len(rows) else ():
+                        # a copy differs from the base on missing cells only: G_k = G + D_k'B + B'D_k + D_k'D_k
+                        own = missing[part]
+                        added = np.zeros((len(part), x.shape[1], copies))
+                        added[own] = borrowed[done:done + int(own.sum())]
+                        done += int(own.sum())
+                        by_copy = np.ascontiguousarray(added.transpose(2, 1, 0))
+                        cross = by_copy @ base[part]
+                        grams += cross + cross.transpose(0, 2, 1) + by_copy @ by_copy.transpose(0, 2, 1)
+                    sums = np.append(grams.ravel(), np.where(missing, 0.0, (x - estimate) ** 2).sum())
+                    moved = estimate[missing] + (borrowed.mean(axis=1) if len(borrowed) else 0.0)
+                    out.append((block, group, moved.tobytes(), sums.tolist()))
+                if out:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.float64())))],
+                        names=["block", "group", "s", "sums"])
+
+        met = now.select("block", "group", "x", "z", "s", "src", "slot").join(got, "block", "left")
+        stepped = cut_lineage(met.mapInArrow(receive, "block int, group int, s binary, sums array<double>"))
+        blocks.state = stepped.select("block", "s")
+        table = (stepped.select("group", F.posexplode("sums").alias("pos", "val")).groupBy("group", "pos").agg(F.sum("val").alias("val"))).toArrow()
+        out = {}
+        for (group,), at in group_rows([table.column("group").combine_chunks()], table.num_rows):
+            vector = np.empty(table.num_rows)[at]
+            vector[table.column("pos").to_numpy()[at]] = table.column("val").to_numpy()[at]
+            out[groups[group]] = vector
+        return out
 
     def filled(self, fit: Fit) -> DataFrame:
-        """The last state in original units where a cell is missing."""
-        sent = _light(fit)
-        if not fit.state_cols:
+        """The last values in original units where a cell is missing."""
+        blocks: Blocks = fit.links
+        if blocks.state is None:
             return fit.df
+        sent, groups, names = _light(fit), blocks.groups, blocks.key_cols
+        static, v = blocks.static, len(fit.variables)
+        estimates = [f"__e{i}" for i in range(v)]
+        schema = T.StructType([static.schema[n] for n in names] + [T.StructField("__row", static.schema["rows"].dataType.elementType)]
+                              + [T.StructField(e, T.DoubleType()) for e in estimates])
+        arrow = to_arrow_schema(schema)
 
-        def back(key, x, s):
-            mu, sigma = sent.scale[key]
-            return np.where(np.isnan(x), s * sigma + mu, x)
-
-        return row_map(fit.df, {"x": list(fit.variables), "s": fit.state_cols[0]}, back, list(fit.variables), fit.group_cols)
+        def unpack(batches):
+            for batch in batches:
+                for group, raw, s, rows, *key in zip(*(c.to_pylist() for c in batch.columns)):
+                    mu, sigma = sent.scale[groups[group]]
+                    x = np.frombuffer(raw).reshape(-1, v)
+                    missing = np.isnan(x)
+                    at = np.flatnonzero(missing.any(axis=1))
+                    if s is None or not len(at):
+                        continue
+                    full = np.full(x.shape, np.nan)
+                    var = np.nonzero(missing)[1]
+                    full[missing] = np.frombuffer(s) * sigma[var] + mu[var]
+                    columns = [pa.array([k] * len(at), arrow.field(i).type) for i, k in enumerate(key)]
+                    columns += [pa.array([rows[i] for i in at.tolist()], arrow.field(len(key)).type)]
+                    columns += [pa.array(full[at, j], from_pandas=True) for j in range(v)]
+                    yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+
+        found = static.select("block", "group", "x", "rows", *names).join(blocks.state, "block").select("group", "x", "s", "rows", *names).mapInArrow(unpack, schema)
+        found = found.select(*[F.col(n).alias(k) for n, k in zip(names, fit.group_cols)], F.col("__row").alias(fit.row_id), *estimates)
+        joined = join_groups(fit.df, found, [*fit.group_cols, fit.row_id])
+        return joined.withColumns({c: F.coalesce(F.col(c), F.col(e)) for c, e in zip(fit.variables, estimates)}).drop(*estimates)

@@ -113,7 +113,8 @@ class Fit:
     trace: list[dict] = field(default_factory=list)
     seconds: float = 0.0
     row_id: str = "row_id"
-    links: DataFrame | None = None  # of an algorithm that borrows: who borrows from whom
+    links: object | None = None  # of an algorithm that borrows: its packed table and who borrows from whom
+    rows: dict[tuple, int] = field(default_factory=dict)  # by group
 
     def blocks(self) -> dict[str, list[str]]:
         blocks = {"x": list(self.variables)}

@@ -152,9 +152,10 @@ def fill_missing(df: DataFrame, variables: Sequence[str], algorithm: str, compon
     start = start or prepare(df, variables, prefill or PREFILL[algorithm], components, order, group_cols, seed, max_rows)
     work, copies, scale = start.table, start.copies, start.scale
     ctx = {k: replace(c) for k, c in start.contexts.items()}
-    state = Fit(method, work, variables, group_cols, copies, scale, {k: method.start(c) for k, c in ctx.items()}, row_id=order[1])
+    state = Fit(method, work, variables, group_cols, copies, scale, {k: method.start(c) for k, c in ctx.items()}, row_id=order[1],
+                rows={k: c.n for k, c in ctx.items()})
     if method.borrows:
-        state.links = method.layout(work, variables, order, group_cols, seed, max_rows)
+        state.links = method.layout(state, order, seed, max_rows)
     chosen = {k: c.a for k, c in ctx.items()}
     proposals: dict[tuple, list[int]] = {k: [] for k in ctx}
     open_groups = set(ctx)

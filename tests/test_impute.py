@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from rowmend.operators.impute import ALGORITHMS, PCADA, engine
+from rowmend.operators.impute import ALGORITHMS, PCADA, donors, engine
 from rowmend.plans.fill import fill_als, fill_missing, run_all, status_table, trace_table
 
 from .helpers import back, holes, low_rank, names, to_spark
@@ -204,16 +204,34 @@ def test_bpca_leaves_empty_rows_and_trace_is_kept(spark, data):
     assert [r["iteration"] for r in trace] == [1, 2, 3, 4, 5]
 
 
-def test_donors_come_from_all_observed_cells_at_every_size(spark):
-    """The same rule for a split table as for a whole one, and draws that reach every part of it."""
-    from rowmend.operators.impute.donors import donor_links
-    x = holes(low_rank(3000, 3, 1), 0.1)
-    df, cols = to_spark(spark, x), names(3)
-    whole = {tuple(r) for r in donor_links(df, cols, ("t", "row_id"), [], 4, 1).collect()}
-    split = {tuple(r) for r in donor_links(df, cols, ("t", "row_id"), [], 4, 1, max_rows=200).collect()}
-    assert whole == split and len(whole) == 4 * np.isnan(x).sum()
-    donors = np.array([r[3] for r in whole])
-    assert np.histogram(donors, 10, (0, 3000))[0].min() > 0.07 * len(donors)
+@pytest.mark.parametrize("least, rows", [(7, None), (50, 100), (1000, 40)])
+def test_blocks_of_any_size_borrow_the_same_cells(data, monkeypatch, least, rows):
+    """The same fit for one block, for many blocks and for a table whose order is found in parts."""
+    _, _, df = data
+    options = {"max_iter": 3, "max_rounds": 0, "copies": 5}
+    whole = back(fill_missing(df, COLS, "PCADA", 2, **options).df, COLS)
+    monkeypatch.setattr(donors, "LEAST_ROWS", least)
+    monkeypatch.setattr(donors, "BLOCK_ROWS", least)
+    cut = back(fill_missing(df, COLS, "PCADA", 2, max_rows=rows, **options).df, COLS)
+    np.testing.assert_allclose(cut, whole, rtol=1e-9)
+
+
+def test_donors_come_from_all_observed_cells():
+    drawn = np.concatenate([donors.draws(f"1|{row}", "x1", 4, 3000) for row in range(800)])
+    assert len(drawn) == 3200 and drawn.min() >= 0 and drawn.max() < 3000
+    assert np.histogram(drawn, 10, (0, 3000))[0].min() > 0.07 * len(drawn)
+
+
+def test_an_iteration_of_donor_augmentation_moves_values_once(data, monkeypatch):
+    """One exchange of values between blocks; the packed table and the lists of cells stay where they are."""
+    from rowmend.plans import fill as plan
+
+    fitted, original = [], plan.fitted_values
+    monkeypatch.setattr(plan, "fitted_values", lambda state: fitted.append(state) or original(state))
+    fill_missing(data[2], COLS, "PCADA", 2, max_iter=2, max_rounds=0, copies=5)
+    static = fitted[0].links.static
+    stored = static._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in stored and "Scan ExistingRDD" in stored
 
 
 def test_donor_augmentation_beats_the_mean(data):
