@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .keyed import join_groups
 from .ordering import BUCKET, bucket_ends, carry_in, with_buckets
 from .scaling import attach_stats
 
@@ -41,7 +42,7 @@ def with_neighbours(df: DataFrame, variables: Sequence[str], order: Sequence[str
                for v in variables})
     if split:
         carried = carry_in(bucket_ends(df, variables, order, group_cols), variables, group_cols)
-        out = out.join(F.broadcast(carried), keys, "left")
+        out = join_groups(out, F.broadcast(carried), keys)
         borders = (("prev", "before"), ("next", "after"))
         out = out.withColumns({
             f"__{side}_{part}{v}": F.coalesce(F.col(f"__{side}_{part}{v}"), F.col(f"{border}_{part}{v}"))
@@ -113,7 +114,7 @@ def gap_islands(df: DataFrame, variables: Sequence[str], order: Sequence[str] =
     if split:
         ends = bucket_ends(marked, variables, order, group_cols, ("last",), "row_id")
         carried = carry_in(ends, variables, group_cols, ("last",))
-        runs = runs.join(F.broadcast(carried), [*group_cols, BUCKET], "left")
+        runs = join_groups(runs, F.broadcast(carried), [*group_cols, BUCKET])
         runs = runs.withColumns({f"__seen_{v}": F.coalesce(F.col(f"__seen_{v}"), F.when(
             F.col(f"before_{v}").isNotNull(),
             F.struct(F.col(f"before_t_{v}").alias(order[0]), F.col(f"before_{v}").alias(order[1])))) for v in variables})

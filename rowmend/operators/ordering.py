@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .keyed import join_groups
+
 BUCKET = "__bucket"
 WHOLE = -1  # bucket number of rows in groups that were not split
 MAX_WINDOW_ROWS = 2_000_000  # a window task should not hold more rows, while the bucket table stays small
@@ -79,7 +81,7 @@ def _join_bucket(df: DataFrame, borders: dict[tuple, list[tuple]], order: Sequen
         axis = spark.createDataFrame(axes, T.StructType([
             *group_fields, T.StructField("__low", T.DoubleType()), T.StructField("__width", T.DoubleType()),
             T.StructField("__cells", T.LongType())]))
-        df = df.join(F.broadcast(axis), list(group_cols), "left")
+        df = join_groups(df, F.broadcast(axis), group_cols)
     else:
         low, width, cells = axes[0]
         df = df.withColumns({"__low": F.lit(low), "__width": F.lit(width), "__cells": F.lit(cells).cast("bigint")})
@@ -90,7 +92,7 @@ def _join_bucket(df: DataFrame, borders: dict[tuple, list[tuple]], order: Sequen
     key = F.struct(*[F.col(c) for c in order])
     found = F.aggregate(steps, F.lit(0), lambda pos, step: F.when(
         F.get("__borders", pos + step - 1) < key, pos + step).otherwise(pos))
-    joined = df.join(F.broadcast(table), [*group_cols, "__cell"], "left")
+    joined = join_groups(df, F.broadcast(table), [*group_cols, "__cell"])
     return (joined.withColumn(BUCKET, F.coalesce(F.col("__base") + found, F.lit(WHOLE)))
             .drop("__cell", "__base", "__borders", "__low", "__width", "__cells"))
 
@@ -110,7 +112,7 @@ def with_buckets(df: DataFrame, order: Sequence[str], group_cols: Sequence[str]
         if hot:
             table = df.sparkSession.createDataFrame([tuple(r[c] for c in group_cols) for r in hot],
                                                     T.StructType([df.schema[c] for c in group_cols]))
-            keys = keys.join(F.broadcast(table), list(group_cols), "left_semi")
+            keys = join_groups(keys, F.broadcast(table), group_cols, "left_semi")
     else:
         n = keys.count()
         max_rows = max_rows or window_rows(n, parallelism)
@@ -139,7 +141,8 @@ def bucket_ends(df: DataFrame, variables: Sequence[str], order: Sequence[str], g
         for v in variables:
             rank = F.when(F.col(v).isNotNull() & (F.col(t) == F.col(f"{s}_t_{v}")), F.col(row_id))
             cells.append((pick[s][1](F.col(v), rank) if what == "value" else pick[s][0](rank)).alias(f"{s}_{v}"))
-    return df.join(F.broadcast(times), keys).groupBy(*keys).agg(*cells).join(F.broadcast(times), keys)
+    picked = join_groups(df, F.broadcast(times), keys, "inner").groupBy(*keys).agg(*cells)
+    return join_groups(picked, F.broadcast(times), keys, "inner")
 
 
 def carry_in(ends: DataFrame, variables: Sequence[str], group_cols: Sequence[str],
@@ -165,6 +168,6 @@ def with_position(df: DataFrame, order: Sequence[str] = ("t", "row_id"), group_c
         counts = df.filter(F.col(BUCKET) != WHOLE).groupBy(*group_cols, BUCKET).agg(F.count(F.lit(1)).alias("__n"))
         earlier = Window.partitionBy(*group_cols).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
         offsets = counts.select(*group_cols, BUCKET, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__offset"))
-        df = (df.join(F.broadcast(offsets), [*group_cols, BUCKET], "left")
+        df = (join_groups(df, F.broadcast(offsets), [*group_cols, BUCKET])
               .withColumn(name, F.col(name) + F.coalesce(F.col("__offset"), F.lit(0))).drop("__offset"))
     return df.drop(BUCKET)

@@ -91,3 +91,65 @@ def test_student_quantiles_of_many_degrees_of_freedom():
     assert values == sorted(values, reverse=True) and all(v > norm_ppf(0.9999) for v in values)
     assert t_ppf(0.975, 10) == pytest.approx(2.2281388519649385, rel=1e-10)
     assert t_ppf(0.9999, 10_000) == pytest.approx(t_ppf(0.9999, 9_999), rel=1e-6)
+
+
+@pytest.fixture(scope="module")
+def three_groups(spark):
+    """Groups with very different spread, one of them null; the last shares its row ids with the first."""
+    x = low_rank(360, 4, 1, 0.5)
+    x[1::3] *= 100
+    truth = to_spark(spark, x).withColumn("g", F.element_at(F.array(F.lit("p"), F.lit("q"), F.lit(None)), (F.col("row_id") % 3 + 1).cast("int")))
+    truth = truth.withColumn("row_id", F.when(F.col("g").isNull(), F.col("row_id") - 2).otherwise(F.col("row_id"))).cache()
+    masked = inject.inject_mcar(truth, COLS, 0.15, 0.02, 1, group_cols=["g"]).cache()
+    return truth, masked, gaps.impute_mean(masked, COLS, ["g"]).cache()
+
+
+def test_every_group_is_scored_like_a_table_of_its_own(spark, three_groups):
+    from rowmend.operators import evaluate as ev
+    truth, masked, filled = three_groups
+    bounds = spark.createDataFrame([(c, -3.0, 3.0) for c in COLS], "variable string, lb double, ub double")
+    keys, g = ["g", "row_id"], ["g"]
+
+    def own(df, key):
+        return df.where(F.col("g").eqNullSafe(F.lit(key))).drop("g")
+
+    scores = {(r.g, r.variable): r.nrmse for r in ev.nrmse(filled, truth, masked, COLS, keys, keys, g).collect()}
+    inside = {r.g: r.feasibility for r in ev.feasibility(filled, masked, bounds, COLS, keys, g).collect()}
+    odd = {r.g: r.plausibility for r in ev.plausibility(filled, masked, COLS, 1, keys, g, lim=0.9).collect()}
+    missed = {r.g: r.rmse for r in ev.missing_nrmse(filled, truth, masked, COLS, keys, g).collect()}
+    assert set(inside) == set(odd) == set(missed) == {"p", "q", None} and len(scores) == 15
+    for key in ("p", "q", None):
+        parts = own(filled, key), own(truth, key), own(masked, key)
+        for r in ev.nrmse(*parts, COLS).collect():
+            assert scores[key, r.variable] == pytest.approx(r.nrmse, rel=1e-9)
+        assert inside[key] == ev.feasibility(parts[0], parts[2], bounds, COLS).first()[0]
+        assert odd[key] == ev.plausibility(parts[0], parts[2], COLS, 1, lim=0.9).first()[0]
+        assert missed[key] == pytest.approx(ev.missing_nrmse(*parts, COLS).first().rmse, rel=1e-9)
+
+
+def test_reports_and_holdout_by_group(spark, three_groups):
+    from rowmend.operators import evaluate as ev
+    from rowmend.operators import selection
+    from rowmend.plans.compare import holdout_reestimate
+    truth, masked, filled = three_groups
+    labelled = selection.relabel(selection.label_missing(masked, COLS), COLS, {selection.MISSING: selection.IMPUTED})
+    counts = {(r.g, r.variable, r.label): r.n for r in ev.label_counts(labelled, COLS, ["g"]).collect()}
+    pairs = ev.before_after(labelled, filled, COLS, group_cols=["g"]).collect()
+    assert len(pairs) == sum(n for (_, v, lab), n in counts.items() if v is None and lab == selection.IMPUTED)
+    for key in ("p", "q", None):
+        part = labelled.where(F.col("g").eqNullSafe(F.lit(key)))
+        assert {(r.variable, r.label): r.n for r in ev.label_counts(part, COLS).collect()} == {k[1:]: n for k, n in counts.items() if k[0] == key}
+    scores = {r.g: r.nrmse for r in holdout_reestimate(truth, COLS, "PPCA", 1, 0.1, group_cols=["g"], prefill="mean", max_iter=5, max_rounds=0).collect()}
+    assert set(scores) == {"p", "q", None} and all(0 < s < 1 for s in scores.values())
+
+
+@pytest.mark.parametrize("split", [None, 40])
+def test_a_large_null_group_is_cut_like_any_other(spark, three_groups, split):
+    _, masked, _ = three_groups
+    out = gaps.impute_interpolate(masked, COLS, group_cols=["g"], max_rows=split)
+    alone = gaps.impute_interpolate(masked.where("g is null"), COLS)
+    assert np.allclose(back(out.where("g is null"), COLS), back(alone, COLS))
+    if split:
+        from rowmend.operators.ordering import BUCKET, with_buckets
+        cut, _ = with_buckets(masked, ("t", "row_id"), ["g"], split)
+        assert cut.where("g is null").select(BUCKET).distinct().count() > 1
