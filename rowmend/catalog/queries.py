@@ -420,16 +420,16 @@ CV = {"n_splits": 5, "num_repeat": 2}
 
 
 def detect_outliers_query(spark, sf):
-    """The whole loop on masked data with planted spikes."""
+    """The whole loop, to the round that flags nothing, on masked data with planted spikes."""
     df = keep(fx.masked(_spiked(spark, sf), V))
-    found = detect_outliers(df, V, max_iter=4, **CV)
+    found = detect_outliers(df, V)
     return selection.to_cells(found.labelled, V, ["row_id", "t"]).filter(F.col("label") == selection.OUTLIER).select(
         "row_id", "variable", "value")
 
 
 def clean_step_a(spark, sf):
     df = keep(fx.masked(_spiked(spark, sf), V))
-    result = clean(df, V, max_iter=3, **CV)
+    result = clean(df, V)
     return ev.label_counts(result.labelled, V)
 
 
@@ -452,6 +452,16 @@ def _fixed_fit(algorithm: str, iterations: int, **options) -> Callable:
     return query
 
 
+def _fit_to_the_end(algorithm: str) -> Callable:
+    """An algorithm with its defaults: start, prefill, tolerance and the loop over the number of components, from two."""
+    def query(spark, sf):
+        result = fill_missing(keep(_masked(spark, sf)), V, algorithm, 2)
+        shown = result.df.select("row_id", *[(F.col(v) + F.lit(0.0000314)).alias(v) for v in V])
+        return _round_cols(shown, V, 2).withColumn("components", F.lit(result.components[()]))
+
+    return query
+
+
 def impute_mi(spark, sf):
     return _round_cols(fill_missing(_masked(spark, sf), V, "MI", 1).df.select("row_id", *V), V, 4)
 
@@ -686,6 +696,9 @@ def _registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "impute_ppcam": _fixed_fit("PPCA-M", 3, start_loadings=_start, start_variance=1.0),
         "impute_bpca": _fixed_fit("BPCA", 3, start_loadings=_start, start_precision=1.0),
         "impute_svt": _fixed_fit("SVT", 2), "impute_alm": _fixed_fit("ALM", 2),
+        "fit_alternating": _fit_to_the_end("Alternating"), "fit_svd": _fit_to_the_end("SVDImpute"), "fit_ppca": _fit_to_the_end("PPCA"),
+        "fit_ppcam": _fit_to_the_end("PPCA-M"), "fit_bpca": _fit_to_the_end("BPCA"), "fit_alm": _fit_to_the_end("ALM"),
+        "fit_pcada": _fit_to_the_end("PCADA"),
         "impute_pcada": impute_pcada, "impute_als": impute_als, "fill_missing_loop": fill_missing_loop,
         "run_all_status": run_all_status, "convergence_trace": convergence_trace,
         "inject_mcar": inject_mcar, "inject_dropout": inject_dropout, "inject_multirate": inject_multirate,
