@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import result_folder
 
 BATCH_ROWS = 1000  # texts that a Python task holds at once
 
@@ -23,6 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows as Parquet in the shared folder, read again: narrow columns take far less room there than in a checkpoint."""
+    folder = result_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def crc_mod(column: str | Column, modulus: int) -> Column:
     """crc32 of the value as text, modulo `modulus`; a null counts as the empty text."""
     col = F.col(column) if isinstance(column, str) else column

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import row_udf, text_bytes
+from .common import row_udf, stored, text_bytes
 
 RUN = 3  # sentences
 LEAST_WORDS = 12
@@ -105,7 +105,7 @@ def repeated_places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     places = _places(docs, id_col, text_col, run, least_words)
     # both tables are stored before they are joined, so that the join shuffles its sides anew and can split a hot hash
     repeated = cut_lineage(places.groupBy("hash").count().where("count > 1").select("hash"))
-    shared = cut_lineage(places.join(repeated, "hash"))
+    shared = stored(places.join(repeated, "hash"), "repeats")
     first = cut_lineage(shared.groupBy("hash").agg(F.min(F.struct("id", "place")).alias("first")))
     later = shared.join(first, "hash").where(~(F.struct("id", "place").eqNullSafe(F.col("first"))))
     by_text = later.groupBy("id", F.shiftright("place", 31).alias("crc"))
