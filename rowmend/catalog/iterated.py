@@ -323,6 +323,29 @@ def four_donor_rounds() -> str:
     return f"SELECT * EXCLUDE (components) FROM ({with_(*c)}{finish('SELECT row_id, i, x, 1 AS a FROM r1fill', 3)})"
 
 
+def best_start(candidates: int = 5) -> str:
+    """Least squares without means from random starts; the fill whose missing cells have the smallest largest contribution."""
+    draw = u(lit(0), lit("als"), "c", "i - 1", lit(0))
+    step = ["cur AS (SELECT * FROM als WHERE NOT done AND k < 1000)",
+            "ts AS MATERIALIZED (SELECT cand, row_id, coalesce(sum(p * x) / nullif(sum(CASE WHEN x IS NOT NULL THEN p * p END), 0), 0) AS t FROM xs JOIN cur USING (i) GROUP BY cand, row_id)",
+            "vs AS MATERIALIZED (SELECT cand, i, sum(x * t) AS xt, sum(t * t) AS tt, sum(x * x) AS xx FROM xs JOIN ts USING (row_id) WHERE x IS NOT NULL GROUP BY cand, i)",
+            "se AS (SELECT cand, sum(xx - xt * xt / tt) AS e FROM vs GROUP BY cand)"]
+    select = (f"SELECT k + 1, cand, i, xt / tt, cur.p, se.e, coalesce(abs((se.e - cur.sse) / cur.sse) < {TOLERANCE}, false) FROM cur JOIN vs USING (cand, i) JOIN se USING (cand)")
+    c = [*start("mean"),
+         f"dw AS (SELECT c AS cand, i, {draw} - 0.5 AS d FROM st CROSS JOIN range({candidates}) r(c))",
+         f"als(k, cand, i, p, q, sse, done) AS (SELECT 0, cand, i, d / sqrt(sum(d * d) OVER (PARTITION BY cand)), 0.0::DOUBLE, NULL::DOUBLE, false FROM dw UNION ALL {body(step, select)})",
+         "fin AS MATERIALIZED (SELECT * FROM als WHERE done)",
+         "tf AS (SELECT cand, row_id, coalesce(sum(q * x) / nullif(sum(CASE WHEN x IS NOT NULL THEN q * q END), 0), 0) AS t FROM xs JOIN fin USING (i) GROUP BY cand, row_id)",
+         "fl AS MATERIALIZED (SELECT cand, row_id, i, xs.x IS NULL AS gone, coalesce(xs.x, t * p) AS x FROM xs JOIN tf USING (row_id) JOIN fin USING (cand, i))",
+         "z AS MATERIALIZED (SELECT cand, row_id, i, gone, (x - avg(x) OVER w) / stddev_samp(x) OVER w AS z FROM fl WINDOW w AS (PARTITION BY cand, i))",
+         "cor AS MATERIALIZED (SELECT a.cand, a.i, b.i AS j, sum(a.z * b.z) / (count(*) - 1) AS v FROM z a JOIN z b USING (cand, row_id) GROUP BY a.cand, a.i, b.i)",
+         *eig("cor", 1, "pc", "cand"),
+         "sc AS (SELECT cand, row_id, sum(z * p) AS t FROM z JOIN pc USING (cand, i) GROUP BY cand, row_id)",
+         "wo AS (SELECT cand, max(greatest(z * t * p, 0) / s2) AS worst FROM z JOIN sc USING (cand, row_id) JOIN pc USING (cand, i) "
+         "JOIN (SELECT cand, var_pop(t) AS s2 FROM sc GROUP BY cand) USING (cand) WHERE gone GROUP BY cand)"]
+    return f"SELECT * EXCLUDE (components) FROM ({with_(*c)}{finish('SELECT row_id, i, x, 1 AS a FROM fl WHERE cand = (SELECT arg_min(cand, worst) FROM wo)')})"
+
+
 # every algorithm with its prefill, the name of what its iterations report, and how to get that from the recursive table
 TRACED = {
     "Alternating": (alternating, "mean", {"sse_obs": "round(any_value(sse), 3)"}),
@@ -427,5 +450,5 @@ def oracle_sql() -> dict[str, str]:
         "fit_alternating": to_the_end(alternating, "mean"), "fit_svd": to_the_end(svd, "interpolation"), "fit_ppca": to_the_end(ppca, "interpolation"),
         "fit_ppcam": to_the_end(ppcam, "interpolation"), "fit_bpca": to_the_end(bpca, "mean"), "fit_alm": alm_to_the_end(),
         "fit_pcada": to_the_end(pcada, "interpolation"), "detect_outliers": found_outliers(), "clean_step_a": cleaned_counts(),
-        "impute_pcada": four_donor_rounds(), "convergence_trace": traces(), "compare_algorithms": comparison(), "run_all_status": statuses(),
+        "impute_pcada": four_donor_rounds(), "impute_als": best_start(), "convergence_trace": traces(), "compare_algorithms": comparison(), "run_all_status": statuses(),
         "fill_missing_loop": f"SELECT * EXCLUDE (components) FROM ({with_(*one_component(svd, 'interpolation'))}{finish('SELECT row_id, i, x, 1 AS a FROM out')})"}

@@ -127,9 +127,14 @@ def cross_validate_pca(df: DataFrame, variables: Sequence[str], a: int | None =
     return np.sqrt(press.sum(axis=1) / total.n), press
 
 
-def argmin_rmsecv(df: DataFrame, variables: Sequence[str], n_splits: int = 7, seed: int = 11,
-                  row_id: str = "row_id") -> int:
-    """Number of components with the smallest RMSECV among the first 80 % of the possible ones."""
+def argmin_rmsecv_by_group(df: DataFrame, variables: Sequence[str], n_splits: int = 7, seed: int = 11, row_id: str = "row_id",
+                           group_cols: Sequence[str] = ()) -> dict[tuple, int]:
+    """Per group the number of components with the smallest RMSECV among the first 80 % of the possible ones; one pass for all."""
     upper = max(1, round(0.8 * len(variables)))
-    rmsecv, _ = cross_validate_pca(df, variables, upper, n_splits, seed=seed, row_id=row_id)
-    return int(rmsecv.argmin()) + 1
+    found = fold_moments(with_folds(df, n_splits, 1, seed, row_id), variables, n_splits, 1, group_cols)
+    return {k: int(press_matrix(total, folds, n_splits, upper, ddof=0).sum(axis=1).argmin()) + 1 for k, (total, folds) in found.items()}
+
+
+def argmin_rmsecv(df: DataFrame, variables: Sequence[str], n_splits: int = 7, seed: int = 11, row_id: str = "row_id") -> int:
+    """The choice of `argmin_rmsecv_by_group` for one table."""
+    return argmin_rmsecv_by_group(df, variables, n_splits, seed, row_id)[()]

@@ -34,6 +34,7 @@ class Context:
     ss_obs: np.ndarray
     g_obs: np.ndarray  # Gram matrix with missing cells as 0
     seed: int = 0
+    candidate: int = 0  # number of a random start
 
     @property
     def v(self) -> int:

@@ -69,14 +69,13 @@ class Alternating(Algorithm):
 
 
 class ALS(Alternating):
-    """The uncentred factorisation from a seeded random start; `best_of_candidates` in the fill driver compares several."""
+    """The uncentred factorisation from a seeded random start; `fill_als` compares several."""
 
     name = "ALS"
     centred = False
 
     def first_loadings(self, ctx):
-        seed = self.options.get("candidate", 0)
-        draws = np.array([[uniform_value(ctx.seed, "als", seed, j, k) for k in range(ctx.a)] for j in range(ctx.v)])
+        draws = np.array([[uniform_value(ctx.seed, "als", ctx.candidate, j, k) for k in range(ctx.a)] for j in range(ctx.v)])
         return np.linalg.qr(draws - 0.5)[0]
 
 

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.components import argmin_rmsecv, choose_components, press_matrix
+from ..operators.components import argmin_rmsecv_by_group, choose_components, press_matrix
 from ..operators.gaps import ORDER, impute, impute_mean
 from ..operators.impute import ALGORITHMS, Fit, fit, fitted_values
 from ..operators.impute.engine import Context
@@ -191,19 +190,24 @@ def fill_missing(df: DataFrame, variables: Sequence[str], algorithm: str, compon
 
 
 def largest_contribution(filled: DataFrame, original: DataFrame, variables: Sequence[str], a: int | dict,
-                         row_id: str = "row_id", group_cols: Sequence[str] = ()) -> dict[tuple, float]:
-    """Per group the largest positive T2 contribution among the cells that were missing."""
-    models = fit_pca(filled, variables, a, contrib="2D-Chiang", lim_method="2D-Alcala", row_limits=False, group_cols=group_cols)
-    keys = [*group_cols, row_id]
-    marks = original.select(*keys, *[F.col(v).isNull().cast("double").alias(f"__m_{v}") for v in variables])
-    joined = join_groups(filled, marks, keys, "inner")
+                         row_id: str = "row_id", group_cols: Sequence[str] = (), versions: Sequence[str] = ()) -> dict[tuple, float]:
+    """Per group the largest positive T2 contribution among the cells that were missing.  `versions` are columns that tell fills
+    of the same original apart; each version of a group is judged by itself."""
+    keys = [*group_cols, *versions]
+    models = fit_pca(filled, variables, a, contrib="2D-Chiang", lim_method="2D-Alcala", row_limits=False, group_cols=keys)
+    rows = [*group_cols, row_id]
+    marks = original.select(*rows, *[F.col(v).isNull().cast("double").alias(f"__m_{v}") for v in variables])
+    joined = join_groups(filled, marks, rows, "inner")
 
     def worst(key, x, m):
         return (models[key].contributions(models[key].scale(x), positive_only=True)[0] * m).max(axis=1)[:, None]
 
-    scored = row_map(joined, {"x": variables, "m": [f"__m_{v}" for v in variables]}, worst, ["__worst"], group_cols)
-    found = scored.groupBy(*group_cols).agg(F.max("__worst").alias("worst")).collect()
-    return {tuple(r[c] for c in group_cols): r["worst"] for r in found}
+    scored = row_map(joined, {"x": variables, "m": [f"__m_{v}" for v in variables]}, worst, ["__worst"], keys)
+    found = scored.groupBy(*keys).agg(F.max("__worst").alias("worst")).collect()
+    return {tuple(r[c] for c in keys): r["worst"] for r in found}
+
+
+CANDIDATE = "als_candidate"
 
 
 def fill_als(df: DataFrame, variables: Sequence[str], components: int | dict, candidates: int = 5,
@@ -211,35 +215,31 @@ def fill_als(df: DataFrame, variables: Sequence[str], components: int | dict, ca
              max_rows: int | None = None, start: Start | None = None, **options) -> FillResult:
     """Factorisations from several random starts; every group keeps the one whose imputed cells look least unusual.
 
-    All candidates share one prefilled table.
+    The number of the start is one more group column of the fit, so all starts of all groups share every pass, and so do
+    the contributions and the final choice of components: the number of jobs depends on neither.  Rows are multiplied
+    inside the tasks; the stored table is not.
     """
     group_cols = list(group_cols)
+    if CANDIDATE in df.columns:
+        raise ValueError(f"the table has a column {CANDIDATE}")
     start = start or prepare(df, variables, prefill or PREFILL["ALS"], components, order, group_cols, seed, max_rows)
+    numbers = range(candidates)
+    each = F.explode(F.array(*[F.lit(c) for c in numbers])).alias(CANDIDATE)
+    many = Start(start.table.select("*", each), start.copies, {(*k, c): s for k, s in start.scale.items() for c in numbers},
+                 {(*k, c): replace(x, candidate=c) for k, x in start.contexts.items() for c in numbers})
+    number = {k: x.a for k, x in many.contexts.items()}
+    result = fill_missing(df, variables, "ALS", number, max_rounds=0, order=order, group_cols=[*group_cols, CANDIDATE], seed=seed,
+                          max_rows=max_rows, start=many, **options)
+    filled = keep(result.df)
     best: dict[tuple, tuple[float, int]] = {}
-    results = []
-    for candidate in range(candidates):
-        result = fill_missing(df, variables, "ALS", components, max_rounds=0, order=order, group_cols=group_cols, seed=seed,
-                              max_rows=max_rows, start=start, candidate=candidate, **options)
-        results.append(result)
-        for key, worst in largest_contribution(result.df, df, variables, components, order[1], group_cols).items():
-            if key not in best or worst < best[key][0]:
-                best[key] = (worst, candidate)
-    chosen = {candidate for _, candidate in best.values()}
-    first = results[min(chosen)]
-    if len(chosen) > 1:
-        schema = T.StructType([T.StructField(c, df.schema[c].dataType) for c in group_cols] + [T.StructField("__best", T.IntegerType())])
-        table = df.sparkSession.createDataFrame([(*k, c) for k, (_, c) in best.items()], schema)
-        parts = [join_groups(results[c].df, table, group_cols, "inner").where(F.col("__best") == c).drop("__best") for c in sorted(chosen)]
-        first.df = reduce(lambda a, b: a.unionByName(b), parts)
-    first.components = {k: argmin_rmsecv(_group_rows(first.df, group_cols, k), variables, row_id=order[1]) for k in best}
-    return first
-
-
-def _group_rows(df: DataFrame, group_cols: Sequence[str], key: tuple) -> DataFrame:
-    """The rows of one group."""
-    for c, k in zip(group_cols, key):
-        df = df.where(F.col(c).eqNullSafe(F.lit(k)))
-    return df
+    for (*key, candidate), worst in largest_contribution(filled, start.table, variables, number, order[1], group_cols, [CANDIDATE]).items():
+        best[tuple(key)] = min(best.get(tuple(key), (np.inf, candidates)), (worst, candidate))
+    schema = T.StructType([T.StructField(c, df.schema[c].dataType) for c in group_cols] + [T.StructField(CANDIDATE, T.IntegerType())])
+    table = df.sparkSession.createDataFrame([(*k, c) for k, (_, c) in best.items()], schema)
+    result.df = join_groups(filled, table, [*group_cols, CANDIDATE], "left_semi").drop(CANDIDATE)
+    result.trace = [t | {"group": t["group"][:-1]} for t in result.trace if best[t["group"][:-1]][1] == t["group"][-1]]
+    result.components = argmin_rmsecv_by_group(result.df, variables, row_id=order[1], group_cols=group_cols)
+    return result
 
 
 def run_all(df: DataFrame, variables: Sequence[str], components: int | dict, algorithms: Sequence[str] | None = None,
