@@ -591,6 +591,10 @@ def oracle_sql() -> dict[str, str]:
         "pa AS (SELECT a, avg(press) AS m, stddev_samp(press) / sqrt(count(*)) AS se FROM used GROUP BY a)")) + (
         "SELECT min(a)::INT AS component FROM pa WHERE m < (SELECT min_by(m + se, m) FROM pa) OR m = (SELECT min(m) FROM pa)")
     q["holdout_reestimate"] = holdout(4, 0.02)
+    q["max_components"] = om + (
+        f"SELECT c_nationkey, k AS n_splits, least(floor(n * (1 - 1.0 / k)), {len(V)}, coalesce(ub, {len(V)}))::INT AS components FROM (SELECT c_nationkey, count(*) AS n "
+        "FROM om JOIN orders ON o_orderkey = row_id JOIN customer ON c_custkey = o_custkey WHERE t < 60 GROUP BY c_nationkey) CROSS JOIN (VALUES (2, NULL), (5, NULL), (7, 4)) s(k, ub)")
+    q["rapidity"] = "SELECT * FROM (VALUES ('MI', false), ('Alternating', true), ('ALM', true)) t(algorithm, measured)"
 
     spiked_model = [OM, spiked(), *pca("sp")]
     q["flag_cells"] = with_(*spiked_model, *contributions("2D-Chiang"), *limits("2D-Chiang", "norm", FLAG_LIM)) + (

@@ -621,6 +621,23 @@ def compare_algorithms_query(spark, sf):
     return _round_cols(wide, ["nrmse"], 4)
 
 
+def max_components_query(spark, sf):
+    """Candidates for the number of components by nation: few rows, few variables or a bound may limit them."""
+    om = _om(spark, sf).where("t < 60")
+    keys = fx.table(spark, sf, "orders").select(F.col("o_orderkey").alias("row_id"), F.col("o_custkey").alias("c_custkey"))
+    nations = om.join(keys, "row_id").join(fx.table(spark, sf, "customer").select("c_custkey", "c_nationkey"), "c_custkey")
+    counts = nations.groupBy("c_nationkey").agg(F.count("*").alias("n")).collect()  # 25 nations
+    rows = [(r["c_nationkey"], k, comp.max_components(r["n"], len(V), k, upper)) for r in counts for k, upper in ((2, None), (5, None), (7, 4))]
+    return spark.createDataFrame(rows, "c_nationkey int, n_splits int, components int").withColumn("c_nationkey", F.col("c_nationkey").cast(nations.schema["c_nationkey"].dataType))
+
+
+def rapidity(spark, sf):
+    """Whether each fit reports the seconds that it took; a mean needs no fit and reports none."""
+    om = _om_kept(spark, sf)
+    wide, _ = compare_algorithms(keep(fx.masked(om, V)), V, 1, algorithms=["MI", "Alternating", "ALM"], max_rounds=0)
+    return wide.select("algorithm", (F.col("rapidity") > 0).alias("measured"))
+
+
 def _grid(spark, sf):
     return experiment_grid(_om_kept(spark, sf), V, sims=2, algorithms=["MI", "PPCA", "SVT"], level=0.1, tol=0.004,
                            components=1, with_time=False, metadata=fx.variable_metadata(spark), max_iter=3, max_rounds=0)
@@ -713,5 +730,5 @@ def _registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "nrmse_overall": nrmse_overall, "missing_nrmse": missing_nrmse, "feasibility": feasibility,
         "plausibility": plausibility, "label_counts": label_counts, "before_after": before_after, "cells_long": cells_long,
         "holdout_reestimate": holdout_reestimate_query, "compare_algorithms": compare_algorithms_query,
-        "grid_summary": grid_summary, "write_read_results": write_read_results, "summarise_results": summarise_results,
+        "max_components": max_components_query, "rapidity": rapidity, "grid_summary": grid_summary, "write_read_results": write_read_results, "summarise_results": summarise_results,
     }

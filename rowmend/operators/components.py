@@ -34,14 +34,17 @@ def split_press(total: Moments, fold: Moments, n_components: int, mode: str = "s
     _, p = leading_eigen(train.covariance(1) * unit, n_components)
     g = fold.second(mu) * unit
     v = len(mu)
-    kept = np.eye(v)
     press = np.empty(n_components)
+    used: list[int] = []
     for a in range(n_components):
-        deflated = kept - np.outer(p[:, a], p[:, a])
-        if (np.diag(deflated) >= 10 * EPS).all():
-            kept = deflated
-        r = kept / np.maximum(np.diag(kept), EPS)
-        press[a] = np.einsum("ij,ik,kj->", r, g, r) / v
+        # what the components leave of each variable; one that would leave nothing of some variable is not used
+        left = 1.0 - (p[:, [*used, a]] ** 2).sum(axis=1)
+        if left.min() >= 10 * EPS:
+            used.append(a)
+        basis = p[:, used]
+        replacement = np.eye(v) - basis @ basis.T
+        errors = replacement / np.maximum(np.diag(replacement), EPS)
+        press[a] = np.trace(errors.T @ g @ errors) / v
     return press
 
 

@@ -5,7 +5,8 @@ from tools.check_queries import compare, connect
 
 ORACLES = catalog.oracle_sql()
 QUERIES = catalog.queries()
-SLOW = {"run_all_status", "grid_summary", "compare_algorithms", "convergence_trace", "inject_all_kinds"}
+# compared with their SQL by the query tool only: each takes minutes on a small machine
+SLOW = {"grid_summary", "fit_svd", "fit_ppcam", "fit_pcada"}
 
 
 @pytest.fixture(scope="module")
@@ -17,7 +18,7 @@ def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
 
 
-@pytest.mark.parametrize("name", sorted(ORACLES))
+@pytest.mark.parametrize("name", sorted(set(ORACLES) - SLOW))
 def test_query_equals_sql(spark, sf, con, name):
     df = QUERIES[name](spark, sf)
     rows = [tuple(r) for r in df.collect()]

@@ -45,7 +45,7 @@ def compare(spark_names, spark_rows, sql_names, sql_rows) -> str:
 
 
 # Spark and DuckDB names of the same type.
-SAME_TYPE = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR"}
+SAME_TYPE = {"boolean": "BOOLEAN", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR"}
 
 
 def type_differences(dtypes, description) -> list[str]:
