@@ -135,16 +135,16 @@ def mix(docs: DataFrame, size: Column, source_col: str = "source", key_cols: Seq
         sizes, counts = group.column("__size").to_numpy(), group.column("n").to_numpy()
         repeats, picked = fit_counts(sizes, counts, group.column("target")[0].as_py())
         repeat = pa.array(np.full(len(sizes), repeats, np.int64))
-        return pa.table({"__s": group.column("__s"), "__size": sizes, "repeats": repeat, "picked": picked, "source_size": group.column("source_size"), "target": group.column("target")})
+        return pa.table({"__s": group.column("__s"), "__size": sizes, "__repeats": repeat, "__picked": picked, "source_size": group.column("source_size"), "target": group.column("target")})
 
     fitted = by_length.join(targets, "__s").groupBy("__s").applyInArrow(
-        fit, "__s string, __size bigint, repeats bigint, picked bigint, source_size bigint, target double")
+        fit, "__s string, __size bigint, __repeats bigint, __picked bigint, source_size bigint, target double")
     running = F.sum("n").over(W.partitionBy("__s", "__size").orderBy("__b").rowsBetween(W.unboundedPreceding, W.currentRow))
     parts = lengths.withColumn("__before", running - F.col("n")).drop("n").join(fitted, ["__s", "__size"])
     rank = F.row_number().over(W.partitionBy("__s", "__size", "__b").orderBy("__h", *key_cols))
     out = rows.withColumn("__r", rank).join(parts, ["__s", "__size", "__b"])
-    extra = (F.col("__before") + F.col("__r") <= F.col("picked")).cast("bigint")
-    copies = F.when(F.col("__size") > 0, F.col("repeats") + extra).otherwise(F.lit(0)).cast("bigint")
+    extra = (F.col("__before") + F.col("__r") <= F.col("__picked")).cast("bigint")
+    copies = F.when(F.col("__size") > 0, F.col("__repeats") + extra).otherwise(F.lit(0)).cast("bigint")
     return out.select(*[F.col(f"`{c}`") for c in kept], F.col("__size").alias("size"), "source_size", "target", copies.alias("copies"))
 
 

@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from rowmend.llm import conversation_repair, exact_dedup, periodic_runs, queries
+from rowmend.llm import conversation_repair, exact_dedup, mixing, periodic_runs, queries
 from rowmend.llm.common import table
 from tests.llm.helpers import odd_docs, rows_of, words
 
@@ -284,3 +284,13 @@ def test_runs_of_many_texts_at_once(shapes):
         texts.append(x)
     got = periodic_runs.find_runs(np.array([w for x in texts for w in x], np.int64), np.cumsum([0, *map(len, texts)]))
     assert [(t, s, n, q) for t, s, q, n in got] == [(t, s, n, q) for t, x in enumerate(texts) for s, n, q in plain_runs(x)]
+
+
+# names of columns
+
+
+def test_a_mix_keeps_columns_named_like_its_own_steps(spark):
+    docs = odd_docs(spark).withColumn("picked", F.lit(1)).withColumn("repeats", F.lit(2)).withColumn("n", F.lit(3))
+    mixed = mixing.mix(docs, mixing.word_count("text"), key_cols=("doc_id", "text"))
+    assert mixed.count() == docs.count()
+    assert {(r.picked, r.repeats, r.n) for r in mixing.expand(mixed).collect()} == {(1, 2, 3)}
