@@ -17,6 +17,7 @@ import hashlib
 import itertools
 import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -32,6 +33,7 @@ from .components import components
 BITS = 64
 SHARD = 4096  # fingerprints of one tree
 PARITY = 1024  # bits that bound how far two sets of shingles are apart
+FOLDED = 4  # 64-bit numbers that those bits are laid over each other to, for a first look at a pair
 FIRST = 4  # first shingles of a text whose lists are compared neighbour by neighbour
 SAMPLE_TEXTS, FREQUENT = 10_000, 100_000  # texts that tell the frequent shingles, and how many of those are told
 KNOWN_WORDS = 500_000  # hashes of words that a task remembers
@@ -300,9 +302,16 @@ def shingle_sets(text_col: str, width: int, similarity: float, frequent: tuple[n
     return row_udf(run, "n int, whole binary, parity array<bigint>, prefix array<bigint>")(text_bytes(text_col))
 
 
-def prefix_pairs(shared: DataFrame, classes: DataFrame, similarity: float, part_rows: int = SHARD) -> DataFrame:
+def folded(parity: str) -> Column:
+    """FOLDED numbers of the parity bits, laid over each other: two sets differ in no more of these bits than of all."""
+    words = PARITY // 64
+    return F.array(*[reduce(lambda a, b: a.bitwiseXOR(b), [F.get(parity, F.lit(i)) for i in range(k, words, FOLDED)]) for k in range(FOLDED)])
+
+
+def prefix_pairs(shared: DataFrame, classes: DataFrame, similarity: float, part_rows: int = SHARD, marks: DataFrame | None = None) -> DataFrame:
     """(u, v), u < v: texts of different classes with a shingle in common that can be the first common one of two sets with
-    the similarity, judged by their sizes and the places of the shingle.  `shared` has (key, no, n, pos), `classes` (no, root).
+    the similarity, judged by their sizes, the places of the shingle and their marks, before a pair is written anywhere.
+    `shared` has (key, no, n, pos), `classes` (no, root), `marks` (no, m), m the `folded` parity; without marks these are not judged.
 
     Every two texts of a list of equal shingles meet; a list of over `part_rows` rows is cut into g parts and searched in
     g (g + 1) / 2 tasks.  Lists within one class are left out.
@@ -311,19 +320,26 @@ def prefix_pairs(shared: DataFrame, classes: DataFrame, similarity: float, part_
     sizes = keyed.groupBy("key").agg(F.count("*").alias("rows"), F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key", "rows")
     parts = F.ceil(F.col("rows") / part_rows).cast("int")
     own = F.pmod(F.xxhash64("no"), parts).cast("int")
-    dealt = keyed.join(sizes, "key").select("key", "no", "n", "pos", "root", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "no", "n", "pos", "root")
+    mark = [(F.get("m", F.lit(k)) if marks is not None else F.lit(0).cast("bigint")).alias(f"m{k}") for k in range(FOLDED)]
+    listed = keyed.join(sizes, "key")
+    listed = listed.join(marks, "no") if marks is not None else listed
+    dealt = listed.select("key", "no", "n", "pos", "root", *mark, own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "no", "n", "pos", "root", *[f"m{k}" for k in range(FOLDED)])
     dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     weight = similarity / (1 + similarity)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(i, j, rows):
-            own, no, n, pos, root = np.array(rows, np.int64).T
+            own, no, n, pos, root, *bits = np.array(rows, np.int64).T
+            bits = np.ascontiguousarray(np.column_stack(bits)).view(np.uint64)
             queries, others = np.flatnonzero(own == i), np.flatnonzero(own == j)
             for k, a in enumerate(queries.tolist()):
                 b = others[k + 1 :] if i == j else others
                 common = np.ceil(weight * (n[a] + n[b]) - 1e-9)
-                b = b[(root[b] != root[a]) & (pos[a] <= n[a] - common) & (pos[b] <= n[b] - common)]
+                fits = (root[b] != root[a]) & (pos[a] <= n[a] - common) & (pos[b] <= n[b] - common)
+                b, common = b[fits], common[fits]
+                apart = np.bitwise_count(bits[b] ^ bits[a]).sum(axis=1)
+                b = b[apart <= n[a] + n[b] - 2 * common]
                 if len(b):
                     yield np.minimum(no[a], no[b]), np.maximum(no[a], no[b])
 
@@ -398,7 +414,7 @@ def _classes(docs, id_col, text_col, similarity, width, radius, pairs) -> tuple[
     chained = shared.where(F.col("pos") < FIRST).select(F.col("no").alias("u"), beside.alias("v"))
     near, alike = _compared(between.union(within).union(equal).union(chained), nodes, rows, similarity, width)
     found = components(alike, "u", "v")
-    rest = prefix_pairs(shared, found.select(F.col("node").alias("no"), "root"), similarity)
+    rest = prefix_pairs(shared, found.select(F.col("node").alias("no"), "root"), similarity, marks=nodes.select("no", folded("parity").alias("m")))
     _, more = _compared(rest.join(near, ["u", "v"], "left_anti"), nodes, rows, similarity, width)
     if not more.isEmpty():
         found = components(alike.union(more), "u", "v")
