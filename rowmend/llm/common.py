@@ -6,12 +6,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import result_folder
+from ..session import cut_lineage, result_folder
 
 BATCH_ROWS = 1000  # texts that a Python task holds at once
+BROADCAST_ROWS = 500_000  # rows of a narrow table that may be sent to every task
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -102,9 +103,16 @@ def segment_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
-def checked_broadcast(small: DataFrame, most_rows: int = 500_000) -> DataFrame:
-    """A stored, narrow table, marked for broadcast only if it has at most `most_rows` rows; else Spark shuffles it."""
-    return F.broadcast(small) if small.limit(most_rows + 1).count() <= most_rows else small
+def cut_and_count(df: DataFrame) -> tuple[DataFrame, int]:
+    """`cut_lineage` and the number of rows, which is counted while they are written."""
+    seen = Observation()
+    cut = cut_lineage(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return cut, seen.get["n"]
+
+
+def broadcast_up_to(df: DataFrame, rows: int) -> DataFrame:
+    """A stored, narrow table of `rows` rows, marked for broadcast only if these are at most BROADCAST_ROWS; else Spark shuffles it."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
 def normal_words(column: str) -> Column:

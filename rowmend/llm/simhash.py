@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..session import cut_lineage
-from .common import checked_broadcast, row_udf, text_bytes
+from .common import broadcast_up_to, cut_and_count, row_udf, text_bytes
 from .components import components
 
 BITS = 64
@@ -174,8 +174,9 @@ def link_fingerprints(prints: DataFrame, radius: int = 3, shard: int = SHARD) ->
     shard of g parts is searched in g (g + 1) / 2 tasks.
     """
     keyed = prints.select("family", "fp", F.explode(shard_keys("fp", "family", radius)).alias("key"))
-    sizes = keyed.groupBy("key").count().where("count > 1")
-    shared = keyed.join(sizes, "key")
+    # Most keys are single; the shared ones are few enough to be sent to the fingerprints, or else both sides meet in a shuffle.
+    sizes, n = cut_and_count(keyed.groupBy("key").count().where("count > 1"))
+    shared = keyed.join(broadcast_up_to(sizes, n), "key")
     parts = F.ceil(F.col("count") / shard).cast("int")
     own = F.pmod(F.xxhash64("fp"), parts).cast("int")
     dealt = shared.select("family", "key", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
@@ -404,14 +405,18 @@ def _classes(docs, id_col, text_col, similarity, width, radius, pairs) -> tuple[
     between = links.join(a, ["family", "a"]).join(b, ["family", "b"]).select("u", "v")
     within = families.join(named, ["family", "fp"]).where("no <> name").select(F.col("name").alias("u"), F.col("no").alias("v"))
     # One text stands for all with its set of shingles.
-    wholes = cut_lineage(nodes.groupBy("whole").agg(F.min("no").alias("name"), F.min_by("node", "no").alias("node"), F.min_by("first", "no").alias("id")))
+    wholes, n_wholes = cut_and_count(nodes.groupBy("whole").agg(F.min("no").alias("name"), F.min_by("node", "no").alias("node"), F.min_by("first", "no").alias("id")))
     equal = nodes.join(wholes.select("whole", "name"), "whole").where("no <> name").select(F.col("name").alias("u"), F.col("no").alias("v"))
     standing = wholes.select("node", "id", F.col("name").alias("no"))
     on = (prints.node == standing.node) & prints.id.eqNullSafe(standing.id)
-    posted = prints.join(checked_broadcast(standing), on).select("no", "n", F.posexplode("prefix").alias("pos", "key"))
-    shared = cut_lineage(posted.withColumn("rows", F.count("*").over(W.partitionBy("key"))).where("rows > 1").select("key", "no", "n", "pos"))
-    beside = F.lead("no").over(W.partitionBy("key").orderBy("n", "no"))
-    chained = shared.where(F.col("pos") < FIRST).select(F.col("no").alias("u"), beside.alias("v"))
+    posted = prints.join(broadcast_up_to(standing, n_wholes), on).select("no", "n", F.posexplode("prefix").alias("pos", "key"))
+    # One sort of each list: the first shingles of the texts stand before the others, each beside the next longer text.
+    listed = W.partitionBy("key").orderBy(F.col("pos") >= FIRST, "n", "no")
+    following = F.lead(F.struct("no", "pos")).over(listed)
+    shared = posted.withColumn("rows", F.count("*").over(W.partitionBy("key"))).withColumn("next", following).where("rows > 1")
+    beside = F.when((F.col("pos") < FIRST) & (F.col("next.pos") < FIRST), F.col("next.no"))
+    shared = cut_lineage(shared.select("key", "no", "n", "pos", beside.alias("beside")))
+    chained = shared.where("beside is not null").select(F.col("no").alias("u"), F.col("beside").alias("v"))
     near, alike = _compared(between.union(within).union(equal).union(chained), nodes, rows, similarity, width)
     found = components(alike, "u", "v")
     rest = prefix_pairs(shared, found.select(F.col("node").alias("no"), "root"), similarity, marks=nodes.select("no", folded("parity").alias("m")))
@@ -432,10 +437,10 @@ def _compared(candidates: DataFrame, nodes: DataFrame, rows: DataFrame, similari
     both = F.col("nu") + F.col("nv")
     allowed = both - 2 * F.ceil(both * (similarity / (1 + similarity)) - 1e-9)
     near = cut_lineage(candidates.join(u, "u").join(v, "v").where((F.abs(F.col("nu") - F.col("nv")) <= allowed) & (apart <= allowed)).select("u", "v"))
-    ends = cut_lineage(near.select(F.col("u").alias("no")).union(near.select(F.col("v").alias("no"))).distinct())
-    wanted = cut_lineage(ends.join(nodes, "no").select("no", F.col("node").alias("wanted"), F.col("first").alias("wanted_id")))
+    ends, n = cut_and_count(near.select(F.col("u").alias("no")).union(near.select(F.col("v").alias("no"))).distinct())
+    wanted = cut_lineage(broadcast_up_to(ends, n).join(nodes, "no").select("no", F.col("node").alias("wanted"), F.col("first").alias("wanted_id")))
     same = (rows.node == wanted.wanted) & rows.id.eqNullSafe(wanted.wanted_id)
-    texts = rows.join(checked_broadcast(wanted), same).select("no", "text").dropDuplicates(["no"])
+    texts = rows.join(broadcast_up_to(wanted, n), same).select("no", "text").dropDuplicates(["no"])
     x = texts.select(F.col("no").alias("u"), F.col("text").alias("tu"))
     y = texts.select(F.col("no").alias("v"), F.col("text").alias("tv"))
     alike = near.join(x, "u").join(y, "v").select("u", "v", jaccard("tu", "tv", width).alias("j")).where(F.col("j") >= similarity)
@@ -450,14 +455,14 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     kept_id = ids.join(keepers, ids.node == keepers["__node"]).groupBy("node").agg(
         F.min(F.struct(F.col("id").isNull().alias("last"), "id", "n")).alias("m"))
     kept_id = cut_lineage(kept_id.select(F.col("node").alias("__node"), F.col("m.id").alias("__id"), F.col("m.n").alias("__n")))
-    lost = cut_lineage(ids.join(kept_id, (ids.node == kept_id["__node"]) & ids.id.eqNullSafe(kept_id["__id"]), "left_anti").select(
+    lost, n_lost = cut_and_count(ids.join(kept_id, (ids.node == kept_id["__node"]) & ids.id.eqNullSafe(kept_id["__id"]), "left_anti").select(
         F.col("node").alias("__node"), F.col("id").alias("__id")))
     keyed = docs.withColumn("__key", _text_key(text_col))
     on = lambda small: (F.col("__key") == small["__node"]) & F.col(id_col).eqNullSafe(small["__id"])
-    kept = keyed.join(checked_broadcast(lost), on(lost), "left_anti")
-    again = cut_lineage(kept_id.where("__n > 1"))  # rows that repeat an id and its text
-    if not again.isEmpty():
-        marked = checked_broadcast(again)
+    kept = keyed.join(broadcast_up_to(lost, n_lost), on(lost), "left_anti")
+    again, n_again = cut_and_count(kept_id.where("__n > 1"))  # rows that repeat an id and its text
+    if n_again:
+        marked = broadcast_up_to(again, n_again)
         single = kept.join(marked, on(again), "left_anti")
         kept = single.unionByName(kept.join(marked, on(again), "left_semi").dropDuplicates([id_col, "__key"]))
     return kept.drop("__key")
