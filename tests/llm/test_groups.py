@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rowmend.llm import chat, mixing, queries, simhash, substring_dedup, suffix_tree_lm
+from rowmend.llm import chat, common, mixing, queries, simhash, substring_dedup, suffix_tree_lm
 from rowmend.llm.common import table
 from rowmend.llm.components import components
 from tests.llm.helpers import ODD_TEXTS, crc, lower, odd_docs, words
@@ -107,6 +107,22 @@ def test_components_of_a_long_chain(spark):
     assert components(links.limit(0)).count() == 0
 
 
+def test_components_and_links_are_the_same_without_broadcasts(spark, monkeypatch):
+    """Sides above the bound on broadcasts are shuffled; both ways give the classes of a plain search."""
+    rng = random.Random(3)
+    links = spark.createDataFrame([(rng.randrange(400), rng.randrange(400)) for _ in range(300)], "a bigint, b bigint")
+    prints = [0, 1, 7, 15, 2**63 - 1] + [rng.getrandbits(63) for _ in range(40)]
+    table = spark.createDataFrame([(i, p) for i, p in enumerate(prints + prints[:3])], "doc_id bigint, fp bigint")
+    found = []
+    for bound in (500_000, 0):
+        monkeypatch.setattr(common, "BROADCAST_ROWS", bound)
+        groups = {r.doc_id: r.component_id for r in simhash.group_fingerprints(table, "doc_id", "fp").collect()}
+        found.append(({r.node: r.root for r in components(links).collect()}, groups))
+    assert found[0] == found[1] and found[0][1][3] == 0 and found[0][1][4] == 4
+    for a, b in links.where("a <> b").collect():
+        assert found[0][0][a] == found[0][0][b]
+
+
 def near_docs():
     rng = random.Random(9)
     base = [f"word{rng.randrange(5000)}" for _ in range(300)]
