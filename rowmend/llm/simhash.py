@@ -34,6 +34,7 @@ BITS = 64
 SHARD = 4096  # fingerprints of one tree
 PARITY = 1024  # bits that bound how far two sets of shingles are apart
 FOLDED = 4  # 64-bit numbers that those bits are laid over each other to, for a first look at a pair
+RECENT = 3  # earlier shared shingles of a text that tell whether a pair has met before
 FIRST = 4  # first shingles of a text whose lists are compared neighbour by neighbour
 SAMPLE_TEXTS, FREQUENT = 10_000, 100_000  # texts that tell the frequent shingles, and how many of those are told
 KNOWN_WORDS = 500_000  # hashes of words that a task remembers
@@ -315,23 +316,28 @@ def prefix_pairs(shared: DataFrame, classes: DataFrame, similarity: float, part_
     `shared` has (key, no, n, pos), `classes` (no, root), `marks` (no, m), m the `folded` parity; without marks these are not judged.
 
     Every two texts of a list of equal shingles meet; a list of over `part_rows` rows is cut into g parts and searched in
-    g (g + 1) / 2 tasks.  Lists within one class are left out.
+    g (g + 1) / 2 tasks.  Lists within one class are left out.  A pair with several shingles in common is not written for one
+    that has another common one among the RECENT shared shingles before it in both texts: the pair met in that list, where
+    its places were smaller still.
     """
-    keyed = shared.join(classes, "no", "left").select("key", "no", "n", "pos", F.coalesce("root", "no").alias("root"))
+    before = [F.coalesce(F.lag("key", k).over(W.partitionBy("no").orderBy("pos")), F.lit(0).cast("bigint")).alias(f"before{k}") for k in range(1, RECENT + 1)]
+    earlier = [f"before{k}" for k in range(1, RECENT + 1)]
+    keyed = shared.join(classes, "no", "left").select("key", "no", "n", "pos", F.coalesce("root", "no").alias("root"), *before)
     sizes = keyed.groupBy("key").agg(F.count("*").alias("rows"), F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key", "rows")
     parts = F.ceil(F.col("rows") / part_rows).cast("int")
     own = F.pmod(F.xxhash64("no"), parts).cast("int")
     mark = [(F.get("m", F.lit(k)) if marks is not None else F.lit(0).cast("bigint")).alias(f"m{k}") for k in range(FOLDED)]
     listed = keyed.join(sizes, "key")
     listed = listed.join(marks, "no") if marks is not None else listed
-    dealt = listed.select("key", "no", "n", "pos", "root", *mark, own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "no", "n", "pos", "root", *[f"m{k}" for k in range(FOLDED)])
+    dealt = listed.select("key", "no", "n", "pos", "root", *earlier, *mark, own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "no", "n", "pos", "root", *earlier, *[f"m{k}" for k in range(FOLDED)])
     dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     weight = similarity / (1 + similarity)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(i, j, rows):
-            own, no, n, pos, root, *bits = np.array(rows, np.int64).T
+            own, no, n, pos, root, *more = np.array(rows, np.int64).T
+            met, bits = np.column_stack(more[:RECENT]), more[RECENT:]
             bits = np.ascontiguousarray(np.column_stack(bits)).view(np.uint64)
             queries, others = np.flatnonzero(own == i), np.flatnonzero(own == j)
             for k, a in enumerate(queries.tolist()):
@@ -339,6 +345,8 @@ def prefix_pairs(shared: DataFrame, classes: DataFrame, similarity: float, part_
                 common = np.ceil(weight * (n[a] + n[b]) - 1e-9)
                 fits = (root[b] != root[a]) & (pos[a] <= n[a] - common) & (pos[b] <= n[b] - common)
                 b, common = b[fits], common[fits]
+                known = ((met[b][:, :, None] == met[a]) & (met[a] != 0)).any(axis=(1, 2))
+                b, common = b[~known], common[~known]
                 apart = np.bitwise_count(bits[b] ^ bits[a]).sum(axis=1)
                 b = b[apart <= n[a] + n[b] - 2 * common]
                 if len(b):
