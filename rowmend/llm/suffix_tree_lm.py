@@ -4,12 +4,14 @@ The tree's symbols are the bytes of a text (words in order, joined by single spa
 text a probability.  A context is a run of up to `depth` preceding symbols.  It becomes a state if its next-symbol
 distribution diverges from that of its longest proper suffix, on enough evidence; a symbol is scored in the state of the
 longest suffix of what precedes it.
+
+Counts, states and distributions are Spark tables that grow with the corpus; no task and no driver holds the tree.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -17,12 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..session import cut_lineage, result_folder
-from .common import text_bytes
+from ..session import result_folder
+from .common import stored, text_bytes
 
 BOUNDARY = 255  # never part of UTF-8: stands before the first symbol and after the last
-CHUNK = 2_000_000  # symbols that a task holds before it reduces them
-BLOCK_TOKENS = 1_500_000  # tokens that share one list of distinct tokens
+END = b"\xff"  # the end of a text, counted as a token
+CHUNK = 2_000_000  # symbols that a task holds as grams before it reduces them
+BLOCK_TOKENS, BLOCK_SYMBOLS = 3_000_000, 20_000_000  # a block of texts that asks once for what its texts share ends with one of these
 
 
 def words_of(data: bytes) -> list[bytes]:
@@ -35,229 +38,194 @@ def symbols(words: list[bytes], depth: int) -> np.ndarray:
     return np.frombuffer(edge * depth + b" ".join(words) + edge, np.uint8)
 
 
-def grams(seq: np.ndarray, depth: int) -> np.ndarray:
-    """Each symbol with the `depth` before it as one integer, the symbol itself in the lowest byte."""
-    n = len(seq) - depth
-    out = np.zeros(n, np.int64)
-    for k in range(depth + 1):
-        out = (out << 8) | seq[k : k + n]
-    return out
+def grams(seq: np.ndarray, depth: int) -> Iterator[np.ndarray]:
+    """Each symbol with the `depth` before it as one integer, the symbol itself in the lowest byte; CHUNK symbols at a time."""
+    for a in range(0, len(seq) - depth, CHUNK):
+        n = min(CHUNK, len(seq) - depth - a)
+        out = np.zeros(n, np.int64)
+        for k in range(a, a + depth + 1):
+            out = (out << 8) | seq[k : k + n]
+        yield out
 
 
-def count_grams(docs: DataFrame, depth: int, text_col: str = "text") -> DataFrame:
-    """(gram, n) over all texts; each task sends every gram it has seen once per CHUNK distinct ones."""
+def token_keys(words: list[bytes]) -> np.ndarray:
+    """63-bit hashes of tokens as negative numbers; grams are never negative."""
+    import xxhash
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def reduced(parts):
-            keys, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-            return keys, np.bincount(at, np.concatenate([p[1] for p in parts]).astype(float), len(keys)).astype(np.int64)
+    return (np.array([xxhash.xxh64_intdigest(w, 3) for w in words], np.uint64) | np.uint64(1 << 63)).view(np.int64)
 
-        kept, fresh, size = [], [], 0
-        for batch in batches:
-            for data in batch.column(0).to_pylist():
-                fresh.append(grams(symbols(words_of(data), depth), depth))
-                size += len(fresh[-1])
-                if size > CHUNK:
-                    kept, fresh, size = [reduced(kept + [np.unique(np.concatenate(fresh), return_counts=True)])], [], 0
-                    if len(kept[0][0]) > CHUNK:
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in kept[0]], ["gram", "n"])
-                        kept = []
-        if fresh:
-            kept = [reduced(kept + [np.unique(np.concatenate(fresh), return_counts=True)])]
-        if kept:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in kept[0]], ["gram", "n"])
-
-    return docs.select(text_bytes(text_col)).mapInArrow(emit, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-@dataclass
-class Tree:
-    depth: int
-    symbol: np.ndarray  # 256: byte to column; bytes that training texts lack share the last column
-    child: np.ndarray  # state x column: the state whose context has this symbol in front, 0 if there is none
-    log10: np.ndarray  # state x column: log10 of the next-symbol probability
-
-    def score(self, seq: np.ndarray) -> float:
-        """log10 probability of the symbols after the first `depth`."""
-        at = self.symbol[seq]
-        n = len(at) - self.depth
-        state = np.zeros(n, np.int32)
-        live = np.arange(n)
-        for back in range(1, self.depth + 1):
-            following = self.child[state[live], at[live + self.depth - back]]
-            found = following > 0
-            live = live[found]
-            if not len(live):
-                break
-            state[live] = following[found]
-        return float(self.log10[state, at[self.depth :]].sum(dtype=np.float64))
-
-
-def learn_tree(docs: DataFrame, text_col: str = "text", depth: int = 5, least_share: float = 2e-5, least_divergence: float = 0.01,
-               least_gain: float = 10.0, prior: float = 20.0) -> Tree:
-    """The suffix tree of all texts of `docs`.
-
-    Counts cover every symbol.  A context can become a state only if it precedes at least `least_share` of all symbols,
-    so there are at most depth / least_share states however large the corpus is; that bounds what reaches the driver and
-    the tasks.  It does become one if the divergence of its distribution from that of its longest proper suffix is at least
-    `least_divergence` nats and, times its count, at least `least_gain`; suffixes of states are states too.  Distributions
-    are smoothed towards the suffix with the weight of `prior` symbols, the root's by one count for each of 256 symbols.
-    """
-    levels = {depth: cut_lineage(count_grams(docs, depth, text_col))}
-    for k in range(depth - 1, -1, -1):
-        part = F.col("gram").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1))
-        levels[k] = cut_lineage(levels[k + 1].groupBy(part.alias("gram")).agg(F.sum("n").alias("n")))
-    root = dict(levels[0].collect())  # at most 256 rows
-    total = sum(root.values())
-    context, following = F.shiftright("gram", 8), F.col("gram").bitwiseAND(F.lit(255))
-    shares = {0: levels[0].select(F.lit(0).cast("bigint").alias("context"), following.alias("next"), "n", F.lit(total).cast("bigint").alias("all"))}
-    wanted: list[set[int]] = [set() for _ in range(depth + 1)]
-    for k in range(1, depth + 1):
-        rows = levels[k].select(context.alias("context"), following.alias("next"), "n")
-        often = rows.groupBy("context").agg(F.sum("n").alias("all")).where(F.col("all") >= max(1.0, least_share * total))
-        shares[k] = cut_lineage(rows.join(F.broadcast(often), "context"))  # at most 1 / least_share contexts
-        suffix = shares[k - 1].select(F.col("context").alias("suffix"), "next", F.col("n").alias("m"), F.col("all").alias("whole"))
-        own = shares[k].withColumn("suffix", F.col("context").bitwiseAND(F.lit((1 << 8 * (k - 1)) - 1)))
-        ratio = (F.col("n") / F.col("all")) / (F.col("m") / F.col("whole"))
-        gain = own.join(suffix, ["suffix", "next"]).groupBy("context").agg(F.sum(F.col("n") * F.ln(ratio)).alias("gain"), F.first("all").alias("all"))
-        chosen = gain.where((F.col("gain") >= least_gain) & (F.col("gain") >= F.col("all") * least_divergence)).select("context")
-        wanted[k] = set(chosen.toPandas()["context"].tolist())
-    for k in range(depth, 1, -1):
-        wanted[k - 1] |= {c & ((1 << 8 * (k - 1)) - 1) for c in wanted[k]}
-    seen = sorted(root)
-    symbol = np.full(256, len(seen), np.int64)
-    symbol[seen] = np.arange(len(seen))
-    size = 1 + sum(map(len, wanted))
-    child = np.zeros((size, len(seen) + 1), np.int32)
-    chance = np.zeros((size, len(seen) + 1))
-    chance[0, :-1] = [(root[s] + 1) / (total + 256) for s in seen]
-    chance[0, -1] = 1 / (total + 256)
-    states = {(0, 0): 0}
-    for k in range(1, depth + 1):
-        if not wanted[k]:
-            break
-        spark = docs.sparkSession
-        picked = spark.createDataFrame([(c,) for c in sorted(wanted[k])], "context bigint")
-        rows = shares[k].join(F.broadcast(picked), "context").toPandas()
-        counts = np.zeros((len(wanted[k]), len(seen) + 1))
-        order = {c: i for i, c in enumerate(sorted(wanted[k]))}
-        np.add.at(counts, (rows["context"].map(order).to_numpy(), symbol[rows["next"].to_numpy()]), rows["n"].to_numpy())
-        for c, i in order.items():
-            parent = states[k - 1, c & ((1 << 8 * (k - 1)) - 1)]
-            states[k, c] = len(states)
-            child[parent, symbol[c >> 8 * (k - 1)]] = states[k, c]
-            chance[states[k, c]] = (counts[i] + prior * chance[parent]) / (counts[i].sum() + prior)
-    return Tree(depth, symbol, child, np.log10(chance).astype(np.float32))
-
-
-def _blocks(docs: DataFrame, tree: Tree, id_col: str, held: Column, text_col: str) -> DataFrame:
-    """One row per text (its tree score, and its tokens as numbers within a block: sorted, each as the distance from the
-    one before, which compresses well) and one per distinct token of a block (`token`, a hash, with its count in training texts).  A block is what a task reads until it has
-    BLOCK_TOKENS tokens; its number is stored with the rows, so later stages need not cut the texts in the same way again."""
+
+class GramCounts:
+    """Distinct grams of the texts of a block with their number in training texts."""
+
+    def __init__(self):
+        self.keys, self.n = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.fresh: tuple[list, list] = ([], [])  # of held-out and of training texts
+        self.size = 0
+
+    def add(self, part: np.ndarray, training: bool) -> None:
+        self.fresh[training].append(part)
+        self.size += len(part)
+        if self.size >= CHUNK:
+            self.reduce()
+
+    def reduce(self) -> None:
+        keys, n = [self.keys], [self.n]
+        for training, parts in enumerate(self.fresh):
+            if parts:
+                seen, times = np.unique(np.concatenate(parts), return_counts=True)
+                keys.append(seen)
+                n.append(times * training)
+        self.keys, at = np.unique(np.concatenate(keys), return_inverse=True)
+        self.n = np.bincount(at, np.concatenate(n).astype(float), len(self.keys)).astype(np.int64)
+        self.fresh, self.size = ([], []), 0
+
+
+def _blocks(docs: DataFrame, id_col: str, held: Column, text_col: str, depth: int) -> DataFrame:
+    """One row per text (`text`: its words in lower case, joined by spaces) and one per distinct key of a block, a token or a
+    gram, with its number in training texts.  A block is what a task reads until it has BLOCK_TOKENS tokens or BLOCK_SYMBOLS
+    symbols; its number is stored with the rows, so later stages need not cut the texts in the same way again."""
     rows = docs.select(F.col(id_col).alias("id"), held.alias("held"), text_bytes(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    schema = (f"block bigint, id {kind}, held boolean, score double, n_tokens bigint, tokens binary, at int, token bigint, n bigint")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
         from pyspark import TaskContext
 
         task, number = TaskContext.get().partitionId() << 24, 0
-        vocabulary: dict[bytes, int] = {}
-        train: list[np.ndarray] = []
-        size = 0
-        types = [pa.int64(), None, pa.bool_(), pa.float64(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64()]
-        names = ["block", "id", "held", "score", "n_tokens", "tokens", "at", "token", "n"]
-
-        def batch_of(columns: dict, n: int) -> pa.RecordBatch:
-            arrays = []
-            for name, type_ in zip(names, types):
-                value = columns.get(name)
-                arrays.append(value if isinstance(value, pa.Array) else pa.nulls(n, type_) if value is None else pa.array(value, type_))
+        names, types = ["block", "id", "held", "text", "key", "n"], [pa.int64(), None, pa.bool_(), pa.binary(), pa.int64(), pa.int64()]
+        tokens: Counter = Counter()
+        counts = GramCounts()
+        size = length = 0
+
+        def batch_of(size: int, /, **columns) -> pa.RecordBatch:
+            columns["block"] = np.full(size, task + number)
+            arrays = [columns[c] if isinstance(columns.get(c), pa.Array) else pa.array(columns[c], t) if c in columns else pa.nulls(size, t) for c, t in zip(names, types)]
             return pa.RecordBatch.from_arrays(arrays, names)
 
-        def tokens_of_block() -> Iterator[pa.RecordBatch]:
-            hashes = np.array([xxhash.xxh64_intdigest(w, 3) for w in vocabulary], np.uint64).view(np.int64)
-            seen = np.bincount(np.concatenate([*train, np.empty(0, np.int32)]).astype(np.int64), minlength=len(hashes))
-            for a in range(0, len(hashes), 100_000):
-                part = slice(a, a + 100_000)
-                n = len(hashes[part])
-                yield batch_of({"block": np.full(n, task + number), "at": np.arange(a, a + n, dtype=np.int32), "token": hashes[part], "n": seen[part]}, n)
+        def keys_of_block() -> Iterator[pa.RecordBatch]:
+            counts.reduce()
+            hashed = token_keys(list(tokens))
+            order = np.argsort(hashed)
+            keys = np.concatenate([hashed[order], counts.keys])
+            n = np.concatenate([np.fromiter(tokens.values(), np.int64, len(tokens))[order], counts.n])
+            for a in range(0, len(keys), 100_000):
+                yield batch_of(len(keys[a : a + 100_000]), key=keys[a : a + 100_000], n=n[a : a + 100_000])
 
         for batch in batches:
             types[1] = batch.schema.field(0).type
-            ids, helds, texts = batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            start, out = 0, {k: [] for k in ("score", "n_tokens", "tokens")}
+            ids, helds, texts = batch.column(0), batch.column(1), batch.column(2).to_pylist()
+            start, normal = 0, []
+            for k, data in enumerate(texts):
+                words, training = words_of(data), not helds[k].as_py()
+                seq = symbols(words, depth)
+                for part in grams(seq, depth):
+                    counts.add(part, training)
+                normal.append(b" ".join(words))
+                words.append(END)
+                if training:
+                    tokens.update(words)
+                else:
+                    for w in set(words):
+                        tokens.setdefault(w, 0)
+                size, length = size + len(words), length + len(seq)
+                if size >= BLOCK_TOKENS or length >= BLOCK_SYMBOLS:
+                    yield batch_of(k + 1 - start, id=ids.slice(start, k + 1 - start), held=helds.slice(start, k + 1 - start), text=normal)
+                    yield from keys_of_block()
+                    start, normal, tokens, counts, size, length, number = k + 1, [], Counter(), GramCounts(), 0, 0, number + 1
+            if normal:
+                yield batch_of(len(normal), id=ids.slice(start), held=helds.slice(start), text=normal)
+        if tokens:
+            yield from keys_of_block()
+
+    return rows.mapInArrow(emit, f"block bigint, id {kind}, held boolean, text binary, key bigint, n bigint")
+
+
+def gram_scores(counts: DataFrame, depth: int = 5, least_count: int = 50, least_divergence: float = 0.01, least_gain: float = 10.0,
+                prior: float = 20.0) -> DataFrame:
+    """(gram, value) for every row of `counts` (gram, n): log10 of the probability of a gram's last symbol after the others.
+
+    `n` is the number of the gram in training texts; grams to be scored that these lack have n = 0.  A context becomes a state if
+    it precedes at least `least_count` symbols and the divergence of its distribution from that of its longest proper suffix
+    is at least `least_divergence` nats and, times its count, at least `least_gain`; suffixes of states are states too.  None of
+    these tests depends on the size of the corpus.  Distributions are smoothed towards the suffix with the weight of
+    `prior` symbols, the root's by one count for each of 256 symbols.
+
+    A gram without its first symbol is the key of the same symbol after the suffix, so every step is an equi-join of
+    two levels; a context has at most 256 rows.
+    """
+    context = F.shiftright("gram", 8)
+    suffix = lambda k: F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1))
+    levels = {}
+    for k in range(depth, -1, -1):
+        own = counts if k == depth else levels[k + 1].groupBy(suffix(k + 1).alias("gram")).agg(F.sum("n").alias("n"))
+        levels[k] = stored(own.withColumn("all", F.sum("n").over(W.partitionBy(context))), f"grams-{k}")
+    states: dict[int, DataFrame] = {}
+    for k in range(depth, 0, -1):
+        own = levels[k].where((F.col("n") > 0) & (F.col("all") >= least_count)).withColumn("suffix", suffix(k))
+        below = levels[k - 1].select(F.col("gram").alias("suffix"), F.col("n").alias("m"), F.col("all").alias("whole"))
+        ratio = (F.col("n") / F.col("all")) / (F.col("m") / F.col("whole"))
+        gain = own.join(below, "suffix").groupBy(context.alias("context")).agg(F.sum(F.col("n") * F.ln(ratio)).alias("gain"), F.first("all").alias("all"))
+        chosen = gain.where((F.col("gain") >= least_gain) & (F.col("gain") >= F.col("all") * least_divergence)).select("context")
+        if k < depth:
+            longer = states[k + 1].select(F.col("context").bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("context"))
+            chosen = chosen.union(longer).distinct()
+        states[k] = stored(chosen, f"states-{k}")
+    chance = levels[0].select("gram", ((F.col("n") + 1) / (F.col("all") + 256)).alias("p"))
+    for k in range(1, depth + 1):
+        own = levels[k].select("gram", "n", "all", suffix(k).alias("suffix"), context.alias("context"))
+        own = own.join(chance.withColumnRenamed("gram", "suffix"), "suffix").join(states[k].withColumn("state", F.lit(True)), "context", "left")
+        chance = own.select("gram", F.when(F.col("state"), (F.col("n") + prior * F.col("p")) / (F.col("all") + prior)).otherwise(F.col("p")).alias("p"))
+    return chance.select("gram", F.log10("p").alias("value"))
 
-            def texts_so_far(stop: int) -> pa.RecordBatch:
-                part = {"block": np.full(stop - start, task + number), "id": ids.slice(start, stop - start), "held": helds[start:stop]}
-                return batch_of(part | out, stop - start)
 
-            for k, data in enumerate(texts):
-                words = words_of(data)
-                out["score"].append(tree.score(symbols(words, tree.depth)))
-                words.append(b"\xff")  # the end, counted as a token
-                numbers = np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words], np.int32)
-                if not helds[k]:
-                    train.append(numbers)
-                out["n_tokens"].append(len(words))
-                out["tokens"].append(np.diff(np.sort(numbers), prepend=np.int32(0)).tobytes())
-                size += len(words)
-                if size >= BLOCK_TOKENS:
-                    yield texts_so_far(k + 1)
-                    yield from tokens_of_block()
-                    start, out = k + 1, {c: [] for c in out}
-                    vocabulary, train, size, number = {}, [], 0, number + 1
-            if start < len(texts):
-                yield texts_so_far(len(texts))
-        if vocabulary:
-            yield from tokens_of_block()
-
-    return rows.mapInArrow(emit, schema)
-
-
-def score_texts(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text", **tree_options) -> DataFrame:
+def score_texts(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = 5, **tree_options) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of `docs`.
 
     The model learns from the rows where `held` is false (or null).  Tokens are the words (separated by ASCII white space, A-Z in lower
     case) and one end per text.  `base_score` sums log10((c + 1) / (N + V + 1)) over the tokens, with c the training count of
     a token, N of all tokens, V the number of distinct ones; `n_known` counts tokens with c > 0.  `score` is the log10
-    probability of the text under the suffix tree.  A null text is empty: one token, the end.  Rows may repeat; only the named
-    columns are read; without training rows N and V are 0.  An empty table gives an empty table.
+    probability of the text under the suffix tree (`gram_scores`; `depth` is 6 at most).  A null text is empty: one token, the end.
+    Rows may repeat; only the named columns are read; without training rows N and V are 0.  An empty table gives an empty table.
 
-    Token counts are looked up block by block: each block asks once for each distinct token, all requests for a token
-    meet in one shuffle, and the answers return to the block's texts, which travel as token numbers.
+    Texts are cut into blocks.  A block asks once for each distinct token and gram of its texts; the requests, summed over
+    the blocks, are the counts that the model learns from; they are joined with what it says, and the answers meet the block's texts.
     """
     spark = docs.sparkSession
-    held = F.coalesce(held, F.lit(False))
-    tree = learn_tree(docs.where(~held), text_col, **tree_options)
-    stored = result_folder(spark, "tokens")
-    _blocks(docs, tree, id_col, held, text_col).write.option("compression", "zstd").parquet(stored)
-    everything = spark.read.parquet(stored)
-    asked = everything.where(F.col("token").isNotNull()).select("block", "at", "token", "n")
-    same = W.partitionBy("token")
-    answered = asked.withColumn("c", F.sum("n").over(same)).withColumn("first", F.row_number().over(same.orderBy("block", "at")) == 1)
-    answers = result_folder(spark, "answers")
-    answered.select("block", "at", "n", "c", "first").write.option("compression", "zstd").parquet(answers)
-    answered = spark.read.parquet(answers)
-    n, v = answered.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("first") & (F.col("c") > 0), 1))).first()
-    texts = everything.where(F.col("token").isNull()).select("block", "id", "held", "score", "n_tokens", "tokens")
+    folder = result_folder(spark, "blocks")
+    _blocks(docs, id_col, F.coalesce(held, F.lit(False)), text_col, depth).write.option("compression", "zstd").parquet(folder)
+    asked = spark.read.parquet(folder).where(F.col("key").isNotNull()).select("block", "key", "n")
+    counts = stored(asked.groupBy("key").agg(F.sum("n").alias("n")), "counts")
+    tokens = counts.where(F.col("key") < 0)
+    n, v = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))).first()
+    scored = gram_scores(counts.where(F.col("key") >= 0).select(F.col("key").alias("gram"), "n"), depth, **tree_options)
+    values = stored(tokens.select("key", F.col("n").cast("double").alias("value")).union(scored.select(F.col("gram").alias("key"), "value")), "values")
+    answers = asked.select("block", "key").join(values, "key").select("block", "key", "value")
+    texts = spark.read.parquet(folder).where(F.col("key").isNull()).select("block", "id", "held", "text")
     kind = texts.schema["id"].dataType.simpleString()
 
     def look_up(left: pa.Table, right: pa.Table) -> pa.Table:
-        count = np.zeros(right.num_rows, np.int64)
-        count[right.column("at").to_numpy()] = right.column("c").to_numpy()
-        weight = np.log10(count + 1.0)
-        known, total = [], []
-        for tokens in left.column("tokens").to_pylist():
-            t = np.cumsum(np.frombuffer(tokens, np.int32))
-            known.append(int((count[t] > 0).sum()))
-            total.append(float(weight[t].sum()))
-        return pa.table({"id": left.column("id"), "held": left.column("held"), "n_tokens": left.column("n_tokens"), "n_known": pa.array(known, pa.int64()),
-                         "total": pa.array(total, pa.float64()), "score": left.column("score")})
-
-    answers_by_block = answered.select("block", "at", "c").groupBy("block")
-    done = texts.groupBy("block").cogroup(answers_by_block).applyInArrow(
+        keys, value = right.column("key").to_numpy(), right.column("value").to_numpy()
+        order = np.argsort(keys)
+        keys, value = keys[order], value[order]
+        vocabulary: dict[bytes, int] = {}
+        numbers, score = [], []
+        for data in left.column("text").to_pylist():
+            words = words_of(data)
+            total = 0.0
+            for part in grams(symbols(words, depth), depth):
+                seen, times = np.unique(part, return_counts=True)
+                total += float(times @ value[np.searchsorted(keys, seen)])
+            score.append(total)
+            words.append(END)
+            numbers.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words], np.int32))
+        count = value[np.searchsorted(keys, token_keys(list(vocabulary)))]
+        weight, seen = np.log10(count + 1), count > 0
+        return pa.table({
+            "id": left.column("id"), "held": left.column("held"), "n_tokens": pa.array([len(t) for t in numbers], pa.int64()),
+            "n_known": pa.array([int(seen[t].sum()) for t in numbers], pa.int64()), "total": pa.array([float(weight[t].sum()) for t in numbers], pa.float64()),
+            "score": pa.array(score, pa.float64())})
+
+    done = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         look_up, f"id {kind}, held boolean, n_tokens bigint, n_known bigint, total double, score double")
     base = F.col("total") - F.col("n_tokens") * F.lit(float(np.log10(n + v + 1)))
     return done.select(F.col("id").alias(id_col), F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(int(n)).cast("bigint").alias("train_tokens"),

@@ -408,7 +408,7 @@ def test_base_scores_equal_plain_version(spark, sf):
         assert r.score < 0
 
 
-def plain_tree(train, depth, share, divergence, gain, prior):
+def plain_tree(train, depth, least, divergence, gain, prior):
     """Contexts and distributions from dictionaries."""
     counts = collections.defaultdict(collections.Counter)
     for t in train:
@@ -420,7 +420,7 @@ def plain_tree(train, depth, share, divergence, gain, prior):
     chosen = set()
     for c, own in counts.items():
         n, up = sum(own.values()), counts[c[1:]]
-        if c and n >= max(1.0, share * total):
+        if c and n >= least:
             g = sum(x * math.log((x / n) / (up[s] / sum(up.values()))) for s, x in own.items())
             if g >= gain and g >= n * divergence:
                 chosen |= {c[k:] for k in range(len(c))}
@@ -447,8 +447,8 @@ def test_suffix_tree_equals_plain_version(spark):
     syllables = ["ba", "be", "na", "no", "ti", "ß", "É"]
     texts = [" ".join("".join(rng.choice(syllables[: 3 + k % 5]) for _ in range(rng.randrange(1, 4))) for _ in range(40)) for k in range(30)] + ["", None, "Q"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
-    options = dict(depth=3, least_share=0.002, least_divergence=0.01, least_gain=3.0, prior=5.0)
-    score = plain_tree([(t or "").encode() for i, t in enumerate(texts) if i % 3], 3, 0.002, 0.01, 3.0, 5.0)
+    options = dict(depth=3, least_count=10, least_divergence=0.01, least_gain=3.0, prior=5.0)
+    score = plain_tree([(t or "").encode() for i, t in enumerate(texts) if i % 3], 3, 10, 0.01, 3.0, 5.0)
     rows = suffix_tree_lm.score_texts(df, F.col("doc_id") % 3 == 0, **options).collect()
     assert len(rows) == len(texts)
     for r in rows:
@@ -456,10 +456,38 @@ def test_suffix_tree_equals_plain_version(spark):
 
 
 def test_tree_probabilities_sum_to_one(spark):
-    df = spark.createDataFrame([(1, "abracadabra " * 50)], "doc_id bigint, text string")
-    tree = suffix_tree_lm.learn_tree(df, depth=3, least_share=0.001)
-    unseen = 256 - (tree.log10.shape[1] - 1)
-    assert np.allclose((10.0 ** tree.log10[:, :-1]).sum(1) + unseen * 10.0 ** tree.log10[:, -1], 1, atol=1e-4) and len(tree.log10) > 3
+    seq = suffix_tree_lm.symbols(b"abracadabra".split() * 50, 3)
+    seen = collections.Counter(np.concatenate(list(suffix_tree_lm.grams(seq, 3))).tolist())
+    contexts = {g >> 8 for g in seen} | {0x787878}  # one that no text has
+    rows = [(c << 8 | s, seen[c << 8 | s]) for c in contexts for s in range(256)]
+    scored = suffix_tree_lm.gram_scores(spark.createDataFrame(rows, "gram bigint, n bigint"), depth=3, least_count=5).collect()
+    assert len(scored) == len(rows)
+    total = collections.Counter()
+    for r in scored:
+        total[r.gram >> 8] += 10**r.value
+    assert all(t == pytest.approx(1) for t in total.values()) and len({round(r.value, 6) for r in scored}) > 10
+
+
+def test_a_small_language_keeps_its_scores_as_the_rest_grows(spark):
+    rng = random.Random(3)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(4))
+    own = [" ".join(rng.choice([word("abc") for _ in range(9)]) for _ in range(60)) for _ in range(8)]
+    other = [" ".join(word("vwxyz") for _ in range(60)) for _ in range(8)]
+    scores = []
+    for copies in (1, 4, 16):
+        df = spark.createDataFrame(list(enumerate(own + other * copies)), "doc_id bigint, text string")
+        rows = suffix_tree_lm.score_texts(df, F.lit(False), least_count=20).where("doc_id < 8").agg(F.sum("score")).first()
+        scores.append(rows[0])
+    assert scores[2] > 1.1 * scores[0]  # log probabilities: at most a tenth worse
+
+
+def test_blocks_of_any_size_give_the_same_scores(spark, sf, monkeypatch):
+    docs = table(spark, sf, "documents").limit(200)
+    whole = {r.doc_id: r for r in suffix_tree_lm.score_texts(docs, F.col("doc_id") % 7 == 2).collect()}
+    monkeypatch.setattr(suffix_tree_lm, "BLOCK_TOKENS", 500)
+    monkeypatch.setattr(suffix_tree_lm, "CHUNK", 700)
+    for r in suffix_tree_lm.score_texts(docs, F.col("doc_id") % 7 == 2).collect():
+        assert r[:5] == whole[r.doc_id][:5] and r.score == pytest.approx(whole[r.doc_id].score) and r.base_score == pytest.approx(whole[r.doc_id].base_score)
 
 
 # odd tables, and the pipeline
