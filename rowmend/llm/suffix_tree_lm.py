@@ -25,6 +25,9 @@ from .common import stored, text_bytes
 BOUNDARY = 255  # never part of UTF-8: stands before the first symbol and after the last
 END = b"\xff"  # the end of a text, counted as a token
 CHUNK = 2_000_000  # symbols that a task holds as grams before it reduces them
+SHORT = 2  # symbols of a context that is short
+TASK_GRAMS = 300_000  # grams that a task works on at once, beside those of one shard
+HOT_KEYS = 1_000_000  # tokens and grams that most blocks ask for: their answers are sent to all tasks instead of once a block
 BLOCK_TOKENS, BLOCK_SYMBOLS = 3_000_000, 20_000_000  # a block of texts that asks once for what its texts share ends with one of these
 
 
@@ -140,6 +143,70 @@ def _blocks(docs: DataFrame, id_col: str, held: Column, text_col: str, depth: in
     return rows.mapInArrow(emit, f"block bigint, id {kind}, held boolean, text binary, key bigint, n bigint")
 
 
+def long_contexts(rows: DataFrame, depth: int, least_count: int, least_divergence: float, least_gain: float, prior: float) -> DataFrame:
+    """(gram, a, b, deep): the probability of a gram is a + b times that of the same symbol after its last SHORT symbols; `deep`
+    if the context of SHORT + 1 symbols is a state.  `rows` has (gram, n, m, whole), m and whole the counts of the gram's last
+    SHORT + 1 symbols and of the SHORT before the last.
+
+    Contexts with the same last SHORT + 1 symbols and their suffixes down to these stand in one task, so one shuffle does for
+    all lengths; that are at most 256^3 grams of depth 5, whatever the corpus.
+    """
+
+    def learn(gram: np.ndarray, n: np.ndarray, m: np.ndarray, whole: np.ndarray) -> tuple:
+        low = lambda x, k: x & np.int64((1 << 8 * k) - 1)
+        keys, count, at = {depth: gram}, {depth: n}, {}
+        for k in range(depth, SHORT + 1, -1):
+            keys[k - 1], at[k] = np.unique(low(keys[k], k), return_inverse=True)
+            count[k - 1] = np.bincount(at[k], count[k].astype(float), len(keys[k - 1]))
+        first = np.unique(low(gram, SHORT + 2), return_index=True)[1]
+        run, total, chosen, contexts = {}, {}, {}, {}
+        for k in range(SHORT + 1, depth + 1):
+            contexts[k], run[k] = np.unique(keys[k] >> 8, return_inverse=True)
+            sums = np.bincount(run[k], count[k], len(contexts[k]))
+            total[k] = sums[run[k]]
+            up, above = (m[first], whole[first]) if k == SHORT + 1 else (count[k - 1][at[k]], total[k - 1][at[k]])
+            seen = count[k] > 0
+            ratio = np.log(count[k][seen] / total[k][seen] * above[seen] / up[seen])
+            gain = np.bincount(run[k][seen], count[k][seen] * ratio, len(contexts[k]))
+            chosen[k] = (sums > 0) & (sums >= least_count) & (gain >= least_gain) & (gain >= sums * least_divergence)
+        for k in range(depth, SHORT + 1, -1):
+            chosen[k - 1][np.searchsorted(contexts[k - 1], low(contexts[k][chosen[k]], k - 1))] = True
+        a, b = np.zeros(len(keys[SHORT + 1])), np.ones(len(keys[SHORT + 1]))
+        deep = chosen[SHORT + 1][run[SHORT + 1]]
+        for k in range(SHORT + 1, depth + 1):
+            if k > SHORT + 1:
+                a, b, deep = a[at[k]], b[at[k]], deep[at[k]]
+            state = chosen[k][run[k]]
+            a = np.where(state, (count[k] + prior * a) / (total[k] + prior), a)
+            b = np.where(state, prior * b / (total[k] + prior), b)
+        return gram, a, b, deep
+
+    def in_tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(table: pa.Table) -> pa.RecordBatch:
+            gram, n, m, whole = (table.column(c).to_numpy() for c in ("gram", "n", "m", "whole"))
+            order = np.argsort(gram)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in learn(*(x[order] for x in (gram, n.astype(float), m, whole)))], ["gram", "a", "b", "deep"])
+
+        waiting, size = [], 0
+        for batch in batches:
+            waiting.append(batch)
+            size += batch.num_rows
+            if size >= TASK_GRAMS:  # all but the last shard are whole
+                table = pa.Table.from_batches(waiting)
+                shard = table.column("shard").to_numpy()
+                cut = int(np.searchsorted(shard, shard[-1]))
+                if cut:
+                    yield done(table.slice(0, cut))
+                waiting = table.slice(cut).to_batches()
+                size = size - cut if cut else 0
+        if waiting:
+            yield done(pa.Table.from_batches(waiting))
+
+    shard = F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 8 * (SHORT + 1)) - 1))
+    dealt = rows.select(shard.alias("shard"), "gram", "n", "m", "whole").repartition("shard").sortWithinPartitions("shard")
+    return dealt.mapInArrow(in_tasks, "gram bigint, a double, b double, deep boolean")
+
+
 def gram_scores(counts: DataFrame, depth: int = 5, least_count: int = 50, least_divergence: float = 0.01, least_gain: float = 10.0,
                 prior: float = 20.0) -> DataFrame:
     """(gram, value) for every row of `counts` (gram, n): log10 of the probability of a gram's last symbol after the others.
@@ -150,32 +217,37 @@ def gram_scores(counts: DataFrame, depth: int = 5, least_count: int = 50, least_
     these tests depends on the size of the corpus.  Distributions are smoothed towards the suffix with the weight of
     `prior` symbols, the root's by one count for each of 256 symbols.
 
-    A gram without its first symbol is the key of the same symbol after the suffix, so every step is an equi-join of
-    two levels; a context has at most 256 rows.
+    A gram without its first symbol is the key of the same symbol after the suffix.  Contexts of up to SHORT symbols have
+    few grams, and every step is an equi-join of two lengths; `long_contexts` does the others.
     """
+    if not SHORT < depth <= 6:
+        raise ValueError(f"depth must be {SHORT + 1} to 6")
     context = F.shiftright("gram", 8)
     suffix = lambda k: F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1))
     levels = {}
-    for k in range(depth, -1, -1):
-        own = counts if k == depth else levels[k + 1].groupBy(suffix(k + 1).alias("gram")).agg(F.sum("n").alias("n"))
+    for k in range(SHORT, -1, -1):
+        own = (counts if k == SHORT else levels[k + 1]).groupBy(suffix(k + 1).alias("gram")).agg(F.sum("n").alias("n"))
         levels[k] = stored(own.withColumn("all", F.sum("n").over(W.partitionBy(context))), f"grams-{k}")
+    of = levels[SHORT].select(F.col("gram").alias("tail"), F.col("n").cast("double").alias("m"), F.col("all").cast("double").alias("whole"))
+    rows = counts.select("gram", "n", suffix(SHORT + 1).alias("tail")).join(of, "tail")
+    linear = stored(long_contexts(rows, depth, least_count, least_divergence, least_gain, prior), "long-contexts")
+    longer = linear.where("deep").select(context.bitwiseAND(F.lit((1 << 8 * SHORT) - 1)).alias("context"))
     states: dict[int, DataFrame] = {}
-    for k in range(depth, 0, -1):
+    for k in range(SHORT, 0, -1):
         own = levels[k].where((F.col("n") > 0) & (F.col("all") >= least_count)).withColumn("suffix", suffix(k))
         below = levels[k - 1].select(F.col("gram").alias("suffix"), F.col("n").alias("m"), F.col("all").alias("whole"))
         ratio = (F.col("n") / F.col("all")) / (F.col("m") / F.col("whole"))
         gain = own.join(below, "suffix").groupBy(context.alias("context")).agg(F.sum(F.col("n") * F.ln(ratio)).alias("gain"), F.first("all").alias("all"))
         chosen = gain.where((F.col("gain") >= least_gain) & (F.col("gain") >= F.col("all") * least_divergence)).select("context")
-        if k < depth:
-            longer = states[k + 1].select(F.col("context").bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("context"))
-            chosen = chosen.union(longer).distinct()
-        states[k] = stored(chosen, f"states-{k}")
+        states[k] = stored(chosen.union(longer).distinct(), f"states-{k}")
+        longer = states[k].select(F.col("context").bitwiseAND(F.lit((1 << 8 * (k - 1)) - 1)).alias("context"))
     chance = levels[0].select("gram", ((F.col("n") + 1) / (F.col("all") + 256)).alias("p"))
-    for k in range(1, depth + 1):
+    for k in range(1, SHORT + 1):
         own = levels[k].select("gram", "n", "all", suffix(k).alias("suffix"), context.alias("context"))
         own = own.join(chance.withColumnRenamed("gram", "suffix"), "suffix").join(states[k].withColumn("state", F.lit(True)), "context", "left")
         chance = own.select("gram", F.when(F.col("state"), (F.col("n") + prior * F.col("p")) / (F.col("all") + prior)).otherwise(F.col("p")).alias("p"))
-    return chance.select("gram", F.log10("p").alias("value"))
+    chance = stored(chance.withColumnRenamed("gram", "tail"), "short-contexts")
+    return linear.select("gram", "a", "b", suffix(SHORT + 1).alias("tail")).join(chance, "tail").select("gram", F.log10(F.col("a") + F.col("b") * F.col("p")).alias("value"))
 
 
 def score_texts(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = 5, **tree_options) -> DataFrame:
@@ -189,22 +261,31 @@ def score_texts(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col:
 
     Texts are cut into blocks.  A block asks once for each distinct token and gram of its texts; the requests, summed over
     the blocks, are the counts that the model learns from; they are joined with what it says, and the answers meet the block's texts.
+    Answers that most blocks want, at most HOT_KEYS, are sent to all tasks; that changes only the cost.
     """
     spark = docs.sparkSession
     folder = result_folder(spark, "blocks")
     _blocks(docs, id_col, F.coalesce(held, F.lit(False)), text_col, depth).write.option("compression", "zstd").parquet(folder)
     asked = spark.read.parquet(folder).where(F.col("key").isNotNull()).select("block", "key", "n")
-    counts = stored(asked.groupBy("key").agg(F.sum("n").alias("n")), "counts")
+    counts = stored(asked.groupBy("key").agg(F.sum("n").alias("n"), F.floor(F.log2(F.count("*")) * 16).cast("int").alias("often")), "counts")
     tokens = counts.where(F.col("key") < 0)
     n, v = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))).first()
     scored = gram_scores(counts.where(F.col("key") >= 0).select(F.col("key").alias("gram"), "n"), depth, **tree_options)
     values = stored(tokens.select("key", F.col("n").cast("double").alias("value")).union(scored.select(F.col("gram").alias("key"), "value")), "values")
-    answers = asked.select("block", "key").join(values, "key").select("block", "key", "value")
+    hot, least = 0, 1 << 30
+    for often, keys in counts.where("often > 0").groupBy("often").count().orderBy(F.desc("often")).collect():  # 16 rows for each doubling of the blocks
+        if hot + keys > HOT_KEYS:
+            break
+        hot, least = hot + keys, often
+    hot_keys = F.broadcast(counts.where(F.col("often") >= least).select("key"))  # at most HOT_KEYS rows
+    known = values.join(hot_keys, "key", "left_semi").sort("key").toArrow()
+    sent = spark.sparkContext.broadcast((known.column("key").to_numpy(), known.column("value").to_numpy()))
+    answers = asked.select("block", "key").join(hot_keys, "key", "left_anti").join(values, "key").select("block", "key", "value")
     texts = spark.read.parquet(folder).where(F.col("key").isNull()).select("block", "id", "held", "text")
     kind = texts.schema["id"].dataType.simpleString()
 
     def look_up(left: pa.Table, right: pa.Table) -> pa.Table:
-        keys, value = right.column("key").to_numpy(), right.column("value").to_numpy()
+        keys, value = (np.concatenate([a, right.column(c).to_numpy()]) for a, c in zip(sent.value, ("key", "value")))
         order = np.argsort(keys)
         keys, value = keys[order], value[order]
         vocabulary: dict[bytes, int] = {}

@@ -447,8 +447,8 @@ def test_suffix_tree_equals_plain_version(spark):
     syllables = ["ba", "be", "na", "no", "ti", "ß", "É"]
     texts = [" ".join("".join(rng.choice(syllables[: 3 + k % 5]) for _ in range(rng.randrange(1, 4))) for _ in range(40)) for k in range(30)] + ["", None, "Q"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
-    options = dict(depth=3, least_count=10, least_divergence=0.01, least_gain=3.0, prior=5.0)
-    score = plain_tree([(t or "").encode() for i, t in enumerate(texts) if i % 3], 3, 10, 0.01, 3.0, 5.0)
+    options = dict(depth=4, least_count=10, least_divergence=0.01, least_gain=3.0, prior=5.0)
+    score = plain_tree([(t or "").encode() for i, t in enumerate(texts) if i % 3], 4, 10, 0.01, 3.0, 5.0)
     rows = suffix_tree_lm.score_texts(df, F.col("doc_id") % 3 == 0, **options).collect()
     assert len(rows) == len(texts)
     for r in rows:
@@ -486,6 +486,8 @@ def test_blocks_of_any_size_give_the_same_scores(spark, sf, monkeypatch):
     whole = {r.doc_id: r for r in suffix_tree_lm.score_texts(docs, F.col("doc_id") % 7 == 2).collect()}
     monkeypatch.setattr(suffix_tree_lm, "BLOCK_TOKENS", 500)
     monkeypatch.setattr(suffix_tree_lm, "CHUNK", 700)
+    monkeypatch.setattr(suffix_tree_lm, "TASK_GRAMS", 100)
+    monkeypatch.setattr(suffix_tree_lm, "HOT_KEYS", 1000)
     for r in suffix_tree_lm.score_texts(docs, F.col("doc_id") % 7 == 2).collect():
         assert r[:5] == whole[r.doc_id][:5] and r.score == pytest.approx(whole[r.doc_id].score) and r.base_score == pytest.approx(whole[r.doc_id].base_score)
 
