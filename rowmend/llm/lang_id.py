@@ -14,6 +14,7 @@ from .common import row_udf, with_result
 BITS = 14
 FEATURES = 1 << BITS
 ORDERS = 3
+PARTS = 64  # into which the labelled rows of a language are dealt before the least hashes are taken
 UNKNOWN = "und"
 SCHEMA = "lang_pred string, nearest string, score double, similarity double, rejected boolean"
 _MULTIPLIERS = np.array([2654435761, 2246822519, 3266489917], np.uint32)
@@ -78,19 +79,24 @@ def cluster(vectors: np.ndarray, k: int, rounds: int = 25) -> tuple[np.ndarray,
 
 def fit(docs: DataFrame, train: Column, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id",
         clusters: int = 3, per_language: int = 400, max_rows: int = 2000, tail: float = 0.005, slack: float = 0.6) -> Model:
-    """Centroids from a bounded sample: per language the `per_language` rows with the smallest keyed hash, `max_rows` in all
-    (languages in order of their name).  Only n-gram counts, at most 16,384 numbers a row, reach the driver.
+    """Centroids from a bounded sample: per language the `per_language` rows with the smallest hash of their key (of their text if
+    the key is null), `max_rows` in all (languages in order of their name).  Rows of a language with one key, or without a key and with one text, count as one, the
+    least text.  Only n-gram counts, at most 16,384 numbers a row, reach the driver.
 
     Each centroid rejects texts whose similarity is below `slack` times the `tail` quantile of its own members.  Rows with a
     null language, a null text or no letter teach nothing.  Columns other than the three named are not read.
     """
     known = docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    keyed = known.select(F.col(key_col).alias("k"), F.col(lang_col).alias("l"), F.xxhash64(F.lit(5), F.col(key_col)).alias("h"))
-    place = F.row_number().over(W.partitionBy("l").orderBy("h", "k"))
-    picked = keyed.withColumn("r", place).where(F.col("r") <= per_language).orderBy("r", "l").limit(max_rows)
-    ids = picked.select("k", "l").distinct()
-    rows = known.select(F.col(key_col).alias("k"), F.col(lang_col).alias("l"), F.col(text_col).alias("t"))
-    rows = rows.join(F.broadcast(ids), rows.k.eqNullSafe(ids.k) & (rows.l == ids.l), "left_semi")  # at most max_rows ids
+    key = F.col(key_col)
+    hashed = F.when(key.isNull(), F.xxhash64(F.lit(5), F.col(text_col))).otherwise(F.xxhash64(F.lit(5), key))
+    keyed = known.select(F.col(lang_col).alias("l"), hashed.alias("h"))
+    place = lambda *of: F.row_number().over(W.partitionBy(*of).orderBy("h"))
+    part = F.pmod("h", F.lit(PARTS)).alias("part")
+    least = keyed.select("l", "h", part).distinct().withColumn("r", place("l", "part")).where(F.col("r") <= per_language)
+    picked = least.withColumn("r", place("l")).where(F.col("r") <= per_language).orderBy("r", "l").limit(max_rows).select("h", "l")
+    rows = known.select(key.alias("k"), F.col(lang_col).alias("l"), F.col(text_col).alias("t"), hashed.alias("h"))
+    rows = rows.join(F.broadcast(picked), ["h", "l"], "left_semi")  # at most max_rows
+    rows = rows.groupBy("l", "h").agg(F.min(F.struct("k", "t")).alias("row")).select("l", "h", "row.*")
 
     def counts(texts):
         letters = cache.setdefault("letters", letter_table()) if "letters" not in cache else cache["letters"]
@@ -104,7 +110,7 @@ def fit(docs: DataFrame, train: Column, text_col: str = "text", lang_col: str =
 
     cache: dict = {}
     found = with_result(rows, row_udf(counts, "at array<int>, n array<int>")(F.col("t")), ["at", "n"])
-    first = found.where(F.size("at") > 0).select("l", "k", "at", "n").orderBy("k", "l").limit(2 * max_rows).collect()
+    first = found.where(F.size("at") > 0).select("l", "k", "h", "at", "n").orderBy("k", "l", "h").collect()
     if not first:
         return Model()
     df = np.zeros(FEATURES)

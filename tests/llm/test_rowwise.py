@@ -127,6 +127,16 @@ def test_far_texts_are_rejected(spark, sf):
     assert lang_id.fit(docs.limit(0), F.lit(True)).languages == []
 
 
+def test_rows_without_ids_displace_no_language(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "text")
+    languages = set(lang_id.fit(docs, F.lit(True)).languages)
+    text = docs.where("lang = 'en'").first()["text"]
+    many = spark.range(5000).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit("en").alias("lang"), F.concat(F.lit(text), F.col("id").cast("string")).alias("text"))
+    again = spark.range(5000).select(F.lit(1).cast("bigint").alias("doc_id"), F.lit("en").alias("lang"), F.lit(text).alias("text"))
+    for more in (many, again):
+        assert set(lang_id.fit(docs.union(more), F.lit(True)).languages) == languages and len(languages) > 1
+
+
 def test_quality_is_found_on_held_out_labels(spark, sf):
     labels = {r["doc_id"]: r["quality"] for r in table(spark, sf, "labels").collect()}
     rows = queries.op9_quality_classifier(spark, sf).collect()
