@@ -1,6 +1,7 @@
 """The loop shared by all algorithms: row-local statistics on the executors, a V x V step on the driver.
 
-An algorithm never changes the stored table.  Stateless ones (least squares, EM, variational) recompute everything from a
+Where the rows have few patterns of missing cells, one pass sums them by pattern and the iterations need no further one
+(see `patterns`).  The rest of this text is about tables with too many patterns.  An algorithm never changes the stored table.  Stateless ones (least squares, EM, variational) recompute everything from a
 row's observed cells and the current parameters.  The others have per-row state that is itself a function of the row and
 the parameters of earlier iterations, so the executors replay those few small matrix products instead of reading a
 rewritten table; after REPLAY_LIMIT iterations the state is stored once through a checkpoint and the replay starts afresh.
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame
 
 from ...session import cut_lineage
 from ..matrix import check_driver_size, row_map, sum_stats
+from .patterns import Pattern, filled_rows, iteration_sums
 
 REPLAY_LIMIT = 24
 
@@ -116,6 +118,8 @@ class Fit:
     row_id: str = "row_id"
     links: object | None = None  # of an algorithm that borrows: its packed table and who borrows from whom
     rows: dict[tuple, int] = field(default_factory=dict)  # by group
+    patterns: dict[tuple, dict[int, Pattern]] | None = None  # points that stand for the rows; None: iterate over the rows
+    replayed: dict[tuple, tuple] = field(default_factory=dict)  # by group: steps taken with the points, their state
 
     def blocks(self) -> dict[str, list[str]]:
         blocks = {"x": list(self.variables)}
@@ -165,7 +169,7 @@ def fit(state: Fit, max_iter: int = 1000, round_no: int = 1, groups: set | None
     for it in range(max_iter):
         if not active:
             break
-        if algorithm.n_state and max(len(state.params[k]["history"]) for k in active) >= REPLAY_LIMIT:
+        if algorithm.n_state and state.patterns is None and max(len(state.params[k]["history"]) for k in active) >= REPLAY_LIMIT:
             store_state(state)
         sums = _iteration_sums(state, active)
         check_driver_size(len(sums), max((len(v) for v in sums.values()), default=0))
@@ -185,6 +189,8 @@ def _iteration_sums(state: Fit, active: set) -> dict[tuple, np.ndarray]:
     algorithm = state.algorithm
     if algorithm.borrows:
         return algorithm.iterate(state, active)
+    if state.patterns is not None:
+        return iteration_sums(state, active)
     sent = _light(state)
     sent.params = {k: state.params[k] for k in active}
 
@@ -203,6 +209,8 @@ def fitted_values(state: Fit, prefix: str = "") -> DataFrame:
     keep = [c for c in state.df.columns if not c.startswith("__")]
     if algorithm.borrows:
         return algorithm.filled(state).select(*keep)
+    if state.patterns is not None:
+        return filled_rows(state).select(*keep)
     sent = _light(state)
 
     def filled(key, x, z=None, **old):

@@ -14,6 +14,7 @@ from ..operators.components import argmin_rmsecv_by_group, choose_components, pr
 from ..operators.gaps import ORDER, impute, impute_mean
 from ..operators.impute import ALGORITHMS, Fit, fit, fitted_values
 from ..operators.impute.engine import Context
+from ..operators.impute.patterns import Pattern, summarise
 from ..operators.keyed import join_groups
 from ..operators.matrix import check_driver_size, row_map, sum_stats
 from ..operators.moments import fold_moments, with_folds
@@ -105,6 +106,14 @@ class Start:
     copies: list[str]
     scale: dict
     contexts: dict[tuple, Context]
+    patterns: dict[tuple, dict[int, Pattern]] | None = None
+    summarised: bool = False
+
+    def summary(self, variables: Sequence[str], group_cols: Sequence[str] = ()) -> dict[tuple, dict[int, Pattern]] | None:
+        """The rows by pattern of missing cells, from one pass for all algorithms that share this table."""
+        if not self.summarised:
+            self.patterns, self.summarised = summarise(self.table, variables, self.copies, self.scale, group_cols), True
+        return self.patterns
 
 
 def prepare(df: DataFrame, variables: Sequence[str], prefill: str, components: int | dict, order: Sequence[str] = ORDER,
@@ -155,6 +164,8 @@ def fill_missing(df: DataFrame, variables: Sequence[str], algorithm: str, compon
                 rows={k: c.n for k, c in ctx.items()})
     if method.borrows:
         state.links = method.layout(state, order, seed, max_rows)
+    else:
+        state.patterns = start.summary(variables, group_cols)
     chosen = {k: c.a for k, c in ctx.items()}
     proposals: dict[tuple, list[int]] = {k: [] for k in ctx}
     open_groups = set(ctx)
@@ -224,9 +235,11 @@ def fill_als(df: DataFrame, variables: Sequence[str], components: int | dict, ca
         raise ValueError(f"the table has a column {CANDIDATE}")
     start = start or prepare(df, variables, prefill or PREFILL["ALS"], components, order, group_cols, seed, max_rows)
     numbers = range(candidates)
+    patterns = start.summary(variables, group_cols)
     each = F.explode(F.array(*[F.lit(c) for c in numbers])).alias(CANDIDATE)
     many = Start(start.table.select("*", each), start.copies, {(*k, c): s for k, s in start.scale.items() for c in numbers},
-                 {(*k, c): replace(x, candidate=c) for k, x in start.contexts.items() for c in numbers})
+                 {(*k, c): replace(x, candidate=c) for k, x in start.contexts.items() for c in numbers},
+                 None if patterns is None else {(*k, c): p for k, p in patterns.items() for c in numbers}, True)
     number = {k: x.a for k, x in many.contexts.items()}
     result = fill_missing(df, variables, "ALS", number, max_rounds=0, order=order, group_cols=[*group_cols, CANDIDATE], seed=seed,
                           max_rows=max_rows, start=many, **options)
