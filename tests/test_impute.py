@@ -238,3 +238,18 @@ def test_donor_augmentation_beats_the_mean(data):
     filled = fill_missing(data[2], COLS, "PCADA", 2, prefill="mean", max_iter=5, max_rounds=0)
     mean = back(fill_missing(data[2], COLS, "MI", 2).df, COLS)
     assert error(back(filled.df, COLS), data[0], data[1]) < 0.6 * error(mean, data[0], data[1])
+
+
+def test_packed_donors_take_two_bytes_and_the_state_is_as_large_as_its_cells(data, monkeypatch):
+    from rowmend.plans import fill as plan
+
+    fitted, original = [], plan.fitted_values
+    monkeypatch.setattr(plan, "fitted_values", lambda state: fitted.append(state) or original(state))
+    fill_missing(data[2], COLS, "PCADA", 2, max_iter=6, max_rounds=0, copies=5)
+    links, cells = fitted[0].links, int(np.isnan(data[1]).sum())
+    rows = links.static.select("src", "to").collect()
+    assert sum(len(r["src"]) for r in rows) == 2 * 5 * cells
+    assert sum(len(t["idx"]) for r in rows for t in r["to"] or ()) <= 2 * 5 * cells + 4 * V * len(rows) ** 2
+    assert sum(len(r["s"]) for r in links.state.select("s").collect()) == 8 * cells
+    size = int(links.state._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    assert size < 100 * 8 * cells + 100_000  # Spark's estimate squared with every iteration when it was taken from the plan
