@@ -3,6 +3,8 @@ from pyspark.sql import functions as F
 
 from rowmend.operators import keyed, moments, outliers
 from rowmend.operators.moments import fold_names, pack_folds, unpack_folds, with_folds
+from rowmend.operators.inject import MISS_TYPES
+from rowmend.plans.grid import experiment_grid
 
 from .helpers import holes, low_rank, names, to_spark
 
@@ -42,3 +44,13 @@ def test_outlier_rounds_draw_the_folds_once(spark, monkeypatch):
     found = outliers.detect_outliers(to_spark(spark, x), names(5), num_repeat=2)
     assert len(found.trace) > 1 and len(drawn) == 1  # one for each round before
     assert not [c for c in found.labelled.columns if c.startswith("__")]
+
+
+def test_the_grid_keeps_no_table_of_an_earlier_algorithm(spark):
+    truth = to_spark(spark, low_rank(200, 4, 2, 0.1))
+    tables = spark.sparkContext._jsc.getPersistentRDDs
+    before = len(tables())
+    options = {"sims": 1, "miss_types": [min(MISS_TYPES)], "components": 1, "with_time": False, "max_iter": 2, "max_rounds": 0, "tol": 0.05}
+    found = experiment_grid(truth, names(4), algorithms=["MI", "PPCA", "BPCA"], **options)
+    assert {r["algorithm"] for r in found.collect()} == {"MI", "PPCA", "BPCA"}
+    assert len(tables()) <= before + 1  # the damaged table; it was two more for each algorithm
