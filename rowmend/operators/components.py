@@ -131,10 +131,11 @@ def cross_validate_pca(df: DataFrame, variables: Sequence[str], a: int | None =
 
 
 def argmin_rmsecv_by_group(df: DataFrame, variables: Sequence[str], n_splits: int = 7, seed: int = 11, row_id: str = "row_id",
-                           group_cols: Sequence[str] = ()) -> dict[tuple, int]:
-    """Per group the number of components with the smallest RMSECV among the first 80 % of the possible ones; one pass for all."""
+                           group_cols: Sequence[str] = (), found: dict | None = None) -> dict[tuple, int]:
+    """Per group the number of components with the smallest RMSECV among the first 80 % of the possible ones; one pass for all,
+    which is skipped if the moments of the folds are given."""
     upper = max(1, round(0.8 * len(variables)))
-    found = fold_moments(with_folds(df, n_splits, 1, seed, row_id), variables, n_splits, 1, group_cols)
+    found = found or fold_moments(with_folds(df, n_splits, 1, seed, row_id), variables, n_splits, 1, group_cols)
     return {k: int(press_matrix(total, folds, n_splits, upper, ddof=0).sum(axis=1).argmin()) + 1 for k, (total, folds) in found.items()}
 
 

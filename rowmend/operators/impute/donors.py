@@ -10,10 +10,10 @@ What is kept between iterations is the values of the missing cells.
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -29,15 +29,27 @@ from ..matrix import _floats, check_driver_size, group_rows
 from ..ordering import with_position
 from .engine import Algorithm, Fit, _light
 
-BLOCK_ROWS = 20_000  # rows of a block at most; a task holds a block and what it borrows
+BLOCK_ROWS = 60_000  # rows of a block at most; a task holds a block and what it borrows
 LEAST_ROWS = 500  # a small table is cut into blocks for all cores, but not into smaller ones
 
 
 def draws(prefix: str, name: str, copies: int, n: int) -> np.ndarray:
     """Numbers below n of the donors of one cell; a digest of (seed, groups, row, variable, pair of copies) holds two."""
-    text = "".join(hashlib.md5(f"{prefix}|{name}|{k}".encode()).hexdigest() for k in range((copies + 1) // 2))
-    words = np.frombuffer(bytes.fromhex(text), ">u4").reshape(-1, 2) / 4294967296.0
-    return np.floor((words[:, 0] + words[:, 1] / 4294967296.0) * n).astype(np.int64)[:copies]
+    return draws_of([f"{prefix}|{name}"], copies, n)[0]
+
+
+def draws_of(cells: Sequence[str], copies: int, n: int) -> np.ndarray:
+    """The draws of many cells of one variable, a row each."""
+    ends = [f"|{k}".encode() for k in range((copies + 1) // 2)]
+    out = np.empty((len(cells), copies), np.int64)
+    for at in range(0, len(cells), 4096):
+        digests = []
+        for cell in cells[at:at + 4096]:
+            start = cell.encode()
+            digests += [md5(start + end).digest() for end in ends]
+        words = np.frombuffer(b"".join(digests), ">u4").reshape(-1, 2 * len(ends), 2) / 4294967296.0
+        out[at:at + 4096] = np.floor((words[..., 0] + words[..., 1] / 4294967296.0) * n)[:, :copies]
+    return out
 
 
 @dataclass
@@ -79,6 +91,22 @@ def _lent(cells: np.ndarray, starts: np.ndarray, idx: bytes, narrow: type) -> np
     return cells[np.repeat(starts, counts) + np.frombuffer(idx, narrow, offset=4 * v)]
 
 
+def _grams(base: np.ndarray, missing: np.ndarray, borrowed: np.ndarray) -> np.ndarray:
+    """Gram matrix of every copy of a block, which differs from the base on missing cells only: G_k = G + D_k'B + B'D_k + D_k'D_k."""
+    v = base.shape[1]
+    cross, both = np.zeros((2, borrowed.shape[1], v, v))
+    ends = np.cumsum(missing.sum(axis=0))
+    place = np.cumsum(missing, axis=0) - 1  # of a cell among those of its variable
+    part = np.split(borrowed, ends[:-1])
+    for i in range(v):
+        cross[:, i] = part[i].T @ base[missing[:, i]]
+        both[:, i, i] = np.einsum("nk,nk->k", part[i], part[i])
+        for j in range(i):
+            rows = np.flatnonzero(missing[:, i] & missing[:, j])
+            both[:, i, j] = both[:, j, i] = np.einsum("nk,nk->k", part[i][place[rows, i]], part[j][place[rows, j]])
+    return base.T @ base + cross + cross.transpose(0, 2, 1) + both
+
+
 def pack(fit: Fit, order: Sequence[str], copies: int, seed: int, max_rows: int | None = None) -> Blocks:
     """Cut the table into blocks and draw the donors, once per fit.
 
@@ -127,14 +155,13 @@ def pack(fit: Fit, order: Sequence[str], copies: int, seed: int, max_rows: int |
         own, end = per_block[key], ends[key]
         prefix = part.column("__name").to_pylist()
         var, row = np.nonzero(missing.T)
-        wanted = [draws(prefix[r], variables[j], copies, int(end[-1, j])) for r, j in zip(row.tolist(), var.tolist())]
-        drawn = np.array(wanted, np.int64).reshape(len(row), copies)
-        src = np.empty_like(drawn)
-        idx = np.empty_like(drawn)
+        src = np.empty((len(row), copies), np.int64)
+        idx = np.empty_like(src)
         for j in set(var.tolist()):
             at = var == j
-            src[at] = np.searchsorted(end[:, j], drawn[at], side="right")
-            idx[at] = drawn[at] - (end[:, j] - own[:, j])[src[at]]
+            drawn = draws_of([f"{prefix[r]}|{variables[j]}" for r in row[at].tolist()], copies, int(end[-1, j]))
+            src[at] = np.searchsorted(end[:, j], drawn, side="right")
+            idx[at] = drawn - (end[:, j] - own[:, j])[src[at]]
         src = (src.ravel() + first[key]).astype(wide).tobytes()
         idx, of = idx.ravel().astype(narrow), np.repeat(var, copies)
         routes = [{"src": block, "idx": np.bincount(of[at], minlength=len(variables)).astype(np.int32).tobytes() + idx[at].tobytes()}
@@ -243,22 +270,11 @@ class PCADA(Algorithm):
                 slots = _slots(src, wide)
                 for lender, values in zip(got.column("src").to_pylist(), got.column("values")):
                     borrowed[slots[lender]] = np.frombuffer(values.as_buffer())
-                borrowed = borrowed.reshape(-1, copies)[np.argsort(row * x.shape[1] + var)]  # by row, then variable
-                grams = np.repeat((base.T @ base)[None], copies, axis=0)
-                rows = np.flatnonzero(missing.any(axis=1))
-                done = 0
-                for part in np.array_split(rows, max(1, len(rows) // 2000)) if len(rows) else ():
-                    # a copy differs from the base on missing cells only: G_k = G + D_k'B + B'D_k + D_k'D_k
-                    mine = missing[part]
-                    added = np.zeros((len(part), x.shape[1], copies))
-                    added[mine] = borrowed[done:done + int(mine.sum())]
-                    done += int(mine.sum())
-                    by_copy = np.ascontiguousarray(added.transpose(2, 1, 0))
-                    cross = by_copy @ base[part]
-                    grams += cross + cross.transpose(0, 2, 1) + by_copy @ by_copy.transpose(0, 2, 1)
-                sums = np.append(grams.ravel(), np.where(missing, 0.0, (x - estimate) ** 2).sum())
-                moved = estimate[missing] + (borrowed.mean(axis=1) if len(borrowed) else 0.0)
-                out.append((block, group, moved.tobytes(), sums.tolist()))
+                borrowed = borrowed.reshape(-1, copies)  # by variable, then row
+                sums = np.append(_grams(base, missing, borrowed).ravel(), np.where(missing, 0.0, (x - estimate) ** 2).sum())
+                added = np.zeros(x.shape)
+                added.T[missing.T] = borrowed.mean(axis=1) if len(borrowed) else 0.0
+                out.append((block, group, (estimate + added)[missing].tobytes(), sums.tolist()))
             columns = list(zip(*out)) or [()] * len(types)
             return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["block", "group", "s", "sums"])
 

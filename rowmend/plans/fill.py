@@ -14,7 +14,8 @@ from ..operators.components import argmin_rmsecv_by_group, choose_components, pr
 from ..operators.gaps import ORDER, impute, impute_mean
 from ..operators.impute import ALGORITHMS, Fit, fit, fitted_values
 from ..operators.impute.engine import Context
-from ..operators.impute.patterns import Pattern, summarise
+from ..operators.impute.patterns import (Pattern, empty_cells, filled_folds, filled_moments, fold_sums, largest_over_missing, patterns_fit,
+                                         summarise)
 from ..operators.keyed import join_groups
 from ..operators.matrix import check_driver_size, row_map, sum_stats
 from ..operators.moments import fold_moments, with_folds
@@ -40,6 +41,8 @@ class FillResult:
     status: str = "ok"
     error: str | None = None
     cached: DataFrame | None = None
+    state: Fit | None = None  # what df is made from
+    complete: bool = False  # the last choice of components has met every row of df, all filled
 
     def release(self) -> None:
         """Drop the cached working table; the result is recomputed from the input if it is used again."""
@@ -108,6 +111,7 @@ class Start:
     contexts: dict[tuple, Context]
     patterns: dict[tuple, dict[int, Pattern]] | None = None
     summarised: bool = False
+    folds: dict[tuple, dict | None] = field(default_factory=dict)  # by (n_splits, num_repeat, seed)
 
     def summary(self, variables: Sequence[str], group_cols: Sequence[str] = ()) -> dict[tuple, dict[int, Pattern]] | None:
         """The rows by pattern of missing cells, from one pass for all algorithms that share this table."""
@@ -115,6 +119,16 @@ class Start:
             self.patterns, self.summarised = summarise(self.table, variables, self.copies, self.scale, group_cols), True
         return self.patterns
 
+    def fold_sums(self, variables: Sequence[str], n_splits: int, num_repeat: int, seed: int, row_id: str, group_cols: Sequence[str] = ()) -> dict | None:
+        """The rows by pattern and fold, from one pass for all algorithms that share this table; None if these are too many numbers."""
+        key = (n_splits, num_repeat, seed)
+        if key not in self.folds:
+            patterns, self.folds[key] = self.summary(variables, group_cols), None
+            if patterns is not None and patterns_fit(patterns, len(variables), n_splits * num_repeat):
+                folded = with_folds(self.table, n_splits, num_repeat, seed, row_id)
+                self.folds[key] = fold_sums(folded, variables, self.copies, self.scale, n_splits, num_repeat, group_cols)
+        return self.folds[key]
+
 
 def prepare(df: DataFrame, variables: Sequence[str], prefill: str, components: int | dict, order: Sequence[str] = ORDER,
             group_cols: Sequence[str] = (), seed: int = 0, max_rows: int | None = None) -> Start:
@@ -175,8 +189,12 @@ def fill_missing(df: DataFrame, variables: Sequence[str], algorithm: str, compon
         result.rounds = round_no
         if not max_rounds:
             break
-        folded = with_folds(fitted_values(state), n_splits, num_repeat, seed, order[1])
-        found = fold_moments(folded, variables, n_splits, num_repeat, group_cols, scale, drop_incomplete=True)
+        sums = None if state.patterns is None else start.fold_sums(variables, n_splits, num_repeat, seed, order[1], group_cols)
+        if sums is None:
+            folded = with_folds(fitted_values(state), n_splits, num_repeat, seed, order[1])
+            found = fold_moments(folded, variables, n_splits, num_repeat, group_cols, scale, drop_incomplete=True)
+        else:
+            found = filled_folds(state, sums, n_splits, num_repeat, open_groups, drop_incomplete=True)
         again = {}
         for key in open_groups:
             total, folds = found[key]
@@ -194,8 +212,9 @@ def fill_missing(df: DataFrame, variables: Sequence[str], algorithm: str, compon
         state.params.update(again)
         open_groups = set(again)
         if not again:
+            result.complete = all(key in found and found[key][0].n == c.n for key, c in ctx.items())
             break
-    result.df = fitted_values(state)
+    result.df, result.state = fitted_values(state), state
     result.components, result.seconds, result.trace = chosen, state.seconds, state.trace
     return result
 
@@ -243,6 +262,8 @@ def fill_als(df: DataFrame, variables: Sequence[str], components: int | dict, ca
     number = {k: x.a for k, x in many.contexts.items()}
     result = fill_missing(df, variables, "ALS", number, max_rounds=0, order=order, group_cols=[*group_cols, CANDIDATE], seed=seed,
                           max_rows=max_rows, start=many, **options)
+    if patterns is not None:
+        return _best_of_patterns(result, start, numbers, variables, number, order[1], group_cols)
     filled = keep(result.df)
     best: dict[tuple, tuple[float, int]] = {}
     for (*key, candidate), worst in largest_contribution(filled, start.table, variables, number, order[1], group_cols, [CANDIDATE]).items():
@@ -255,14 +276,44 @@ def fill_als(df: DataFrame, variables: Sequence[str], components: int | dict, ca
     return result
 
 
+def _best_of_patterns(result: FillResult, start: Start, numbers: Sequence[int], variables: Sequence[str], number: dict, row_id: str,
+                      group_cols: list[str]) -> FillResult:
+    """The rest of `fill_als` where patterns stand for the rows: one pass scores all starts, and only the best one is filled."""
+    many = result.state
+    models = fit_pca(many.df, variables, number, contrib="2D-Chiang", lim_method="2D-Alcala", row_limits=False,
+                     group_cols=many.group_cols, found=filled_moments(many))
+
+    def worst(c, key, x, missing):
+        model = models[(*key, numbers[c])]
+        return (model.contributions(model.scale(x), positive_only=True)[0] * missing).max(axis=1)
+
+    def only(choice):
+        return Fit(many.algorithm, start.table, list(variables), group_cols, start.copies, start.scale,
+                   {k: many.params[(*k, choice[k])] for k in start.scale}, row_id=row_id, rows={k: c.n for k, c in start.contexts.items()},
+                   patterns=start.patterns)
+
+    found = largest_over_missing([only(dict.fromkeys(start.scale, c)) for c in numbers], worst)
+    best = {k: min(zip(values, numbers))[1] for k, values in found.items()}
+    result.state = only(best)
+    result.df = fitted_values(result.state)
+    result.trace = [t | {"group": t["group"][:-1]} for t in result.trace if best[t["group"][:-1]] == t["group"][-1]]
+    n_splits, seed = 7, 11  # of `argmin_rmsecv_by_group`
+    sums = start.fold_sums(variables, n_splits, 1, seed, row_id, group_cols)
+    folds = None if sums is None else filled_folds(result.state, sums, n_splits, 1)
+    result.components = argmin_rmsecv_by_group(result.df, variables, n_splits, seed, row_id, group_cols, folds)
+    return result
+
+
 def run_all(df: DataFrame, variables: Sequence[str], components: int | dict, algorithms: Sequence[str] | None = None,
             **options) -> dict[str, FillResult]:
     """Every algorithm in turn; one that fails, or leaves cells empty, is reported and does not stop the others.
 
-    Algorithms with the same prefill share one prefilled, cached table.
+    Algorithms with the same prefill share one prefilled, cached table, the pass that sums its folds and the one that counts
+    the cells they leave empty.
     """
     results: dict[str, FillResult] = {}
     starts: dict[str, Start] = {}
+    uncounted: dict[str, list[str]] = {}
     shared = {k: options[k] for k in ("order", "group_cols", "seed", "max_rows") if k in options}
     for name in algorithms or ["MI", *ALGORITHMS]:
         try:
@@ -274,15 +325,27 @@ def run_all(df: DataFrame, variables: Sequence[str], components: int | dict, alg
                 result = fill_als(df, variables, components, start=starts[method], **passed)
             else:
                 result = fill_missing(df, variables, name, components, start=starts.get(method), **options)
-            empty = result.df.agg(F.sum(sum(F.col(v).isNull().cast("long") for v in variables))).first()[0]
-            if empty:
-                result.status, result.error = "incomplete", f"{empty} cells left missing"
+            if result.state is not None and result.state.patterns is not None:
+                uncounted.setdefault(method, []).append(name)
+            elif not result.complete:
+                _report(result, result.df.agg(F.sum(sum(F.col(v).isNull().cast("long") for v in variables))).first()[0])
         except Exception as error:  # noqa: BLE001 - the report is the point
             result = FillResult(name, None, status="failed", error=str(error))
         results[name] = result
+    for waiting in uncounted.values():
+        try:
+            for name, empty in zip(waiting, empty_cells([results[name].state for name in waiting])):
+                _report(results[name], empty)
+        except Exception as error:  # noqa: BLE001
+            results.update({name: FillResult(name, None, status="failed", error=str(error)) for name in waiting})
     return results
 
 
+def _report(result: FillResult, empty: int | None) -> None:
+    if empty:
+        result.status, result.error = "incomplete", f"{empty} cells left missing"
+
+
 def status_table(spark, results: dict[str, FillResult]) -> DataFrame:
     return spark.createDataFrame([(k, r.status, r.error, r.rounds) for k, r in results.items()],
                                  "algorithm string, status string, error string, rounds int")
