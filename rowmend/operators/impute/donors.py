@@ -45,8 +45,11 @@ def draws_of(cells: Sequence[str], copies: int, n: int) -> np.ndarray:
     for at in range(0, len(cells), 4096):
         digests = []
         for cell in cells[at:at + 4096]:
-            start = cell.encode()
-            digests += [md5(start + end).digest() for end in ends]
+            start = md5(cell.encode())
+            for end in ends:
+                digest = start.copy()
+                digest.update(end)
+                digests.append(digest.digest())
         words = np.frombuffer(b"".join(digests), ">u4").reshape(-1, 2 * len(ends), 2) / 4294967296.0
         out[at:at + 4096] = np.floor((words[..., 0] + words[..., 1] / 4294967296.0) * n)[:, :copies]
     return out
@@ -285,7 +288,8 @@ class PCADA(Algorithm):
         folder = result_folder(static.sparkSession, "donors")
         stepped.select("block", "s").write.parquet(folder)
         blocks.state = static.sparkSession.read.parquet(folder)
-        table = (stepped.select("group", F.posexplode("sums").alias("pos", "val")).groupBy("group", "pos").agg(F.sum("val").alias("val"))).toArrow()
+        few = stepped.select("group", "sums").coalesce(2 * static.sparkSession.sparkContext.defaultParallelism)
+        table = few.select("group", F.posexplode("sums").alias("pos", "val")).groupBy("group", "pos").agg(F.sum("val").alias("val")).toArrow()
         out = {}
         for (group,), at in group_rows([table.column("group").combine_chunks()], table.num_rows):
             vector = np.empty(table.num_rows)[at]

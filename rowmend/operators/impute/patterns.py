@@ -53,9 +53,9 @@ def _points(n: float, s: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, float]:
     return np.concatenate([mean + spread, mean - spread]), n / (2 * rank)
 
 
-def summarise(df: DataFrame, variables: Sequence[str], copies: Sequence[str], scale: dict,
-              group_cols: Sequence[str] = ()) -> dict[tuple, dict[int, Pattern]] | None:
-    """{group: {pattern: points}} in scaled units, or None if there are too many patterns."""
+def pattern_sums(df: DataFrame, variables: Sequence[str], copies: Sequence[str], scale: dict,
+                 group_cols: Sequence[str] = ()) -> dict[tuple, np.ndarray] | None:
+    """{(group, pattern): packed moments of the prefilled rows} in scaled units, or None if there are too many patterns."""
     v = len(variables)
     most = MAX_NUMBERS // (v * (v + 1))
     if v > MAX_VARIABLES:
@@ -67,15 +67,35 @@ def summarise(df: DataFrame, variables: Sequence[str], copies: Sequence[str], sc
     def kernel(key, x, z=None):
         mu, sigma = scale[key[:-1]]
         u = np.where(np.isnan(x), 0.0 if z is None else (z - mu) / sigma, (x - mu) / sigma)
-        return np.concatenate([[len(u)], u.sum(axis=0), (u.T @ u).ravel()])
+        return pack(u)
 
     blocks = {"x": list(variables)} | ({"z": list(copies)} if copies else {})
-    out: dict[tuple, dict[int, Pattern]] = {key: {} for key in scale}
-    for (*key, code), sums in sorted(sum_stats(marked, blocks, kernel, [*group_cols, PATTERN]).items(), key=repr):
-        points, weight = _points(sums[0], sums[1:1 + v], sums[1 + v:].reshape(v, v))
+    return sum_stats(marked, blocks, kernel, [*group_cols, PATTERN])
+
+
+def observed_of(code: int, v: int) -> np.ndarray:
+    return np.array([code >> i & 1 for i in range(v)], bool)
+
+
+def totals(sums: dict[tuple, np.ndarray], v: int) -> dict[tuple, np.ndarray]:
+    """Per group the sums of the prefilled rows and of their observed cells that every algorithm starts from."""
+    out: dict[tuple, np.ndarray] = {}
+    for (*key, code), vector in sorted(sums.items(), key=repr):
+        n, s, g, o = vector[0], vector[1:1 + v], vector[1 + v:].reshape(v, v), observed_of(code, v)
+        own = np.concatenate([s, g.ravel(), n * o, np.where(o, s, 0.0), np.where(o, np.diag(g), 0.0), np.where(np.outer(o, o), g, 0.0).ravel()])
+        out[tuple(key)] = out.get(tuple(key), 0.0) + own
+    return out
+
+
+def summarise(sums: dict[tuple, np.ndarray] | None, groups: Sequence[tuple], v: int) -> dict[tuple, dict[int, Pattern]] | None:
+    """{group: {pattern: points}} in scaled units, or None if there are too many patterns."""
+    if sums is None:
+        return None
+    out: dict[tuple, dict[int, Pattern]] = {key: {} for key in groups}
+    for (*key, code), vector in sorted(sums.items(), key=repr):
+        points, weight = _points(vector[0], vector[1:1 + v], vector[1 + v:].reshape(v, v))
         z = np.concatenate([points, np.zeros((1, v)), np.eye(v)])
-        observed = np.array([code >> i & 1 for i in range(v)], bool)
-        out[tuple(key)][code] = Pattern(float(weight), len(points), np.where(observed, z, np.nan), z)
+        out[tuple(key)][code] = Pattern(float(weight), len(points), np.where(observed_of(code, v), z, np.nan), z)
     return out
 
 
@@ -189,8 +209,7 @@ def filled_folds(fit, sums: dict[tuple, np.ndarray], n_splits: int, num_repeat:
         found = np.zeros((num_repeat * n_splits, width))
         for code in fit.patterns[key]:
             base, slopes = maps[(*key, code)]
-            observed = np.array([code >> i & 1 for i in range(v)], bool)
-            through = np.where(observed, np.eye(1 + v)[:, 1:], np.concatenate([base[None], slopes]))
+            through = np.where(observed_of(code, v), np.eye(1 + v)[:, 1:], np.concatenate([base[None], slopes]))
             parts = sums[(*key, code)].reshape(num_repeat * n_splits, width)
             if np.isnan(through).any():
                 incomplete += parts[:n_splits, 0].sum()

@@ -14,8 +14,8 @@ from ..operators.components import argmin_rmsecv_by_group, choose_components, pr
 from ..operators.gaps import ORDER, impute, impute_mean
 from ..operators.impute import ALGORITHMS, Fit, fit, fitted_values
 from ..operators.impute.engine import Context
-from ..operators.impute.patterns import (Pattern, empty_cells, filled_folds, filled_moments, fold_sums, largest_over_missing, patterns_fit,
-                                         summarise)
+from ..operators.impute.patterns import (Pattern, empty_cells, filled_folds, filled_moments, fold_sums, largest_over_missing, pattern_sums,
+                                         patterns_fit, summarise, totals)
 from ..operators.keyed import join_groups
 from ..operators.matrix import check_driver_size, row_map, sum_stats
 from ..operators.moments import fold_moments, with_folds
@@ -61,8 +61,9 @@ def start_table(df: DataFrame, variables: Sequence[str], prefill: str, order=ORD
 
 
 def contexts(df: DataFrame, variables: Sequence[str], copies: list[str], components: int | dict,
-             group_cols: Sequence[str] = (), seed: int = 0) -> tuple[dict, dict]:
-    """({group: (mu, sigma)}, {group: Context}): scaling of the prefilled table and the sums every algorithm starts from."""
+             group_cols: Sequence[str] = (), seed: int = 0) -> tuple[dict, dict, dict | None]:
+    """({group: (mu, sigma)}, {group: Context}, sums by pattern): scaling of the prefilled table and the sums every algorithm starts from,
+    which come with those by pattern unless there are too many patterns."""
     v = len(variables)
     filled = copies or list(variables)
     table = df.groupBy(*group_cols).agg(
@@ -91,14 +92,17 @@ def contexts(df: DataFrame, variables: Sequence[str], copies: list[str], compone
         return np.concatenate([z.sum(axis=0), (z.T @ z).ravel(), o.sum(axis=0), x0.sum(axis=0), (x0 * x0).sum(axis=0),
                                (x0.T @ x0).ravel()])
 
-    blocks = {"x": list(variables)} | ({"z": copies} if copies else {})
-    sums = sum_stats(df, blocks, kernel, group_cols)
+    by_pattern = pattern_sums(df, variables, copies, scale, group_cols)
+    if by_pattern is None:
+        sums = sum_stats(df, {"x": list(variables)} | ({"z": copies} if copies else {}), kernel, group_cols)
+    else:
+        sums = totals(by_pattern, v)
     out = {}
     for key, vec in sums.items():
         s, g, n_obs, s_obs, ss_obs, g_obs = np.split(vec, np.cumsum([v, v * v, v, v, v]))
         a = components[key] if isinstance(components, dict) else components
         out[key] = Context(rows[key], a, s, g.reshape(v, v), n_obs, s_obs, ss_obs, g_obs.reshape(v, v), seed)
-    return scale, out
+    return scale, out, by_pattern
 
 
 @dataclass
@@ -109,21 +113,22 @@ class Start:
     copies: list[str]
     scale: dict
     contexts: dict[tuple, Context]
+    sums: dict[tuple, np.ndarray] | None = None  # by group and pattern
     patterns: dict[tuple, dict[int, Pattern]] | None = None
     summarised: bool = False
     folds: dict[tuple, dict | None] = field(default_factory=dict)  # by (n_splits, num_repeat, seed)
 
-    def summary(self, variables: Sequence[str], group_cols: Sequence[str] = ()) -> dict[tuple, dict[int, Pattern]] | None:
-        """The rows by pattern of missing cells, from one pass for all algorithms that share this table."""
+    def summary(self, variables: Sequence[str]) -> dict[tuple, dict[int, Pattern]] | None:
+        """The rows by pattern of missing cells, for all algorithms that share this table."""
         if not self.summarised:
-            self.patterns, self.summarised = summarise(self.table, variables, self.copies, self.scale, group_cols), True
+            self.patterns, self.summarised = summarise(self.sums, list(self.scale), len(variables)), True
         return self.patterns
 
     def fold_sums(self, variables: Sequence[str], n_splits: int, num_repeat: int, seed: int, row_id: str, group_cols: Sequence[str] = ()) -> dict | None:
         """The rows by pattern and fold, from one pass for all algorithms that share this table; None if these are too many numbers."""
         key = (n_splits, num_repeat, seed)
         if key not in self.folds:
-            patterns, self.folds[key] = self.summary(variables, group_cols), None
+            patterns, self.folds[key] = self.summary(variables), None
             if patterns is not None and patterns_fit(patterns, len(variables), n_splits * num_repeat):
                 folded = with_folds(self.table, n_splits, num_repeat, seed, row_id)
                 self.folds[key] = fold_sums(folded, variables, self.copies, self.scale, n_splits, num_repeat, group_cols)
@@ -179,7 +184,7 @@ def fill_missing(df: DataFrame, variables: Sequence[str], algorithm: str, compon
     if method.borrows:
         state.links = method.layout(state, order, seed, max_rows)
     else:
-        state.patterns = start.summary(variables, group_cols)
+        state.patterns = start.summary(variables)
     chosen = {k: c.a for k, c in ctx.items()}
     proposals: dict[tuple, list[int]] = {k: [] for k in ctx}
     open_groups = set(ctx)
@@ -254,11 +259,11 @@ def fill_als(df: DataFrame, variables: Sequence[str], components: int | dict, ca
         raise ValueError(f"the table has a column {CANDIDATE}")
     start = start or prepare(df, variables, prefill or PREFILL["ALS"], components, order, group_cols, seed, max_rows)
     numbers = range(candidates)
-    patterns = start.summary(variables, group_cols)
+    patterns = start.summary(variables)
     each = F.explode(F.array(*[F.lit(c) for c in numbers])).alias(CANDIDATE)
     many = Start(start.table.select("*", each), start.copies, {(*k, c): s for k, s in start.scale.items() for c in numbers},
                  {(*k, c): replace(x, candidate=c) for k, x in start.contexts.items() for c in numbers},
-                 None if patterns is None else {(*k, c): p for k, p in patterns.items() for c in numbers}, True)
+                 None, None if patterns is None else {(*k, c): p for k, p in patterns.items() for c in numbers}, True)
     number = {k: x.a for k, x in many.contexts.items()}
     result = fill_missing(df, variables, "ALS", number, max_rounds=0, order=order, group_cols=[*group_cols, CANDIDATE], seed=seed,
                           max_rows=max_rows, start=many, **options)
